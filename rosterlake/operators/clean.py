@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import names, refs, topics, values
+from rosterlake.session import cut_lineage
 from rosterlake.vocab import words
 
 IDENTITY = ("handle", "channel_id", "legacy_username", "custom_url")
@@ -38,14 +39,16 @@ def clean_rows(staging: DataFrame, batches: DataFrame) -> DataFrame:
     """Clean every staging row.
 
     ``staging``: row_id, batch_id, row_number, raw; ``batches``: batch_id, platform_hint, columns, ingested_at.
-    The result keeps rejected rows too, with ``reject`` set.
+    The result keeps rejected rows too, with ``reject`` set. It is written to the checkpoint folder once: accounts,
+    issues, sources and counters all read it, and filters on it must not be pushed back through the cleaning rules,
+    which would repeat them inside every condition.
     """
     mapped = map_headers(batches).select("batch_id", "platform_hint", "ingested_at", "mapping")
     df = staging.join(mapped, "batch_id")
     for field in words.HEADER_ALIASES:
         df = df.withColumn(f"in_{field}", values.strip(F.coalesce(F.try_element_at(
             "raw", F.try_element_at("mapping", F.lit(field))), F.lit(""))))
-    return clean_fields(df)
+    return cut_lineage(clean_fields(df))
 
 
 def clean_fields(df: DataFrame) -> DataFrame:

@@ -47,9 +47,7 @@ def rebuild(batches: DataFrame, staging: DataFrame, *, decisions: DataFrame | No
     cleaned = clean.clean_rows(staging, batches)
     renames = None
     if resolutions is not None:
-        cleaned = resolve.resolve_keys(cleaned, resolutions)
-    cleaned = cut_lineage(cleaned)
-    if resolutions is not None:
+        cleaned = cut_lineage(resolve.resolve_keys(cleaned, resolutions))
         renames = cleaned.where(F.col("renamed_from").isNotNull()).select(
             F.col("renamed_from").alias("old_id"), F.col("account_id").alias("new_id")).distinct()
         cleaned = cleaned.drop("renamed_from")

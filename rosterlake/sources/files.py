@@ -93,9 +93,10 @@ def ingest(files: DataFrame, ingested_at: Column, registry: DataFrame | None = N
     facts = parsed.groupBy("file_sha256").agg(F.count_if(F.col("row_number") > 0).alias("row_count"),
                                               F.max(F.when(F.col("row_number") == 0, F.col("columns"))).alias("columns"))
     guess = F.lit(hint).cast("string") if hint else platform_from_file_name(F.col("file_name"))
-    registered = fresh.select("file_sha256", "file_name", guess.alias("platform_hint")).join(facts, "file_sha256")
+    registered = fresh.select("file_sha256", "file_name", guess.alias("platform_hint"), ingested_at.alias("ingested_at")).join(
+        facts, "file_sha256")
     batches = dense_index(registered, [F.col("file_name"), F.col("file_sha256")], "batch_id", start).select(
-        "batch_id", "file_name", "file_sha256", "platform_hint", "row_count", "columns", ingested_at.alias("ingested_at"))
+        "batch_id", "file_name", "file_sha256", "platform_hint", "row_count", "columns", "ingested_at")
     # the registry of one drop is a name and a header per file
     rows = parsed.where(F.col("row_number") > 0).drop("columns").join(batches.select("batch_id", "file_sha256"), "file_sha256")
     return batches, rows.select(row_id(F.col("batch_id"), F.col("row_number")).alias("row_id"), "batch_id", "row_number", "raw")
@@ -110,10 +111,13 @@ def large_csv(spark: SparkSession, path: str, batch_id: int) -> tuple[list[str],
     """Staging rows of big files with one shared header: Spark splits and parses them itself (A1)."""
     table = spark.read.csv(path, header=True, quote='"', escape='"')
     raw = F.map_from_arrays(F.array(*[F.lit(c) for c in table.columns]), F.array(*[F.col(f"`{c}`") for c in table.columns]))
-    numbered = table.select(raw.alias("raw"), (F.monotonically_increasing_id() + 1).alias("row_number"))
-    return table.columns, numbered.select(
-        row_id(F.lit(batch_id).cast("bigint"), F.pmod("row_number", F.lit(1 << 32))).alias("row_id"),
-        F.lit(batch_id).cast("bigint").alias("batch_id"), "row_number", "raw")
+    # splits are read in any order; file, split and position inside the split restore the order of the file
+    placed = table.select(raw.alias("raw"), F.col("_metadata.file_path").alias("_file"),
+                          F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    numbered = dense_index(placed, [F.col("_file"), F.col("_split"), F.col("_at")], "row_number")
+    batch = F.lit(batch_id).cast("bigint")
+    return table.columns, numbered.select(row_id(batch, F.col("row_number")).alias("row_id"), batch.alias("batch_id"),
+                                          "row_number", "raw")
 
 
 def without_batch(batch_id: int, *tables: DataFrame) -> tuple[DataFrame, ...]:
