@@ -1 +1,174 @@
-"""Queries."""
+"""Faceted exploration and segments over the customer profiles."""
+
+from pyspark.sql import functions as F
+
+from rosterlake.operators import explore, segment
+from rosterlake.plans.bindings import accounts, base_profiles, profiles, stored_profiles
+from rosterlake.plans.catalog import query
+from rosterlake.plans.sql import ACCOUNTS, PROFILE, over
+
+FILTERS = {"niche": ["Food", "Tech", "Travel"], "languages": ["English", "Tamil", "Urdu"], "size_tier": ["Micro", "Mid-tier", "Macro"],
+           "gender": ["Female", "Male"], "q": "@red"}
+OPEN = {"niche": ["Food", "Tech", "Travel"], "languages": ["English", "Tamil", "Urdu"]}
+TESTS = {
+    "niche": "list_has_any(categories, ['Food','Tech','Travel'])", "languages": "list_has_any(languages, ['English','Tamil','Urdu'])",
+    "size_tier": "coalesce(size_tier IN ('Micro','Mid-tier','Macro'), false)", "gender": "coalesce(gender IN ('Female','Male'), false)",
+    "q": "contains(lower(name || ' ' || handle || ' ' || coalesce(city, '') || ' ' || array_to_string(tags, ' ')), 'red')"}
+
+
+def tests(*names, skip=None):
+    return " AND ".join(TESTS[n] for n in names if n != skip) or "true"
+
+
+ALL = tests(*FILTERS)
+
+
+@query("f1_page", over(PROFILE, f"""
+  SELECT creator_id, cpv, followers FROM p WHERE {ALL} ORDER BY cpv NULLS LAST, creator_id LIMIT 24 OFFSET 24"""))
+def page(spark, folder):
+    return explore.page(profiles(spark, folder), FILTERS, "fit_value", 24, 24).select("creator_id", "cpv", "followers")
+
+
+@query("f2_filters", over(PROFILE, f"SELECT creator_id, niche FROM p WHERE {ALL}"))
+def filters(spark, folder):
+    return explore.apply_filters(profiles(spark, folder), FILTERS).select("creator_id", "niche")
+
+
+SHOWN = ("region", "city", "age_band", "gender", "size_tier", "budget_tier", "languages", "engagement", "primary_platform")
+
+
+def _facet_sql():
+    parts = []
+    for f in SHOWN:
+        value = "unnest(languages)" if f == "languages" else f
+        parts.append(f"SELECT '{f}' AS facet, {value} AS value FROM p WHERE {tests(*FILTERS, skip=f)}")
+    return ", f AS (" + " UNION ALL ".join(parts) + """), n AS (SELECT facet, value, count(*) AS count FROM f WHERE value IS NOT NULL GROUP BY ALL),
+  o AS (SELECT *, CASE facet WHEN 'age_band' THEN list_position(['18-24','25-34','35-44','45+'], value)
+      WHEN 'budget_tier' THEN list_position(['Under ₹10K','₹10K-50K','₹50K-2L','₹2L-10L','₹10L+'], value)
+      WHEN 'size_tier' THEN list_position(['Nano','Micro','Mid-tier','Macro','Mega'], value)
+      WHEN 'engagement' THEN list_position(['High','Typical','Low'], value) ELSE 99 END AS place FROM n)
+  SELECT * FROM (SELECT facet, value, count, CAST(row_number() OVER (PARTITION BY facet ORDER BY place, count DESC, value) AS INTEGER) AS position FROM o)
+  WHERE facet <> 'city' OR position <= 18"""
+
+
+@query("f3_facet_counts", "WITH " + PROFILE.strip() + _facet_sql())
+def facet_counts(spark, folder):
+    return explore.facet_counts(profiles(spark, folder), FILTERS)
+
+
+@query("f4_niche_tiles", over(PROFILE, f"""
+  , s AS (SELECT * FROM p WHERE {tests('languages')}),
+  c AS (SELECT niche, city AS v, count(*) AS n FROM s WHERE city IS NOT NULL GROUP BY ALL),
+  t AS (SELECT niche, v, count(*) AS n FROM (SELECT niche, unnest(tags) AS v FROM s) GROUP BY ALL),
+  cc AS (SELECT niche, string_agg(v, '>' ORDER BY n DESC, v) AS top_cities FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY niche ORDER BY n DESC, v) <= 3) GROUP BY 1),
+  tt AS (SELECT niche, string_agg(v, '>' ORDER BY n DESC, v) AS top_tags FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY niche ORDER BY n DESC, v) <= 4) GROUP BY 1)
+  SELECT niche, count(*) AS count, CAST(median(followers) AS DOUBLE) AS median_followers, median(er) AS median_er, CAST(median(rate_reel) AS DOUBLE) AS median_rate, median(cpv) AS median_cpv,
+         any_value(top_cities) AS top_cities, any_value(top_tags) AS top_tags FROM s LEFT JOIN cc USING (niche) LEFT JOIN tt USING (niche) GROUP BY 1"""))
+def niche_tiles(spark, folder):
+    tiles = explore.niche_tiles(stored_profiles(spark, folder), OPEN)
+    return tiles.withColumns({"top_cities": F.array_join("top_cities", ">"), "top_tags": F.array_join("top_tags", ">")})
+
+
+@query("f5_matched_stats", over(PROFILE, f""", s AS (SELECT * FROM p WHERE {ALL})
+  SELECT 'median_followers' AS stat, CAST(median(followers) AS DOUBLE) AS value FROM s UNION ALL SELECT 'median_er', median(er) FROM s
+  UNION ALL SELECT 'median_rate', CAST(median(rate_reel) AS DOUBLE) FROM s UNION ALL SELECT 'median_cpv', median(cpv) FROM s
+  UNION ALL SELECT 'cities', CAST(count(DISTINCT city) AS DOUBLE) FROM s UNION ALL SELECT 'languages', CAST(count(DISTINCT l) AS DOUBLE) FROM (SELECT unnest(languages) AS l FROM s)"""))
+def matched_stats(spark, folder):
+    return explore.matched_stats(stored_profiles(spark, folder), FILTERS)
+
+
+@query("f6_niche_budget_tree", over(PROFILE, f"""
+  , t AS (SELECT niche, coalesce(budget_tier, 'Rate unknown') AS budget, count(*) AS n FROM p WHERE {tests('languages', 'niche')} GROUP BY ALL)
+  SELECT niche, budget, n, CAST(sum(n) OVER (PARTITION BY niche) AS BIGINT) AS total FROM t"""))
+def niche_budget_tree(spark, folder):
+    tree = explore.niche_budget_tree(profiles(spark, folder), OPEN)
+    return tree.select("niche", "total", F.explode("children").alias("c")).select("niche", "c.budget", "c.n", "total")
+
+
+@query("f7_scatter_sample", over(PROFILE, f"""
+  SELECT creator_id, niche, followers, er FROM p WHERE {tests('languages', 'niche')} AND followers IS NOT NULL AND er IS NOT NULL ORDER BY md5(creator_id || '|1'), creator_id LIMIT 500"""))
+def scatter_sample(spark, folder):
+    return explore.scatter_sample(profiles(spark, folder), OPEN).select("creator_id", "niche", "followers", "er")
+
+
+@query("f8_coverage", over(PROFILE, """
+  SELECT f AS field, CAST(round_even(100.0 * n / total, 0) AS BIGINT) AS percent FROM (
+    SELECT unnest(['city','age','rate','views','er']) AS f, unnest([count(city), count(age), count(rate_reel), count(avg_views), count(er)]) AS n, count(*) AS total FROM base)"""))
+def coverage(spark, folder):
+    return explore.coverage(base_profiles(spark, folder))
+
+
+@query("f9_segment_counts", over(PROFILE, f"""
+  SELECT size_tier AS segment, count(*) AS count, count(*) FILTER (WHERE {tests('languages', 'niche')}) AS in_filter FROM p WHERE size_tier IS NOT NULL GROUP BY 1"""))
+def segment_counts(spark, folder):
+    return explore.segment_counts(profiles(spark, folder).withColumn("segment", F.col("size_tier")), OPEN)
+
+
+@query("f10_options", over(PROFILE, """
+  SELECT option, value, count(*) AS count FROM (
+    SELECT 'niches' AS option, niche AS value FROM p UNION ALL SELECT 'cities', city FROM p UNION ALL SELECT 'regions', region FROM p
+    UNION ALL SELECT 'languages', unnest(languages) FROM p UNION ALL SELECT 'brands', unnest(brands) FROM p) WHERE value IS NOT NULL GROUP BY ALL"""))
+def options(spark, folder):
+    return explore.options(profiles(spark, folder))
+
+
+@query("f11_d17_account_search", over(ACCOUNTS, """,
+  hits AS (SELECT DISTINCT row_id // 5 AS c FROM accounts WHERE contains(lower(name_clean), 'g') AND platform IN ('instagram','tiktok') AND coalesce(er_pct, -1) >= 2.0 AND city IN ('NATION_1','NATION_2','NATION_7')),
+  v AS (SELECT 'cr_' || row_id // 5 AS creator_id, max(followers) AS largest, max(er_pct) AS best_er, arg_max(stats_source, CAST(1000000 + row_id AS VARCHAR) || account_id) AS source,
+               count(*) AS n_accounts, CAST(sum(followers) AS BIGINT) AS total_followers FROM accounts WHERE row_id // 5 IN (SELECT c FROM hits) GROUP BY 1)
+  SELECT creator_id, largest, best_er, source, CASE WHEN largest < 10000 THEN 'Nano (<10K)' ELSE 'Micro (10K-100K)' END AS tier, n_accounts, total_followers FROM v WHERE n_accounts > 1""".replace(",\n  hits", ", hits", 1)))
+def account_search(spark, folder):
+    acc = accounts(spark, folder).withColumn("stats_as_of", F.col("row_id"))
+    links = acc.select(F.concat(F.lit("cr_"), F.floor(F.col("row_id") / 5).cast("string")).alias("creator_id"), "account_id")
+    creators = acc.join(links, "account_id").groupBy("creator_id").agg(F.count(F.lit(1)).alias("n_accounts"), F.sum("followers").alias("total_followers"))
+    view = explore.search_accounts(acc, links, creators, text="@G", platforms=("instagram", "tiktok"), min_er=2.0,
+                                   cities=("NATION_1", "NATION_2", "NATION_7"), multi=True)
+    return view.select("creator_id", "largest", "best_er", "source", "tier", "n_accounts", "total_followers")
+
+
+FEATURES = PROFILE + """,
+raw AS (SELECT creator_id, log10(greatest(CAST(followers AS DOUBLE), 100)) AS f1, log2(greatest(er_vs_tier, 0.05)) AS f2,
+               log10(greatest(CAST(rate_reel AS DOUBLE), 100)) AS f3, log10(greatest(cpv, 0.01)) AS f4, CAST(age AS DOUBLE) AS f5 FROM p WHERE followers IS NOT NULL),
+safe AS (SELECT creator_id, f1, f2, CASE WHEN creator_id IN (SELECT creator_id FROM p WHERE rate_reel IS NOT NULL) THEN f3 END AS f3,
+                CASE WHEN creator_id IN (SELECT creator_id FROM p WHERE cpv IS NOT NULL) THEN f4 END AS f4, f5 FROM raw),
+filled AS (SELECT creator_id, f1, coalesce(f2, (SELECT median(f2) FROM safe), 0) AS f2, coalesce(f3, (SELECT median(f3) FROM safe), 0) AS f3,
+                  coalesce(f4, (SELECT median(f4) FROM safe), 0) AS f4, coalesce(f5, (SELECT median(f5) FROM safe), 0) AS f5 FROM safe)"""
+_COLS = list(zip(("f1", "f2", "f3", "f4", "f5"), segment.FEATURES))
+
+
+@query("g1_segment_features", over(FEATURES, "SELECT creator_id, " + ", ".join(f"round({a}, 6) AS {b}" for a, b in _COLS) + " FROM filled"))
+def segment_features(spark, folder):
+    feats = segment.raw_features(stored_profiles(spark, folder))
+    return feats.select("creator_id", *[F.round(f, 6).alias(f) for f in segment.FEATURES])
+
+
+@query("g2_standardised_features", over(FEATURES, "SELECT creator_id, " + ", ".join(
+    f"round(({a} - (SELECT avg({a}) FROM filled)) / (SELECT stddev_pop({a}) FROM filled), 5) AS {b}" for a, b in _COLS) + " FROM filled"))
+def standardised_features(spark, folder):
+    feats = segment.standardise(segment.raw_features(stored_profiles(spark, folder)))
+    return feats.select("creator_id", *[F.round(f, 5).alias(f) for f in segment.FEATURES])
+
+
+@query("g3_g4_segments")
+def segments(spark, folder):
+    """Segment of every creator; cluster starts differ between engines, so there is no SQL for it."""
+    with_segment, _ = segment.segment(stored_profiles(spark, folder), restarts=3)
+    return with_segment.select("creator_id", "cluster", "segment")
+
+
+@query("g5_segment_cards", over(PROFILE, """,
+  s AS (SELECT *, CASE WHEN er_vs_tier > 1.02 THEN 'Engagement stars' WHEN rate_reel IS NOT NULL THEN 'Premium names' ELSE 'Solid all-rounders' END AS seg FROM p WHERE followers IS NOT NULL),
+  n AS (SELECT seg, niche AS v, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT seg, city AS v, count(*) AS n FROM s WHERE city IS NOT NULL GROUP BY ALL),
+  nn AS (SELECT seg, string_agg(v, '>' ORDER BY n DESC, v) AS top_niches FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY seg ORDER BY n DESC, v) <= 3) GROUP BY 1),
+  cc AS (SELECT seg, string_agg(v, '>' ORDER BY n DESC, v) AS top_cities FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY seg ORDER BY n DESC, v) <= 3) GROUP BY 1)
+  SELECT seg AS name, count(*) AS count, CAST(round_even(median(followers), 0) AS BIGINT) AS median_followers, round_even(median(er), 2) AS median_er, CAST(round_even(median(rate_reel), 0) AS BIGINT) AS median_rate,
+         round_even(median(cpv), 2) AS median_cpv, CAST(round_even(median(age), 0) AS BIGINT) AS median_age, any_value(top_niches) AS top_niches, any_value(top_cities) AS top_cities,
+         avg(CAST(suspicious_er AS INTEGER)) > 0.3 AND seg = 'Engagement stars' AS warned
+  FROM s JOIN nn USING (seg) JOIN cc USING (seg) GROUP BY seg""".replace(",\n  s AS", ", s AS", 1)))
+def segment_cards(spark, folder):
+    """Cards of three groups cut by rule, so that SQL can repeat them."""
+    name = F.when(F.col("er_vs_tier") > 1.02, "Engagement stars").when(F.col("rate_reel").isNotNull(), "Premium names").otherwise("Solid all-rounders")
+    df = stored_profiles(spark, folder).where(F.col("followers").isNotNull()).withColumn("segment", name)
+    cards = segment.segment_cards(df)
+    return cards.withColumns({"top_niches": F.array_join("top_niches", ">"), "top_cities": F.array_join("top_cities", ">"),
+                              "warned": F.col("description").contains("⚠")}).drop("description")

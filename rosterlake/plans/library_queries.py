@@ -22,7 +22,7 @@ def flagship(spark, folder):
 
 
 ORDER_ROWS = """
-r AS (SELECT o_custkey AS account, o_orderdate AS at, o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price,
+r AS (SELECT o_custkey AS account, o_orderdate AS moment, o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price,
              CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS priority, [o_orderpriority, o_orderstatus] AS tags,
              row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back,
              CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderstatus FROM orders)"""
@@ -37,8 +37,8 @@ def _order_rows(spark, folder):
 
 
 @query("d1_merge_duplicates", over(ORDER_ROWS, """,
-  firsts AS (SELECT account, arg_min(price, CAST(at AS VARCHAR) || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE price IS NOT NULL) AS price,
-                    arg_min(priority, CAST(at AS VARCHAR) || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE priority <> '') AS priority, count(*) AS n FROM r GROUP BY 1),
+  firsts AS (SELECT account, arg_min(price, CAST(moment AS VARCHAR) || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE price IS NOT NULL) AS price,
+                    arg_min(priority, CAST(moment AS VARCHAR) || lpad(CAST(id AS VARCHAR), 12, '0')) FILTER (WHERE priority <> '') AS priority, count(*) AS n FROM r GROUP BY 1),
   items AS (SELECT account, item, min(CASE WHEN back = 1 THEN 0 ELSE 1000000 - back END * 10 + pos) AS seen FROM (
               SELECT account, back, unnest(tags) AS item, generate_subscripts(tags, 1) AS pos FROM r) GROUP BY ALL),
   lists AS (SELECT account, string_agg(item, '>' ORDER BY seen) AS tags FROM items GROUP BY 1)
