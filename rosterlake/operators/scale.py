@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.session import cut_lineage
+
 BUCKETS = 64
 HOT_KEYS = 1000
 SPREAD = 1021
@@ -103,9 +105,10 @@ def percent_ranks(df: DataFrame, key: str, specs: dict[str, tuple[Column, bool]]
     wide = df
     for i, name in enumerate(names):
         wide = wide.withColumn(f"_v{i}", specs[name][0].cast("double"))
-    counts = cumulative_counts(
+    # written once: each rank reads one slice of it twice, and a filter pushed into it would rebuild it every time
+    counts = cut_lineage(cumulative_counts(
         wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_m"), F.col(f"_v{i}").alias("_value"))
-                                       for i in range(len(names))]))), ["_m"], "_value")
+                                       for i in range(len(names))]))), ["_m"], "_value"))
     average = F.col("before") + (F.col("n") + 1) / 2
     for i, name in enumerate(names):
         place = average if specs[name][1] else F.col("total") - F.col("before") - (F.col("n") - 1) / 2

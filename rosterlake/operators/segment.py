@@ -26,18 +26,16 @@ def raw_features(profile: DataFrame) -> DataFrame:
         "creator_id", F.log10(floored("followers", 100.0)).alias("log_followers"),
         F.log2(floored("er_vs_tier", 0.05)).alias("log_er_vs_tier"), F.log10(floored("rate_reel", 100.0)).alias("log_rate"),
         F.log10(floored("cpv", 0.01)).alias("log_cpv"), F.col("age").cast("double").alias("age"))
-    mid = exact_medians(feats, [], FEATURES)
-    fill = {f: mid.select(f).scalar() for f in FEATURES}
-    return feats.select("creator_id", *[F.coalesce(F.col(f), fill[f], F.lit(0.0)).alias(f) for f in FEATURES])
+    mid = exact_medians(feats, [], FEATURES).first()  # one row of five numbers
+    fill = {f: (mid[f] if mid is not None and mid[f] is not None else 0.0) for f in FEATURES}
+    return feats.select("creator_id", *[F.coalesce(F.col(f), F.lit(fill[f])).alias(f) for f in FEATURES])
 
 
 def standardise(feats: DataFrame) -> DataFrame:
     """Zero mean and unit population deviation; a constant feature keeps a divisor of one."""
-    out = {}
-    for f in FEATURES:
-        mean, dev = feats.agg(F.avg(f)).scalar(), feats.agg(F.stddev_pop(f)).scalar()
-        out[f] = (F.col(f) - mean) / F.when(dev == 0, 1.0).otherwise(dev)
-    return feats.withColumns(out)
+    facts = [F.avg(f).alias(f"mean_{f}") for f in FEATURES] + [F.stddev_pop(f).alias(f"dev_{f}") for f in FEATURES]
+    seen = feats.agg(*facts).first()  # one row of ten numbers
+    return feats.withColumns({f: (F.col(f) - F.lit(seen[f"mean_{f}"])) / F.lit(seen[f"dev_{f}"] or 1.0) for f in FEATURES})
 
 
 def name_centroids(centroids: dict[int, list[float]]) -> dict[int, tuple[str, str]]:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.operators import match
 from rosterlake.operators.match import Brief
-from rosterlake.plans.bindings import profiles, shortlist, stored_profiles
+from rosterlake.plans.bindings import shortlist, stored_profiles
 from rosterlake.plans.catalog import query
 from rosterlake.plans.sql import PROFILE, SHORTLIST, over
 from rosterlake.session import cut_lineage
@@ -101,7 +101,7 @@ def pool_sql() -> str:
 
 @query("h1_h2_exclusions", over(scored_sql(), "SELECT brief_id, creator_id, excluded FROM scored"))
 def exclusions(spark, folder):
-    return match.score(profiles(spark, folder), BRIEFS).select("brief_id", "creator_id", "excluded")
+    return match.score(stored_profiles(spark, folder), BRIEFS).select("brief_id", "creator_id", "excluded")
 
 
 @query("h3_h10_fit_scores", over(scored_sql(), """
@@ -120,7 +120,7 @@ def fit_scores(spark, folder):
     CASE WHEN suspicious_er THEN '⚠ Engagement spike — verify before booking' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM p"""))
 def reasons(spark, folder):
     """Reasons without numbers; the wording of figures differs between engines."""
-    scored = match.score(profiles(spark, folder), BRIEFS[1:2])
+    scored = match.score(stored_profiles(spark, folder), BRIEFS[1:2])
     text = F.filter("reasons", lambda r: ~r.rlike("^(ER |₹|No story)"))
     return scored.select("creator_id", F.array_join(text, "; ").alias("reasons"))
 
@@ -157,7 +157,7 @@ def pool_summary(spark, folder):
 @query("h14_exclusion_counts", over(scored_sql(), """
   SELECT brief_id, CASE WHEN excluded LIKE 'worked%' THEN 'worked with a competitor' ELSE excluded END AS reason, count(*) AS n FROM scored WHERE excluded IS NOT NULL GROUP BY ALL"""))
 def exclusion_counts(spark, folder):
-    return match.exclusion_counts(match.score(profiles(spark, folder), BRIEFS))
+    return match.exclusion_counts(match.score(stored_profiles(spark, folder), BRIEFS))
 
 
 def _why_sql(b: Brief) -> str:

@@ -51,6 +51,7 @@ def decode(data: bytes) -> str:
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of each file, 5,000 at a time; row number 0 carries the header of the file."""
+    csv.field_size_limit(2**31 - 1)
     for frame in batches:
         for content in frame["content"]:
             data = bytes(content)

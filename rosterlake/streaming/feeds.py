@@ -54,7 +54,11 @@ def daily_views(metrics: DataFrame, late: str = "2 days") -> DataFrame:
             .agg(F.max("views").alias("views")).select("cc_id", F.to_date("window.start").alias("day"), "views"))
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Drain what is available into an in-memory table (small smoke runs and tests)."""
-    return (stream.writeStream.format("memory").queryName(name).outputMode(mode)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def land_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what changed in each micro-batch to its own folder under ``path``. A replayed batch overwrites its folder;
+    readers take the newest row per key."""
+    def land(frame: DataFrame, epoch: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return (stream.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
