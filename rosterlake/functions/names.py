@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from rosterlake.functions.steps import once
 from rosterlake.functions.values import sorted_flags, strip
 from rosterlake.vocab import words
 
@@ -23,6 +24,7 @@ INVISIBLE = r"︎️ㅤᅟᅠﾠ​‌‍⁠"
 WORD_CHAR = rf"[\p{{L}}\p{{N}}\p{{Mn}}\p{{Mc}}&&[^{INVISIBLE}]]"
 SYMBOL = rf"[^\p{{L}}\p{{N}}\p{{Mn}}\p{{Mc}} .'&\-()|:_]|[{INVISIBLE}]"
 READABLE = (r"[\p{L}&&[\u0000-ɏ؀-ۿऀ-෿぀-ヿ一-鿿]]|\p{Nd}")
+HASHTAG = r"#[\p{L}\p{N}_]+"
 SPACED_LETTERS = r"^[^ _](?:[ _]+[^ _]){2,}$"
 NAME_NOISE = r"\b(official|offl|offical|officiel|real|the|iam|im|channel)\b"
 HANDLE_NOISE = "official|offl|offical|real|iam|tiktok"
@@ -84,33 +86,30 @@ def _recase(word: Column) -> Column:
 
 def with_display_name(df: DataFrame, src: str, out: str, flags: str) -> DataFrame:
     """Add a readable display name and the list of what was changed."""
-    raw = F.coalesce(F.col(src), F.lit(""))
-    step = df.withColumn("_folded", F.coalesce(fold(F.col(src)), F.lit("")))
-    step = step.withColumn("_marked", F.replace(F.ltrim(F.regexp_replace("_folded", r"#[\p{L}\p{N}_]+", " "), F.lit("@")),
-                                                F.lit("’"), F.lit("'")))
-    step = step.withColumn("_kept", F.btrim(F.regexp_replace(F.regexp_replace("_marked", SYMBOL, " "), r"\s+", " "),
-                                            F.lit(" .-|:_")))
-    step = step.withColumn("_spaced", F.col("_kept").rlike(SPACED_LETTERS))
-    step = step.withColumn("_joined", F.when(F.col("_spaced"), F.regexp_replace("_kept", "[ _]+", ""))
-                           .otherwise(F.trim(F.regexp_replace("_kept", "_+", " "))))
+    c = F.col
+    step = df.withColumn("_folded", F.coalesce(fold(c(src)), F.lit("")))
+    unmarked = F.ltrim(F.regexp_replace("_folded", HASHTAG, " "), F.lit("@"))
+    step = once(step, _marked=F.replace(unmarked, F.lit("’"), F.lit("'")), _tagged=c("_folded").rlike(HASHTAG),
+                _refolded=c("_folded") != F.coalesce(c(src), F.lit("")))
+    step = once(step, _bare=F.regexp_replace("_marked", SYMBOL, " "), _symbols=c("_marked").rlike(SYMBOL))
+    step = once(step, _kept=F.btrim(F.regexp_replace("_bare", r"\s+", " "), F.lit(" .-|:_")))
+    step = once(step, _spaced=c("_kept").rlike(SPACED_LETTERS))
+    step = once(step, _joined=F.when(c("_spaced"), F.regexp_replace("_kept", "[ _]+", "")).otherwise(
+        F.trim(F.regexp_replace("_kept", "_+", " "))))
     tokens = F.filter(F.split("_joined", " "), lambda t: t.isin("&", "|", "-") | t.rlike(WORD_CHAR))
-    step = step.withColumn("_tidy", F.btrim(F.regexp_replace(F.array_join(tokens, " "), r"\(\s*\)", ""), F.lit(" .-|:")))
-    step = step.withColumn("_unreadable", (F.col("_tidy") != "") & ~F.col("_tidy").rlike(READABLE))
-    step = step.withColumn("_latin", F.regexp_replace("_tidy", "[^A-Za-z]", ""))
-    step = step.withColumn("_one_case", ~F.col("_unreadable") & (F.length("_latin") > 3) & (
-        (F.col("_latin") == F.upper("_latin")) | (F.col("_latin") == F.lower("_latin"))))
-    step = step.withColumn(out, F.when(F.col("_unreadable"), "")
-                           .when(F.col("_one_case"), F.array_join(F.transform(F.split("_tidy", " "), _recase), " "))
-                           .otherwise(F.col("_tidy")))
-    step = step.withColumn(flags, sorted_flags(
-        F.when(F.col("_folded") != raw, "name_unicode_folded"),
-        F.when(F.col("_folded").rlike(r"#[\p{L}\p{N}_]+"), "name_hashtags_removed"),
-        F.when(F.col("_marked").rlike(SYMBOL), "name_symbols_removed"),
-        F.when(F.col("_spaced"), "name_spaced_letters_joined"),
-        F.when(F.col("_unreadable"), "name_unreadable"),
-        F.when(F.col("_one_case"), "name_case_fixed"),
-        F.when(~F.col("_unreadable") & F.col("_tidy").rlike(r"[\p{L}&&[^\x00-\x7F]]"), "name_non_latin_script")))
-    return step.drop("_folded", "_marked", "_kept", "_spaced", "_joined", "_tidy", "_unreadable", "_latin", "_one_case")
+    step = once(step, _tidy=F.btrim(F.regexp_replace(F.array_join(tokens, " "), r"\(\s*\)", ""), F.lit(" .-|:")))
+    step = once(step, _unreadable=(c("_tidy") != "") & ~c("_tidy").rlike(READABLE), _latin=F.regexp_replace("_tidy", "[^A-Za-z]", ""))
+    step = once(step, _one_case=~c("_unreadable") & (F.length("_latin") > 3) & (
+        (c("_latin") == F.upper("_latin")) | (c("_latin") == F.lower("_latin"))))
+    recased = F.array_join(F.transform(F.split("_tidy", " "), _recase), " ")
+    changes = sorted_flags(
+        F.when(c("_refolded"), "name_unicode_folded"), F.when(c("_tagged"), "name_hashtags_removed"),
+        F.when(c("_symbols"), "name_symbols_removed"), F.when(c("_spaced"), "name_spaced_letters_joined"),
+        F.when(c("_unreadable"), "name_unreadable"), F.when(c("_one_case"), "name_case_fixed"),
+        F.when(~c("_unreadable") & c("_tidy").rlike(r"[\p{L}&&[^\x00-\x7F]]"), "name_non_latin_script"))
+    step = once(step, **{out: F.when(c("_unreadable"), "").when(c("_one_case"), recased).otherwise(c("_tidy")), flags: changes})
+    return step.drop("_folded", "_marked", "_tagged", "_refolded", "_bare", "_symbols", "_kept", "_spaced", "_joined", "_tidy",
+                     "_unreadable", "_latin", "_one_case")
 
 
 def name_key(reading: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions.names import is_channel_id
+from rosterlake.functions.steps import once
 from rosterlake.functions.values import strip
 from rosterlake.vocab import words
 
@@ -42,35 +43,34 @@ def with_profile_ref(df: DataFrame, src: str, hint: str, out: str, hosts: dict[s
     """
     hosts = hosts or words.PLATFORM_HOSTS
     any_host = "|".join(re.escape(h) for h in hosts)
-    step = df.withColumn("_s", F.btrim(strip(F.coalesce(F.col(src), F.lit(""))), F.lit("\"'<>")))
+    step = once(df, _s=F.btrim(strip(F.coalesce(F.col(src), F.lit(""))), F.lit("\"'<>")))
     low = F.lower("_s")
-    step = step.withColumn("_is_url", F.col("_s").contains("/") | low.rlike(f"^(http|www\\.)|{any_host}"))
     full = F.when(low.startswith("http"), F.col("_s")).otherwise(F.concat(F.lit("https://"), F.col("_s")))
-    step = step.withColumn("_full", full)
+    token = strip(F.ltrim("_s", F.lit("@")))
+    step = once(step, _is_url=F.col("_s").contains("/") | low.rlike(f"^(http|www\\.)|{any_host}"), _full=full, _token=token,
+                _token_is_channel=is_channel_id(token))
     netloc = F.lower(F.regexp_extract("_full", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)", 1))
-    step = step.withColumn("_host", F.regexp_replace(netloc, r"^(www\.|m\.|mobile\.)", ""))
     path = F.regexp_extract("_full", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)", 1)
-    step = step.withColumn("_path", F.filter(F.split(F.regexp_replace(path, ";[^/]*$", ""), "/"), lambda p: p != ""))
+    step = once(step, _host=F.regexp_replace(netloc, r"^(www\.|m\.|mobile\.)", ""),
+                _path=F.filter(F.split(F.regexp_replace(path, ";[^/]*$", ""), "/"), lambda p: p != ""))
     site = F.lit(None).cast("string")
     for host, platform in reversed(list(hosts.items())):
         site = F.when((F.col("_host") == host) | F.col("_host").endswith("." + host), platform).otherwise(site)
-    step = step.withColumn("_site", site)
-    step = (step.withColumn("_p1", F.try_element_at("_path", F.lit(1)))
-            .withColumn("_p2", F.try_element_at("_path", F.lit(2))))
+    p1 = F.try_element_at("_path", F.lit(1))
+    step = once(step, _site=site, _p1=p1, _p2=F.try_element_at("_path", F.lit(2)), _person=F.lower(F.ltrim(p1, F.lit("@"))))
 
     given = F.col("_s") != ""
     url, bare = given & F.col("_is_url"), given & ~F.col("_is_url")
-    token = strip(F.ltrim("_s", F.lit("@")))
+    token, is_channel, person = F.col("_token"), F.col("_token_is_channel"), F.col("_person")
     site_col, p1, p2 = F.col("_site"), F.col("_p1"), F.col("_p2")
     has_path = url & p1.isNotNull()
-    person = F.lower(F.ltrim(p1, F.lit("@")))
     social = has_path & site_col.isin("instagram", "threads")
     tiktok, video_site = has_path & (site_col == "tiktok"), has_path & (site_col == "youtube")
     is_video = (F.col("_host") == "youtu.be") | p1.isin(*words.VIDEO_PATHS)
     channel_page = video_site & ~is_video
     at = p1.startswith("@")
     keyed = {key: channel_page & ~at & (p1 == key) & p2.isNotNull() for key in ("channel", "user", "c")}
-    handle = (F.when(bare & ~is_channel_id(token), F.when(F.col(hint) == "youtube", token).otherwise(F.lower(token)))
+    handle = (F.when(bare & ~is_channel, F.when(F.col(hint) == "youtube", token).otherwise(F.lower(token)))
               .when(social & ~person.isin(*words.POST_PATHS), person)
               .when(tiktok & at, F.lower(F.substr(p1, F.lit(2))))
               .when(channel_page & at, F.substr(p1, F.lit(2))))
@@ -80,17 +80,17 @@ def with_profile_ref(df: DataFrame, src: str, hint: str, out: str, hosts: dict[s
             .when(video_site & is_video, "video_url_not_channel")
             .when(has_path & site_col.isNull(), "unknown_host"))
     parts = {
-        "platform": F.when(bare & is_channel_id(token), "youtube").otherwise(
+        "platform": F.when(bare & is_channel, "youtube").otherwise(
             F.coalesce(F.when(url, site_col), F.col(hint))),
         "handle": handle,
-        "channel_id": F.when(bare & is_channel_id(token), token).when(keyed["channel"], p2),
+        "channel_id": F.when(bare & is_channel, token).when(keyed["channel"], p2),
         "legacy_username": F.when(keyed["user"], p2),
         "custom_url": F.when(keyed["c"], p2).when(
             channel_page & ~at & ~keyed["channel"] & ~keyed["user"], p1),
         "note": note,
     }
-    return (step.withColumn(out, F.struct(*[parts[p].alias(p) for p in PARTS]))
-            .drop("_s", "_is_url", "_full", "_host", "_path", "_site", "_p1", "_p2"))
+    step = once(step, **{out: F.struct(*[parts[p].alias(p) for p in PARTS])})
+    return step.drop("_s", "_is_url", "_full", "_token", "_token_is_channel", "_host", "_path", "_site", "_p1", "_p2", "_person")
 
 
 def canonical_url(platform: Column, handle: Column, channel_id: Column) -> Column:

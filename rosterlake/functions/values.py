@@ -5,9 +5,10 @@ A value that is present but unreadable comes back null; ``unreadable`` tells it
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.functions.steps import once
 from rosterlake.vocab import words
 
 WHITESPACE = " \t\n\r\f\u000b   　"
@@ -30,17 +31,21 @@ def is_missing(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c)).isin(*words.MISSING_TOKENS), F.lit(True))
 
 
+def present(c: Column) -> Column:
+    """The stripped text, null when it stands for a missing value."""
+    return F.when(~is_missing(c), strip(c))
+
+
 def _count(text: Column) -> Column:
     """Count from lower-cased text, null when it does not read as one."""
-    plain = strip(F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), "followers|subscribers|subs", ""))
-    suffix = F.regexp_extract(plain, COUNT, 2)
-    scale = F.when(suffix == "", 1.0).otherwise(F.try_element_at(literal_map(words.COUNT_SUFFIXES), suffix))
+    plain = strip(F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), "followers|subscribers|subs", ""))
+    scale = F.try_element_at(literal_map({"": 1.0, **words.COUNT_SUFFIXES}), F.regexp_extract(plain, COUNT, 2))
     digits = F.nullif(F.replace(F.regexp_extract(plain, COUNT, 1), F.lit(","), F.lit("")), F.lit(""))
     return F.bround(digits.try_cast("double") * scale, 0).try_cast("bigint")
 
 
 def count_value(c: Column) -> Column:
-    return F.when(~is_missing(c), _count(F.lower(strip(c))))
+    return _count(F.lower(present(c)))
 
 
 def unreadable(c: Column, value: Column) -> Column:
@@ -50,31 +55,38 @@ def unreadable(c: Column, value: Column) -> Column:
 def percent_value(c: Column, header_says_percent: Column | bool = False) -> Column:
     """Percentage points; a bare fraction counts as a share unless its header already names percent."""
     header = header_says_percent if isinstance(header_says_percent, Column) else F.lit(header_says_percent)
-    text = F.replace(strip(c), F.lit(" "), F.lit(""))
-    digits = F.rtrim(text, F.lit("%"))
-    number = F.when(digits.rlike(DECIMAL), digits.try_cast("double"))
+    text = F.replace(present(c), F.lit(" "), F.lit(""))
+    number = F.nullif(F.regexp_extract(F.rtrim(text, F.lit("%")), DECIMAL, 0), F.lit("")).try_cast("double")
     share = ~text.endswith("%") & ~header & (number > 0) & (number < 1)
-    return F.when(~is_missing(c), F.bround(F.when(share, number * 100).otherwise(number), 4))
-
-
-def money_value(c: Column) -> Column:
-    """Struct ``(value, note, unreadable)``: whole rupees, and whether it was a range or on request."""
-    low = F.lower(strip(c))
-    on_request = low.isin(*words.ON_REQUEST) | low.contains("request") | low.contains("barter")
-    text = strip(F.regexp_replace(low, MONEY_NOISE, " "))
-    parts = F.filter(F.transform(F.split(text, RANGE_MARK), strip), lambda p: p != "")
-    two = F.size(parts) == 2
-    first, second = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
-    bottom, top = count_value(first), count_value(second)
-    typed = F.coalesce(F.nullif(F.regexp_replace(second, "[^0-9.]", ""), F.lit("")).try_cast("double"), F.lit(1.0))
-    spread = (bottom < 1000) & (top >= 1000) & ~first.rlike("[a-z]")
-    start = F.when(spread, F.floor(F.try_divide(bottom * top, F.when(typed == 0, 1.0).otherwise(typed)))).otherwise(bottom)
-    ranged = two & bottom.isNotNull() & top.isNotNull()
-    value = (F.when(is_missing(c) | on_request, F.lit(None).cast("bigint"))
-             .when(ranged, F.floor((start + top) / 2)).otherwise(count_value(text)))
-    note = F.when(is_missing(c), None).when(on_request, "on_request").when(ranged, "range_midpoint")
-    return F.struct(value.cast("bigint").alias("value"), note.alias("note"),
-                    (~is_missing(c) & ~on_request & value.isNull() & ~is_missing(text)).alias("unreadable"))
+    return F.bround(number * F.when(share, 100).otherwise(1), 4)
+
+
+def with_money(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Read typed prices: for every ``source: name`` add ``name`` (whole rupees), ``name_note`` (a range, or on request)
+    and ``name_unreadable``."""
+    low = {n: F.lower(present(F.col(src))) for src, n in fields.items()}
+    df = once(df, **{f"_low_{n}": c for n, c in low.items()})
+    df = once(df, **{f"_text_{n}": strip(F.regexp_replace(f"_low_{n}", MONEY_NOISE, " ")) for n in low})
+    df = once(df, **{f"_parts_{n}": F.filter(F.transform(F.split(f"_text_{n}", RANGE_MARK), strip), lambda p: p != "") for n in low})
+    df = once(df, **{f"_counts_{n}": F.transform(f"_parts_{n}", count_value) for n in low})
+    read = {}
+    for n in low:
+        text, parts, counts = F.col(f"_text_{n}"), F.col(f"_parts_{n}"), F.col(f"_counts_{n}")
+        on_request = F.coalesce(F.col(f"_low_{n}").isin(*words.ON_REQUEST) | F.col(f"_low_{n}").contains("request")
+                                | F.col(f"_low_{n}").contains("barter"), F.lit(False))
+        bottom, top = F.try_element_at(counts, F.lit(1)), F.try_element_at(counts, F.lit(2))
+        # a suffix typed once, at the upper end, stands for both ends
+        typed = F.regexp_replace(F.try_element_at(parts, F.lit(2)), "[^0-9.]", "").try_cast("double")
+        bare = (bottom < 1000) & (top >= 1000) & ~F.try_element_at(parts, F.lit(1)).rlike("[a-z]")
+        start = F.when(bare, F.floor(F.try_divide(bottom * top, typed))).otherwise(bottom)
+        ranged = F.coalesce((F.size(parts) == 2) & bottom.isNotNull() & top.isNotNull() & ~on_request, F.lit(False))
+        single = F.when((F.size(parts) == 1) & (F.try_element_at(parts, F.lit(1)) == text), bottom)
+        value = F.when(ranged, F.floor((start + top) / 2)).when(~on_request, single).cast("bigint")
+        read[n] = value
+        read[f"{n}_note"] = F.when(on_request, "on_request").when(ranged, "range_midpoint")
+        read[f"{n}_unreadable"] = ~on_request & ~is_missing(text) & value.isNull()
+    df = once(df, **read)
+    return df.drop(*[f"_{k}_{n}" for k in ("low", "text", "parts", "counts") for n in low])
 
 
 def age_value(c: Column) -> Column:

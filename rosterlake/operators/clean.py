@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import names, refs, topics, values
-from rosterlake.session import cut_lineage
+from rosterlake.functions.steps import once
 from rosterlake.vocab import words
 
 IDENTITY = ("handle", "channel_id", "legacy_username", "custom_url")
@@ -39,16 +39,12 @@ def clean_rows(staging: DataFrame, batches: DataFrame) -> DataFrame:
     """Clean every staging row.
 
     ``staging``: row_id, batch_id, row_number, raw; ``batches``: batch_id, platform_hint, columns, ingested_at.
-    The result keeps rejected rows too, with ``reject`` set. It is written to the checkpoint folder once: accounts,
-    issues, sources and counters all read it, and filters on it must not be pushed back through the cleaning rules,
-    which would repeat them inside every condition.
+    The result keeps rejected rows too, with ``reject`` set.
     """
     mapped = map_headers(batches).select("batch_id", "platform_hint", "ingested_at", "mapping")
-    df = staging.join(mapped, "batch_id")
-    for field in words.HEADER_ALIASES:
-        df = df.withColumn(f"in_{field}", values.strip(F.coalesce(F.try_element_at(
-            "raw", F.try_element_at("mapping", F.lit(field))), F.lit(""))))
-    return cut_lineage(clean_fields(df))
+    cells = {f"in_{field}": values.strip(F.coalesce(F.try_element_at("raw", F.try_element_at("mapping", F.lit(field))), F.lit("")))
+             for field in words.HEADER_ALIASES}
+    return clean_fields(once(staging.join(mapped, "batch_id"), **cells))
 
 
 def clean_fields(df: DataFrame) -> DataFrame:
@@ -57,84 +53,68 @@ def clean_fields(df: DataFrame) -> DataFrame:
     no_identity = ~(F.map_contains_key(mapping, F.lit("name")) | F.map_contains_key(mapping, F.lit("handle"))
                     | F.map_contains_key(mapping, F.lit("url")))
     part, at_handle = names.split_name_handle(F.col("in_name"))
-    df = (df.withColumn("name_part", part).withColumn("name_handle", at_handle)
-          .withColumn("stated", F.coalesce(refs.platform_from_text(F.col("in_platform")), F.col("platform_hint"))))
+    df = once(df, name_part=part, name_handle=at_handle,
+              stated=F.coalesce(refs.platform_from_text(F.col("in_platform")), F.col("platform_hint")))
 
     # identity: link first, then the handle column, then the @handle inside the name
     df = refs.with_profile_ref(df, "in_url", "stated", "by_url")
     df = refs.with_profile_ref(df, "in_handle", "stated", "by_handle")
-    df = df.withColumn("url_ok", _usable("by_url")).withColumn("handle_ok", ~F.col("url_ok") & _usable("by_handle"))
+    df = once(df, url_ok=_usable("by_url"), handle_ok=~_usable("by_url") & _usable("by_handle"))
     in_name = ~F.col("url_ok") & ~F.col("handle_ok") & F.col("name_handle").isNotNull()
     name_is_channel = in_name & names.is_channel_id(F.col("name_handle"))
 
     def chosen(field: str) -> Column:
         return F.when(F.col("url_ok"), F.col(f"by_url.{field}")).when(F.col("handle_ok"), F.col(f"by_handle.{field}"))
 
-    platform = F.coalesce(chosen("platform"), F.col("stated"), F.when(name_is_channel, "youtube"))
-    df = (df.withColumn("platform", platform)
-          .withColumn("channel_id", F.coalesce(chosen("channel_id"), F.when(name_is_channel, F.col("name_handle"))))
-          .withColumn("found_handle", F.nullif(F.coalesce(
-              chosen("handle"), F.when(in_name & ~name_is_channel, F.col("name_handle"))), F.lit("")))
-          .withColumn("legacy", F.nullif(chosen("legacy_username"), F.lit("")))
-          .withColumn("custom", F.nullif(chosen("custom_url"), F.lit(""))))
+    df = once(df, platform=F.coalesce(chosen("platform"), F.col("stated"), F.when(name_is_channel, "youtube")),
+              channel_id=F.coalesce(chosen("channel_id"), F.when(name_is_channel, F.col("name_handle"))),
+              found_handle=F.nullif(F.coalesce(chosen("handle"), F.when(in_name & ~name_is_channel, F.col("name_handle"))), F.lit("")),
+              legacy=F.nullif(chosen("legacy_username"), F.lit("")), custom=F.nullif(chosen("custom_url"), F.lit("")))
     youtube = F.col("platform") == "youtube"
     channel = F.nullif(F.col("channel_id"), F.lit(""))
     provisional = youtube & channel.isNull()
     by_at, by_user = provisional & F.col("found_handle").isNotNull(), provisional & F.col("legacy").isNotNull()
     low = F.lower("found_handle")
-    df = (df.withColumn("handle", F.when(youtube & channel.isNotNull(), F.col("found_handle")).otherwise(low))
-          .withColumn("platform_key", F.when(~youtube, low).when(channel.isNotNull(), channel)
-                      .when(by_at, F.concat(F.lit("@"), low))
-                      .when(by_user, F.concat(F.lit("user:"), F.lower("legacy")))
-                      .when(F.col("custom").isNotNull(), F.concat(F.lit("c:"), F.lower("custom"))))
-          .withColumn("account_id", F.concat_ws(":", "platform", "platform_key"))
-          .withColumn("reject", F.when(no_identity, "no_name_handle_or_url_column")
-                      .when(F.col("platform").isNull(), "platform_unknown")
-                      .when(F.col("platform_key").isNull(), "no_account_identifier")))
+    df = once(df, handle=F.when(youtube & channel.isNotNull(), F.col("found_handle")).otherwise(low),
+              platform_key=F.when(~youtube, low).when(channel.isNotNull(), channel).when(by_at, F.concat(F.lit("@"), low))
+              .when(by_user, F.concat(F.lit("user:"), F.lower("legacy")))
+              .when(F.col("custom").isNotNull(), F.concat(F.lit("c:"), F.lower("custom"))))
+    df = once(df, account_id=F.concat_ws(":", "platform", "platform_key"),
+              reject=F.when(no_identity, "no_name_handle_or_url_column").when(F.col("platform").isNull(), "platform_unknown")
+              .when(F.col("platform_key").isNull(), "no_account_identifier"))
     identity_flags = [
         F.col("by_url.note"), F.when(~F.col("url_ok"), F.col("by_handle.note")),
         F.when(F.col("url_ok") & F.col("in_url").rlike("[?#]"), "url_params_stripped"),
         F.when(by_at, "yt_handle_needs_resolution"),
         F.when(by_user & ~by_at, "yt_username_needs_resolution"),
         F.when(F.col("platform_key").startswith("c:") & youtube, "yt_custom_url_unresolvable")]
-    df = df.withColumn("identity_flags", F.array(*identity_flags))
-
-    # name, falling back to the handle
-    df = df.withColumn("shown", F.when(F.col("name_handle").isNotNull(), F.col("name_part")).otherwise(F.col("in_name")))
+    # name, falling back to the handle; the stem of a row with a name is blank, so it costs nothing
+    df = once(df, identity_flags=F.array(*identity_flags),
+              shown=F.when(F.col("name_handle").isNotNull(), F.col("name_part")).otherwise(F.col("in_name")))
     df = names.with_display_name(df, "shown", "clean_name", "name_flags")
-    stem = F.coalesce(F.col("handle"), F.ltrim(F.element_at(F.split("platform_key", ":"), -1), F.lit("@")))
-    df = df.withColumn("stem", stem).withColumn("spaced_stem", F.regexp_replace("stem", "[._]+", " "))
-    df = names.with_display_name(df, "spaced_stem", "stem_name", "stem_flags")
     no_name = F.col("clean_name") == ""
-    df = df.withColumn("name_clean", F.when(no_name, F.coalesce(F.nullif(F.col("stem_name"), F.lit("")), F.col("stem")))
-                       .otherwise(F.col("clean_name")))
-    df = df.withColumn("name_reading", names.transliterate("name_clean")).withColumn(
-        "city_reading", names.transliterate("in_city"))
-    df = df.withColumn("entity", names.entity_guess(F.col("name_clean")))
-
-    # numbers
-    for field in COUNT_FIELDS:
-        df = df.withColumn(field, values.count_value(F.col(f"in_{field}")))
-    for field in RATE_FIELDS:
-        df = df.withColumn(field, values.money_value(F.col(f"in_{field}")))
-    says_percent = F.coalesce(F.try_element_at(mapping, F.lit("er")), F.lit(""))
-    df = (df.withColumn("er_pct", values.percent_value(
-              F.col("in_er"), says_percent.contains("%") | F.lower(says_percent).contains("percent")))
-          .withColumn("age", values.age_value(F.col("in_age"))))
+    df = once(df, stem=F.when(no_name, F.coalesce(F.col("handle"), F.ltrim(F.element_at(F.split("platform_key", ":"), -1), F.lit("@")))))
+    df = once(df, spaced_stem=F.regexp_replace("stem", "[._]+", " "))
+    df = names.with_display_name(df, "spaced_stem", "stem_name", "stem_flags")
+    df = once(df, name_clean=F.when(no_name, F.coalesce(F.nullif(F.col("stem_name"), F.lit("")), F.col("stem"))).otherwise(F.col("clean_name")))
+    df = df.withColumns({"name_reading": names.transliterate("name_clean"), "city_reading": names.transliterate("in_city")})
 
-    # topics and place
+    # numbers, topics and place
+    says_percent = F.coalesce(F.try_element_at(mapping, F.lit("er")), F.lit(""))
+    df = once(df, entity=names.entity_guess(F.col("name_clean")), **{f: values.count_value(F.col(f"in_{f}")) for f in COUNT_FIELDS},
+              er_pct=values.percent_value(F.col("in_er"), says_percent.contains("%") | F.lower(says_percent).contains("percent")),
+              age=values.age_value(F.col("in_age")), place=topics.city_match(F.col("in_city"), F.col("city_reading")),
+              country_given=topics.country_code(F.col("in_country")))
+    df = values.with_money(df, {f"in_{f}": f for f in RATE_FIELDS})
     df = topics.with_topics(df, "in_topics")
-    df = (df.withColumn("place", topics.city_match(F.col("in_city"), F.col("city_reading")))
-          .withColumn("country_given", topics.country_code(F.col("in_country"))))
     city = F.nullif(F.col("place.city"), F.lit(""))
-    df = (df.withColumn("state", F.coalesce(F.col("place.state"), F.nullif(topics.title_case(F.col("in_state")), F.lit(""))))
-          .withColumn("country", F.coalesce(F.col("country_given"),
-                                            F.when(city.isNotNull() & F.col("place.state").isNotNull(), "IN"))))
+    df = once(df, state=F.coalesce(F.col("place.state"), F.nullif(topics.title_case(F.col("in_state")), F.lit(""))),
+              country=F.coalesce(F.col("country_given"), F.when(city.isNotNull() & F.col("place.state").isNotNull(), "IN")))
 
     flags = [F.when(no_name, "name_from_handle")]
     flags += [F.when(values.unreadable(F.col(f"in_{f}"), F.col(f)), f"{f}_unparseable") for f in COUNT_FIELDS]
     for f in RATE_FIELDS:
-        flags += [F.concat(F.lit(f + "_"), F.col(f"{f}.note")), F.when(F.col(f"{f}.unreadable"), f"{f}_unparseable")]
+        flags += [F.concat(F.lit(f + "_"), F.col(f"{f}_note")), F.when(F.col(f"{f}_unreadable"), f"{f}_unparseable")]
     flags += [
         F.when(F.col("followers").isNull(), "followers_missing"),
         F.when(values.age_unreadable(F.col("in_age")), "age_unparseable"),
@@ -144,18 +124,19 @@ def clean_fields(df: DataFrame) -> DataFrame:
         F.when(F.size("unknown_topic_words") > 0, "topics_unmapped_words"),
         F.when((F.col("in_city") != "") & ~F.col("place.known"), "city_not_in_reference_list")]
     every = F.concat(F.col("identity_flags"), F.col("name_flags"), F.array(*flags))
+    df = once(df, all_flags=F.array_sort(F.array_distinct(F.array_compact(every))))
     return df.select(
         "row_id", "batch_id", "row_number", "ingested_at", "reject", "platform", "platform_key", "account_id", "handle",
         "channel_id", F.coalesce(F.nullif(F.col("shown"), F.lit("")), F.col("in_name")).alias("display_name_raw"),
         "name_clean", names.name_key(F.col("name_reading")).alias("name_key"),
         names.handle_core(F.col("handle")).alias("handle_core"), "followers", "er_pct",
         F.col("reach").alias("potential_reach"), F.col("avg_views").cast("double").alias("avg_views"),
-        *[F.col(f"{f}.value").alias(f"{f}_inr") for f in RATE_FIELDS], "age",
+        *[F.col(f).alias(f"{f}_inr") for f in RATE_FIELDS], "age",
         topics.gender_class(F.col("in_gender")).alias("gender"), topics.language_list(F.col("in_languages")).alias("languages"),
         values.split_list(F.col("in_brands")).alias("brands"), topics.region_of(F.col("state")).alias("region"),
         topics.city_tier(city).alias("city_tier"), "country", city.alias("city"), "state", "topics", "categories", "tags",
         "unknown_topic_words", F.col("entity.type").alias("entity_type"), F.col("entity.reason").alias("entity_reason"),
-        F.array_sort(F.array_distinct(F.array_compact(every))).alias("flags"))
+        F.col("all_flags").alias("flags"))
 
 
 def row_issues(cleaned: DataFrame) -> DataFrame:

@@ -79,8 +79,8 @@ def money(spark, folder):
     forms = [F.concat(F.lit("₹"), F.format_number(F.col("n"), 0)), F.concat(F.lit("Rs. "), n, F.lit(" per reel")), F.lit("20-30k"),
              F.concat(n, F.lit(" to "), (F.col("n") + 1000).cast("string")), F.lit("DM for rates"), F.concat(F.lit("call "), n),
              F.concat(F.lit("INR "), n, F.lit("L"))]
-    read = _orders(spark, folder).withColumn("m", values.money_value(_choose(F.col("k"), forms)))
-    return read.select(F.col("k").alias("o_orderkey"), F.col("m.value").alias("rupees"), "m.note", "m.unreadable")
+    read = values.with_money(_orders(spark, folder).withColumn("text", _choose(F.col("k"), forms)), {"text": "rupees"})
+    return read.select(F.col("k").alias("o_orderkey"), "rupees", F.col("rupees_note").alias("note"), F.col("rupees_unreadable").alias("unreadable"))
 
 
 @query("b6_ages", """
