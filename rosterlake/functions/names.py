@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rosterlake.functions.steps import once
+from rosterlake.functions.steps import once, step
 from rosterlake.functions.values import sorted_flags, strip
 from rosterlake.vocab import words
 
@@ -87,19 +87,19 @@ def _recase(word: Column) -> Column:
 def with_display_name(df: DataFrame, src: str, out: str, flags: str) -> DataFrame:
     """Add a readable display name and the list of what was changed."""
     c = F.col
-    step = df.withColumn("_folded", F.coalesce(fold(c(src)), F.lit("")))
+    made = df.withColumn("_folded", F.coalesce(fold(c(src)), F.lit("")))
     unmarked = F.ltrim(F.regexp_replace("_folded", HASHTAG, " "), F.lit("@"))
-    step = once(step, _marked=F.replace(unmarked, F.lit("’"), F.lit("'")), _tagged=c("_folded").rlike(HASHTAG),
+    made = step(made, _marked=F.replace(unmarked, F.lit("’"), F.lit("'")), _tagged=c("_folded").rlike(HASHTAG),
                 _refolded=c("_folded") != F.coalesce(c(src), F.lit("")))
-    step = once(step, _bare=F.regexp_replace("_marked", SYMBOL, " "), _symbols=c("_marked").rlike(SYMBOL))
-    step = once(step, _kept=F.btrim(F.regexp_replace("_bare", r"\s+", " "), F.lit(" .-|:_")))
-    step = once(step, _spaced=c("_kept").rlike(SPACED_LETTERS))
-    step = once(step, _joined=F.when(c("_spaced"), F.regexp_replace("_kept", "[ _]+", "")).otherwise(
+    made = step(made, _bare=F.regexp_replace("_marked", SYMBOL, " "), _symbols=c("_marked").rlike(SYMBOL))
+    made = step(made, _kept=F.btrim(F.regexp_replace("_bare", r"\s+", " "), F.lit(" .-|:_")))
+    made = step(made, _spaced=c("_kept").rlike(SPACED_LETTERS))
+    made = step(made, _joined=F.when(c("_spaced"), F.regexp_replace("_kept", "[ _]+", "")).otherwise(
         F.trim(F.regexp_replace("_kept", "_+", " "))))
     tokens = F.filter(F.split("_joined", " "), lambda t: t.isin("&", "|", "-") | t.rlike(WORD_CHAR))
-    step = once(step, _tidy=F.btrim(F.regexp_replace(F.array_join(tokens, " "), r"\(\s*\)", ""), F.lit(" .-|:")))
-    step = once(step, _unreadable=(c("_tidy") != "") & ~c("_tidy").rlike(READABLE), _latin=F.regexp_replace("_tidy", "[^A-Za-z]", ""))
-    step = once(step, _one_case=~c("_unreadable") & (F.length("_latin") > 3) & (
+    made = step(made, _tidy=F.btrim(F.regexp_replace(F.array_join(tokens, " "), r"\(\s*\)", ""), F.lit(" .-|:")))
+    made = step(made, _unreadable=(c("_tidy") != "") & ~c("_tidy").rlike(READABLE), _latin=F.regexp_replace("_tidy", "[^A-Za-z]", ""))
+    made = step(made, _one_case=~c("_unreadable") & (F.length("_latin") > 3) & (
         (c("_latin") == F.upper("_latin")) | (c("_latin") == F.lower("_latin"))))
     recased = F.array_join(F.transform(F.split("_tidy", " "), _recase), " ")
     changes = sorted_flags(
@@ -107,8 +107,8 @@ def with_display_name(df: DataFrame, src: str, out: str, flags: str) -> DataFram
         F.when(c("_symbols"), "name_symbols_removed"), F.when(c("_spaced"), "name_spaced_letters_joined"),
         F.when(c("_unreadable"), "name_unreadable"), F.when(c("_one_case"), "name_case_fixed"),
         F.when(~c("_unreadable") & c("_tidy").rlike(r"[\p{L}&&[^\x00-\x7F]]"), "name_non_latin_script"))
-    step = once(step, **{out: F.when(c("_unreadable"), "").when(c("_one_case"), recased).otherwise(c("_tidy")), flags: changes})
-    return step.drop("_folded", "_marked", "_tagged", "_refolded", "_bare", "_symbols", "_kept", "_spaced", "_joined", "_tidy",
+    made = once(made, **{out: F.when(c("_unreadable"), "").when(c("_one_case"), recased).otherwise(c("_tidy")), flags: changes})
+    return made.drop("_folded", "_marked", "_tagged", "_refolded", "_bare", "_symbols", "_kept", "_spaced", "_joined", "_tidy",
                      "_unreadable", "_latin", "_one_case")
 
 

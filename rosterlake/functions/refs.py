@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions.names import is_channel_id
-from rosterlake.functions.steps import once
+from rosterlake.functions.steps import once, step
 from rosterlake.functions.values import strip
 from rosterlake.vocab import words
 
@@ -43,21 +43,21 @@ def with_profile_ref(df: DataFrame, src: str, hint: str, out: str, hosts: dict[s
     """
     hosts = hosts or words.PLATFORM_HOSTS
     any_host = "|".join(re.escape(h) for h in hosts)
-    step = once(df, _s=F.btrim(strip(F.coalesce(F.col(src), F.lit(""))), F.lit("\"'<>")))
+    made = step(df, _s=F.btrim(strip(F.coalesce(F.col(src), F.lit(""))), F.lit("\"'<>")))
     low = F.lower("_s")
     full = F.when(low.startswith("http"), F.col("_s")).otherwise(F.concat(F.lit("https://"), F.col("_s")))
     token = strip(F.ltrim("_s", F.lit("@")))
-    step = once(step, _is_url=F.col("_s").contains("/") | low.rlike(f"^(http|www\\.)|{any_host}"), _full=full, _token=token,
+    made = step(made, _is_url=F.col("_s").contains("/") | low.rlike(f"^(http|www\\.)|{any_host}"), _full=full, _token=token,
                 _token_is_channel=is_channel_id(token))
     netloc = F.lower(F.regexp_extract("_full", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)", 1))
     path = F.regexp_extract("_full", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)", 1)
-    step = once(step, _host=F.regexp_replace(netloc, r"^(www\.|m\.|mobile\.)", ""),
+    made = step(made, _host=F.regexp_replace(netloc, r"^(www\.|m\.|mobile\.)", ""),
                 _path=F.filter(F.split(F.regexp_replace(path, ";[^/]*$", ""), "/"), lambda p: p != ""))
     site = F.lit(None).cast("string")
     for host, platform in reversed(list(hosts.items())):
         site = F.when((F.col("_host") == host) | F.col("_host").endswith("." + host), platform).otherwise(site)
     p1 = F.try_element_at("_path", F.lit(1))
-    step = once(step, _site=site, _p1=p1, _p2=F.try_element_at("_path", F.lit(2)), _person=F.lower(F.ltrim(p1, F.lit("@"))))
+    made = step(made, _site=site, _p1=p1, _p2=F.try_element_at("_path", F.lit(2)), _person=F.lower(F.ltrim(p1, F.lit("@"))))
 
     given = F.col("_s") != ""
     url, bare = given & F.col("_is_url"), given & ~F.col("_is_url")
@@ -89,8 +89,8 @@ def with_profile_ref(df: DataFrame, src: str, hint: str, out: str, hosts: dict[s
             channel_page & ~at & ~keyed["channel"] & ~keyed["user"], p1),
         "note": note,
     }
-    step = once(step, **{out: F.struct(*[parts[p].alias(p) for p in PARTS])})
-    return step.drop("_s", "_is_url", "_full", "_token", "_token_is_channel", "_host", "_path", "_site", "_p1", "_p2", "_person")
+    made = once(made, **{out: F.struct(*[parts[p].alias(p) for p in PARTS])})
+    return made.drop("_s", "_is_url", "_full", "_token", "_token_is_channel", "_host", "_path", "_site", "_p1", "_p2", "_person")
 
 
 def canonical_url(platform: Column, handle: Column, channel_id: Column) -> Column:

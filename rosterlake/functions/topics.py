@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.functions.steps import once
+from rosterlake.functions.steps import once, step
 from rosterlake.functions.values import literal_map, strip
 from rosterlake.vocab import places, topics, words
 
@@ -30,15 +30,15 @@ def with_topics(df: DataFrame, src: str, prefix: str = "", vocabulary: dict | No
     text = F.replace(F.replace(F.lower(F.coalesce(F.col(src), F.lit(""))), F.lit("’"), F.lit("'")), F.lit("&"),
                      F.lit(" and "))
     text = strip(F.regexp_replace(F.regexp_replace(text, "[,/;|]+", " "), r"\s+", " "))
-    step = once(df, _parts=F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    step = once(step, _known=F.filter("_parts", lambda p: p.isin(*phrases)),
+    made = step(df, _parts=F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    made = step(made, _known=F.filter("_parts", lambda p: p.isin(*phrases)),
                 **{prefix + "unknown_topic_words": F.filter("_parts", lambda p: ~p.isin(*phrases, *fillers))})
     cats, tags = (_lists({k: v[i] for k, v in vocabulary.items()}) for i in (0, 1))
-    step = once(step, **{
+    made = once(made, **{
         prefix + "topics": F.array_distinct("_known"),
         prefix + "categories": F.array_distinct(F.flatten(F.transform("_known", lambda p: F.try_element_at(cats, p)))),
         prefix + "tags": F.array_distinct(F.flatten(F.transform("_known", lambda p: F.try_element_at(tags, p))))})
-    return step.drop("_parts", "_known")
+    return made.drop("_parts", "_known")
 
 
 def channel_categories(urls: Column) -> Column:

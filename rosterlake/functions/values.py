@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.functions.steps import once
+from rosterlake.functions.steps import once, step
 from rosterlake.vocab import words
 
 WHITESPACE = " \t\n\r\f\u000b   　"
@@ -65,10 +65,10 @@ def with_money(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Read typed prices: for every ``source: name`` add ``name`` (whole rupees), ``name_note`` (a range, or on request)
     and ``name_unreadable``."""
     low = {n: F.lower(present(F.col(src))) for src, n in fields.items()}
-    df = once(df, **{f"_low_{n}": c for n, c in low.items()})
-    df = once(df, **{f"_text_{n}": strip(F.regexp_replace(f"_low_{n}", MONEY_NOISE, " ")) for n in low})
-    df = once(df, **{f"_parts_{n}": F.filter(F.transform(F.split(f"_text_{n}", RANGE_MARK), strip), lambda p: p != "") for n in low})
-    df = once(df, **{f"_counts_{n}": F.transform(f"_parts_{n}", count_value) for n in low})
+    df = step(df, **{f"_low_{n}": c for n, c in low.items()})
+    df = step(df, **{f"_text_{n}": strip(F.regexp_replace(f"_low_{n}", MONEY_NOISE, " ")) for n in low})
+    df = step(df, **{f"_parts_{n}": F.filter(F.transform(F.split(f"_text_{n}", RANGE_MARK), strip), lambda p: p != "") for n in low})
+    df = step(df, **{f"_counts_{n}": F.transform(f"_parts_{n}", count_value) for n in low})
     read = {}
     for n in low:
         text, parts, counts = F.col(f"_text_{n}"), F.col(f"_parts_{n}"), F.col(f"_counts_{n}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import names, refs, topics, values
-from rosterlake.functions.steps import once
+from rosterlake.functions.steps import once, step
 from rosterlake.vocab import words
 
 IDENTITY = ("handle", "channel_id", "legacy_username", "custom_url")
@@ -44,7 +44,7 @@ def clean_rows(staging: DataFrame, batches: DataFrame) -> DataFrame:
     mapped = map_headers(batches).select("batch_id", "platform_hint", "ingested_at", "mapping")
     cells = {f"in_{field}": values.strip(F.coalesce(F.try_element_at("raw", F.try_element_at("mapping", F.lit(field))), F.lit("")))
              for field in words.HEADER_ALIASES}
-    return clean_fields(once(staging.join(mapped, "batch_id"), **cells))
+    return clean_fields(step(staging.join(mapped, "batch_id"), **cells).drop("raw"))
 
 
 def clean_fields(df: DataFrame) -> DataFrame:
@@ -53,20 +53,20 @@ def clean_fields(df: DataFrame) -> DataFrame:
     no_identity = ~(F.map_contains_key(mapping, F.lit("name")) | F.map_contains_key(mapping, F.lit("handle"))
                     | F.map_contains_key(mapping, F.lit("url")))
     part, at_handle = names.split_name_handle(F.col("in_name"))
-    df = once(df, name_part=part, name_handle=at_handle,
+    df = step(df, name_part=part, name_handle=at_handle,
               stated=F.coalesce(refs.platform_from_text(F.col("in_platform")), F.col("platform_hint")))
 
     # identity: link first, then the handle column, then the @handle inside the name
     df = refs.with_profile_ref(df, "in_url", "stated", "by_url")
     df = refs.with_profile_ref(df, "in_handle", "stated", "by_handle")
-    df = once(df, url_ok=_usable("by_url"), handle_ok=~_usable("by_url") & _usable("by_handle"))
+    df = step(df, url_ok=_usable("by_url"), handle_ok=~_usable("by_url") & _usable("by_handle"))
     in_name = ~F.col("url_ok") & ~F.col("handle_ok") & F.col("name_handle").isNotNull()
     name_is_channel = in_name & names.is_channel_id(F.col("name_handle"))
 
     def chosen(field: str) -> Column:
         return F.when(F.col("url_ok"), F.col(f"by_url.{field}")).when(F.col("handle_ok"), F.col(f"by_handle.{field}"))
 
-    df = once(df, platform=F.coalesce(chosen("platform"), F.col("stated"), F.when(name_is_channel, "youtube")),
+    df = step(df, platform=F.coalesce(chosen("platform"), F.col("stated"), F.when(name_is_channel, "youtube")),
               channel_id=F.coalesce(chosen("channel_id"), F.when(name_is_channel, F.col("name_handle"))),
               found_handle=F.nullif(F.coalesce(chosen("handle"), F.when(in_name & ~name_is_channel, F.col("name_handle"))), F.lit("")),
               legacy=F.nullif(chosen("legacy_username"), F.lit("")), custom=F.nullif(chosen("custom_url"), F.lit("")))
@@ -75,7 +75,7 @@ def clean_fields(df: DataFrame) -> DataFrame:
     provisional = youtube & channel.isNull()
     by_at, by_user = provisional & F.col("found_handle").isNotNull(), provisional & F.col("legacy").isNotNull()
     low = F.lower("found_handle")
-    df = once(df, handle=F.when(youtube & channel.isNotNull(), F.col("found_handle")).otherwise(low),
+    df = step(df, handle=F.when(youtube & channel.isNotNull(), F.col("found_handle")).otherwise(low),
               platform_key=F.when(~youtube, low).when(channel.isNotNull(), channel).when(by_at, F.concat(F.lit("@"), low))
               .when(by_user, F.concat(F.lit("user:"), F.lower("legacy")))
               .when(F.col("custom").isNotNull(), F.concat(F.lit("c:"), F.lower("custom"))))
@@ -89,26 +89,26 @@ def clean_fields(df: DataFrame) -> DataFrame:
         F.when(by_user & ~by_at, "yt_username_needs_resolution"),
         F.when(F.col("platform_key").startswith("c:") & youtube, "yt_custom_url_unresolvable")]
     # name, falling back to the handle; the stem of a row with a name is blank, so it costs nothing
-    df = once(df, identity_flags=F.array(*identity_flags),
+    df = step(df, identity_flags=F.array(*identity_flags),
               shown=F.when(F.col("name_handle").isNotNull(), F.col("name_part")).otherwise(F.col("in_name")))
     df = names.with_display_name(df, "shown", "clean_name", "name_flags")
     no_name = F.col("clean_name") == ""
-    df = once(df, stem=F.when(no_name, F.coalesce(F.col("handle"), F.ltrim(F.element_at(F.split("platform_key", ":"), -1), F.lit("@")))))
-    df = once(df, spaced_stem=F.regexp_replace("stem", "[._]+", " "))
+    df = step(df, stem=F.when(no_name, F.coalesce(F.col("handle"), F.ltrim(F.element_at(F.split("platform_key", ":"), -1), F.lit("@")))))
+    df = step(df, spaced_stem=F.regexp_replace("stem", "[._]+", " "))
     df = names.with_display_name(df, "spaced_stem", "stem_name", "stem_flags")
     df = once(df, name_clean=F.when(no_name, F.coalesce(F.nullif(F.col("stem_name"), F.lit("")), F.col("stem"))).otherwise(F.col("clean_name")))
     df = df.withColumns({"name_reading": names.transliterate("name_clean"), "city_reading": names.transliterate("in_city")})
 
     # numbers, topics and place
     says_percent = F.coalesce(F.try_element_at(mapping, F.lit("er")), F.lit(""))
-    df = once(df, entity=names.entity_guess(F.col("name_clean")), **{f: values.count_value(F.col(f"in_{f}")) for f in COUNT_FIELDS},
+    df = step(df, entity=names.entity_guess(F.col("name_clean")), **{f: values.count_value(F.col(f"in_{f}")) for f in COUNT_FIELDS},
               er_pct=values.percent_value(F.col("in_er"), says_percent.contains("%") | F.lower(says_percent).contains("percent")),
               age=values.age_value(F.col("in_age")), place=topics.city_match(F.col("in_city"), F.col("city_reading")),
               country_given=topics.country_code(F.col("in_country")))
     df = values.with_money(df, {f"in_{f}": f for f in RATE_FIELDS})
     df = topics.with_topics(df, "in_topics")
     city = F.nullif(F.col("place.city"), F.lit(""))
-    df = once(df, state=F.coalesce(F.col("place.state"), F.nullif(topics.title_case(F.col("in_state")), F.lit(""))),
+    df = step(df, state=F.coalesce(F.col("place.state"), F.nullif(topics.title_case(F.col("in_state")), F.lit(""))),
               country=F.coalesce(F.col("country_given"), F.when(city.isNotNull() & F.col("place.state").isNotNull(), "IN")))
 
     flags = [F.when(no_name, "name_from_handle")]
@@ -124,7 +124,7 @@ def clean_fields(df: DataFrame) -> DataFrame:
         F.when(F.size("unknown_topic_words") > 0, "topics_unmapped_words"),
         F.when((F.col("in_city") != "") & ~F.col("place.known"), "city_not_in_reference_list")]
     every = F.concat(F.col("identity_flags"), F.col("name_flags"), F.array(*flags))
-    df = once(df, all_flags=F.array_sort(F.array_distinct(F.array_compact(every))))
+    df = step(df, all_flags=F.array_sort(F.array_distinct(F.array_compact(every))))
     return df.select(
         "row_id", "batch_id", "row_number", "ingested_at", "reject", "platform", "platform_key", "account_id", "handle",
         "channel_id", F.coalesce(F.nullif(F.col("shown"), F.lit("")), F.col("in_name")).alias("display_name_raw"),

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM does not compile methods above this size; Spark then takes its other path instead of running them interpreted
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
