@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.operators.scale import cumulative_counts
 from rosterlake.vocab import words
 
 MONEY = "decimal(18,2)"
@@ -33,8 +34,11 @@ def billing_run(campaigns: DataFrame, creators: DataFrame, orgs: DataFrame, invo
              .join(orgs, "org_id", "left").join(issued, "org_id", "left")
              .withColumn("unit_price", fee).withColumn("subtotal", (F.col("unit_price") * F.col("creators")).cast(MONEY))
              .withColumn("tax", F.round(F.col("subtotal") * F.lit(words.TAX_RATE).cast("decimal(4,2)"), 2).cast(MONEY)))
-    place = F.row_number().over(Window.partitionBy("org_id").orderBy("id")) + F.coalesce("_issued", F.lit(0))
-    return bills.withColumn("_place", place).select(
+    # place in the organisation's sequence: campaigns before it, counted without gathering an organisation
+    earlier = cumulative_counts(bills.select("org_id", "id"), ["org_id"], "id").select(
+        "org_id", F.col("value").cast("bigint").alias("id"), F.col("before").alias("_before"))
+    place = F.col("_before") + 1 + F.coalesce("_issued", F.lit(0))
+    return bills.join(earlier, ["org_id", "id"]).withColumn("_place", place).select(
         "org_id", F.col("id").alias("campaign_id"), F.concat(prefix, F.lpad(F.col("_place").cast("string"), 4, "0")).alias("number"),
         F.lit("issued").alias("status"), as_of.alias("issued_at"),
         (as_of + F.make_dt_interval(F.lit(words.DUE_DAYS))).alias("due_at"), F.col("creators").alias("qty"), "unit_price",
@@ -72,12 +76,10 @@ def pending_campaigns(campaigns: DataFrame, creators: DataFrame) -> DataFrame:
 
 
 def invoice_documents(invoices: DataFrame, lines: DataFrame, payments: DataFrame) -> DataFrame:
-    """Invoices with their lines and payments nested."""
-    def nested(df, name):
-        rest = ["id", *[c for c in df.columns if c not in ("id", "invoice_id")]]
-        return df.groupBy(F.col("invoice_id").alias("_inv")).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
-    out = invoices
-    for side, name in ((lines, "lines"), (payments, "payments")):
-        part = nested(side, name)
-        out = out.join(part, out["id"] == part["_inv"], "left").drop("_inv")
-    return out
+    """Invoice documents, one row per line or payment next to its invoice (I10). ``lines`` and ``payments`` carry
+    ``invoice_id`` and ``id``; an invoice without either keeps one row. Rows are never nested, as one invoice may have
+    very many lines."""
+    def entries(df, part):
+        return df.withColumnRenamed("id", "part_id").withColumn("part", F.lit(part))
+    parts = entries(lines, "line").unionByName(entries(payments, "payment"), allowMissingColumns=True)
+    return invoices.join(parts.withColumnRenamed("invoice_id", "id"), "id", "left")

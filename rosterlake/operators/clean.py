@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import names, refs, topics, values
 from rosterlake.functions.steps import once, step
+from rosterlake.operators.scale import hot_first_join
 from rosterlake.vocab import words
 
 IDENTITY = ("handle", "channel_id", "legacy_username", "custom_url")
@@ -41,10 +42,14 @@ def clean_rows(staging: DataFrame, batches: DataFrame) -> DataFrame:
     ``staging``: row_id, batch_id, row_number, raw; ``batches``: batch_id, platform_hint, columns, ingested_at.
     The result keeps rejected rows too, with ``reject`` set.
     """
-    mapped = map_headers(batches).select("batch_id", "platform_hint", "ingested_at", "mapping")
+    take = ["platform_hint", "ingested_at", "mapping"]
+    mapped = map_headers(batches).select("batch_id", *take, *[c for c in ("row_count",) if c in batches.columns])
     cells = {f"in_{field}": values.strip(F.coalesce(F.try_element_at("raw", F.try_element_at("mapping", F.lit(field))), F.lit("")))
              for field in words.HEADER_ALIASES}
-    return clean_fields(step(staging.join(mapped, "batch_id"), **cells).drop("raw"))
+    # one sheet may hold a large share of all rows; the registry knows its size
+    rows = (hot_first_join(staging, mapped, ["batch_id"], "row_count", "row_id", take) if "row_count" in mapped.columns
+            else staging.join(mapped, "batch_id"))
+    return clean_fields(step(rows.where(F.col("mapping").isNotNull()), **cells).drop("raw", "row_count"))
 
 
 def clean_fields(df: DataFrame) -> DataFrame:

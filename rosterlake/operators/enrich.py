@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import names, topics
-from rosterlake.operators.scale import top_per_group
+from rosterlake.operators.scale import sparse_join, top_per_group
 
 RECENT_VIDEOS = 10
 MIN_VIDEO_HOURS = 48
@@ -29,7 +29,7 @@ def fold_channels(accounts: DataFrame, channels: DataFrame) -> DataFrame:
                            F.col("country").alias("_country"),
                            F.nullif(F.lower(F.ltrim("custom_url", F.lit("@"))), F.lit("")).alias("_handle"),
                            F.lit(True).alias("_hit"))
-    joined = accounts.join(side, "channel_id", "left")
+    joined = sparse_join(accounts, side, "channel_id", "account_id")
     new = F.array_except(F.col("_cats"), F.col("categories"))
     grown = F.coalesce(F.size(new) > 0, F.lit(False))
     hit = F.coalesce("_hit", F.lit(False))
@@ -47,7 +47,7 @@ def flag_missing_channels(accounts: DataFrame, asked: DataFrame, channels: DataF
     """Flag accounts whose channel was asked for but not answered."""
     missing = asked.select("channel_id").distinct().join(channels.select("channel_id"), "channel_id", "left_anti").withColumn(
         "_missing", F.lit(True))
-    joined = accounts.join(missing, "channel_id", "left")
+    joined = sparse_join(accounts, missing, "channel_id", "account_id")
     flags = F.when(F.col("_missing"), F.array_append("flags", "yt_channel_not_found")).otherwise(F.col("flags"))
     return joined.select(*[flags.alias(c) if c == "flags" else F.col(c) for c in accounts.columns])
 

@@ -9,7 +9,7 @@ from rosterlake.functions import names
 from rosterlake.functions.similarity import pair_similarity
 from rosterlake.operators.latest import latest_per_key
 from rosterlake.operators.merge import distinct_items
-from rosterlake.operators.scale import HOT_KEYS, hot_first_join
+from rosterlake.operators.scale import HOT_KEYS, hot_first_join, sparse_join
 from rosterlake.session import cut_lineage
 
 # Fixed values of the matching rules.
@@ -33,6 +33,11 @@ def block_sizes(df: DataFrame, blocks: str = "blocks") -> DataFrame:
     return df.select(F.explode(blocks).alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("members"))
 
 
+def crowded_blocks(df: DataFrame, blocks: str = "blocks", limit: int = BLOCK_LIMIT) -> DataFrame:
+    """The blocks the matching rules leave out, with their sizes, so that nothing is left out unseen."""
+    return block_sizes(df, blocks).where(F.col("members") > limit)
+
+
 def candidate_pairs(df: DataFrame, key: str, blocks: str, carry: list[str], limit: int = BLOCK_LIMIT) -> DataFrame:
     """Pairs of rows that share a block of at most ``limit`` members, each pair once (C4).
 
@@ -181,7 +186,7 @@ def resolve_keys(rows: DataFrame, resolutions: DataFrame) -> DataFrame:
                     .when(key.startswith("user:"), F.concat(F.lit("username:"), F.substr(key, F.lit(6)))))
     found = resolutions.where(F.col("status") == "resolved").select(
         F.col("input_key").alias("_lookup"), F.col("channel_id").alias("_resolved"))
-    joined = rows.withColumn("_lookup", lookup).join(found, "_lookup", "left")
+    joined = sparse_join(rows.withColumn("_lookup", lookup), found, "_lookup", "row_id")
     hit = F.col("_resolved").isNotNull()
     settled = F.concat(F.filter("flags", lambda f: ~f.endswith("needs_resolution")), F.array(F.lit("yt_resolved_via_api")))
     swaps = {"channel_id": F.coalesce("_resolved", "channel_id"), "platform_key": F.coalesce("_resolved", "platform_key"),

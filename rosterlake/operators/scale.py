@@ -95,6 +95,13 @@ def hot_first_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight:
                          *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in take])
 
 
+def sparse_join(left: DataFrame, right: DataFrame, on: str, spread_by: str) -> DataFrame:
+    """Left join on a key that most left rows lack. Rows without it find no partner anyway, so a salt spreads them
+    instead of sending them all to the reducer of the null key."""
+    salt = F.when(F.col(on).isNull(), 1 + F.pmod(F.xxhash64(spread_by), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.lit(0)), [on, "_salt"], "left").drop("_salt")
+
+
 def percent_ranks(df: DataFrame, key: str, specs: dict[str, tuple[Column, bool]], absent: float = 0.3) -> DataFrame:
     """Add tie-averaged percent ranks (E4): ``specs`` maps output name to (value, higher is better).
 

@@ -165,10 +165,10 @@ def progress(spark, folder):
          CASE WHEN status = 'paid' THEN CAST(total AS DOUBLE) ELSE 0 END AS paid FROM inv"""))
 def invoice_documents(spark, folder):
     docs = billing.invoice_documents(*invoices(spark, folder))
-    zero = F.lit(0).cast("bigint")
-    return docs.select("id", "org_id", "status", F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"),
-                       F.coalesce(F.aggregate("lines", zero, lambda a, x: a + x["qty"]), zero).alias("qty"),
-                       F.coalesce(F.aggregate("payments", F.lit(0.0), lambda a, x: a + x["amount"].cast("double")), F.lit(0.0)).alias("paid"))
+    line, zero = F.col("part") == "line", F.lit(0).cast("bigint")
+    return docs.groupBy("id", "org_id", "status").agg(
+        F.count_if(line).alias("n_lines"), F.coalesce(F.sum(F.when(line, F.col("qty"))), zero).alias("qty"),
+        F.coalesce(F.sum(F.when(F.col("part") == "payment", F.col("amount"))).cast("double"), F.lit(0.0)).alias("paid"))
 
 
 @query("i11_mapping_accuracy", "SELECT count(*) FILTER (WHERE c_custkey % 10 > 0) AS correct, count(*) AS rows FROM customer")
