@@ -155,8 +155,8 @@ def written_layers(spark, folder):
 
 
 @query("a15_preview", """
-  SELECT c_custkey * 2 AS row_number, CAST(12 AS INTEGER) AS mapped, c_custkey % 3 AS kind FROM customer WHERE c_nationkey = 0
-  UNION ALL SELECT c_custkey * 2 + 1, 12, c_custkey % 3 FROM customer WHERE c_nationkey = 24 AND c_custkey % 8 = 0 ORDER BY 1 LIMIT 8""")
+  SELECT c_custkey * 2 + again AS row_number, CAST(12 AS INTEGER) AS mapped, c_custkey % 3 AS kind
+  FROM customer JOIN (VALUES (0), (1)) t(again) ON again = 0 OR c_custkey % 8 = 0 ORDER BY (c_nationkey + again) % 25, row_number LIMIT 8""")
 def preview(spark, folder):
     batches, staging = sheet(spark, folder)
     k = F.floor(F.col("row_number") / 2)
