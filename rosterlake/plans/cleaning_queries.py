@@ -142,7 +142,9 @@ def name_keys(spark, folder):
     return df.select("doc_id", F.length(key).cast("bigint").alias("length"), F.md5(key).alias("key_md5"))
 
 
-@query("b11_handle_cores", f"SELECT c_custkey, {CODE} || lower(c_mktsegment) AS core FROM customer")
+@query("b11_handle_cores", rf"""
+  SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace({CODE} || '.official-' || lower(c_mktsegment) || '_' || c_custkey,
+         'official|offl|offical|real|iam|tiktok', '', 'g'), '[._-]', '', 'g'), '[0-9]+$', '') AS core FROM customer""")
 def handle_cores(spark, folder):
     k = F.col("c_custkey")
     text = F.concat(F.lit("@_"), F.upper(letters(k)), F.lit(".official-"), F.lower("c_mktsegment"), F.lit("_"), k.cast("string"))

@@ -72,7 +72,7 @@ def _brief_sql(b: Brief) -> str:
       SELECT *, rank() OVER (ORDER BY vclip NULLS LAST) AS vlo, count(*) OVER (PARTITION BY vclip) AS vsame, count(vclip) OVER () AS vn,
         rank() OVER (ORDER BY cpv_deliverable DESC NULLS LAST) AS clo, count(*) OVER (PARTITION BY cpv_deliverable) AS csame, count(cpv_deliverable) OVER () AS cn FROM (
         SELECT *, CAST({rate} AS DOUBLE) AS cost, avg_views * {num(share)} AS est_views, CASE WHEN avg_views * {num(share)} <> 0 THEN CAST({rate} AS DOUBLE) / (avg_views * {num(share)}) END AS cpv_deliverable,
-               greatest(avg_views * {num(share)}, 1) AS vclip FROM p)))"""
+               CASE WHEN avg_views IS NOT NULL THEN greatest(avg_views * {num(share)}, 1) END AS vclip FROM p)))"""
 
 
 def scored_sql(briefs=BRIEFS) -> str:

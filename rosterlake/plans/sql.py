@@ -38,7 +38,7 @@ base AS (
          CASE WHEN k % 19 = 0 THEN CAST([] AS VARCHAR[]) ELSE cats END AS categories, tags, brands,
          CASE WHEN k % 7 = 0 THEN CAST([] AS VARCHAR[]) WHEN k % 2 = 0 AND tongue <> 'English' THEN [tongue, 'English']
               ELSE [tongue] END AS languages,
-         er > 5.5 AS suspicious_er, CASE WHEN k % 3 = 0 THEN 'youtube_api' ELSE 'csv_import' END AS stats_source,
+         coalesce(er > 5.5, false) AS suspicious_er, CASE WHEN k % 3 = 0 THEN 'youtube_api' ELSE 'csv_import' END AS stats_source,
          last_order AS stats_as_of, CAST(len(platforms) AS BIGINT) AS n_accounts
   FROM facts)"""
 
