@@ -103,3 +103,9 @@ def canonical_url(platform: Column, handle: Column, channel_id: Column) -> Colum
     for site, (head, tail) in pages.items():
         url = url.when(platform == site, F.concat(F.lit(head), named, F.lit(tail)))
     return url
+
+
+def video_id(c: Column) -> Column:
+    """The eleven-character video id in a post link, null when the link is not one."""
+    link = r"(?:youtu\.be/|youtube\.com/(?:watch\?v=|shorts/|live/|embed/))([A-Za-z0-9_-]{11})"
+    return F.nullif(F.regexp_extract(c, link, 1), F.lit(""))

@@ -144,3 +144,12 @@ def inr(c: Column) -> Column:
 
 def sorted_flags(*flags: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*flags))))
+
+
+def ago(at: Column, as_of: Column) -> Column:
+    """Age of a moment in its largest whole unit: ``3d ago``, ``5h ago``, ``20m ago``, ``just now``, or ``never``."""
+    passed = F.timestamp_diff("SECOND", at, as_of)
+    text = F.lit("just now")
+    for unit, size in (("m", 60), ("h", 3600), ("d", 86400)):
+        text = F.when(passed >= size, F.concat(F.floor(passed / size).cast("string"), F.lit(f"{unit} ago"))).otherwise(text)
+    return F.when(at.isNull(), "never").otherwise(text)

@@ -185,10 +185,12 @@ def reasons(b: Brief) -> Column:
 def score(profile: DataFrame, briefs: Sequence[Brief]) -> DataFrame:
     """Every creator under every brief: exclusion, components, fit, cost, estimated views and reasons.
 
-    Briefs are request bodies, so they enter as constants: each becomes one projection over the ranked profile, and
-    conditions a brief does not use fold away.
+    Briefs are request bodies, so they enter as constants: each becomes one projection over the ranked profile, which is
+    written once for all of them, and conditions a brief does not use fold away.
     """
     ranked = with_ranks(profile, [b.deliverable for b in briefs])
+    if len(briefs) > 1:
+        ranked = cut_lineage(ranked)
     return _union([_score_one(ranked, profile, b) for b in briefs])
 
 

@@ -360,3 +360,21 @@ def flag_labels(spark, folder):
     code = F.when(F.col("event_type") == "error", "followers_missing").otherwise(F.concat(F.lit("code_"), "event_type"))
     counts = table(spark, folder, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("event_type").alias("flag"), report.flag_label(code).alias("label"), "n")
+
+
+@query("scalar_ago", """
+  SELECT event_id, CASE WHEN event_type = 'error' THEN 'never' WHEN s >= 86400 THEN CAST(s // 86400 AS VARCHAR) || 'd ago' WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || 'h ago'
+         WHEN s >= 60 THEN CAST(s // 60 AS VARCHAR) || 'm ago' ELSE 'just now' END AS ago
+  FROM (SELECT *, CAST(floor((epoch_us(CAST('2024-02-01' AS TIMESTAMP)) - epoch_us(ts)) / 1000000.0) AS BIGINT) AS s FROM events)""")
+def moments_ago(spark, folder):
+    at = F.when(F.col("event_type") != "error", F.col("ts"))
+    return table(spark, folder, "events").select("event_id", values.ago(at, F.lit("2024-02-01").cast("timestamp_ntz")).alias("ago"))
+
+
+@query("scalar_video_ids", """
+  SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN substr(md5(CAST(p_partkey AS VARCHAR)), 1, 11) END AS video_id FROM part""")
+def video_ids(spark, folder):
+    vid = F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 11)
+    text = _choose(F.col("p_partkey"), [F.concat(F.lit("https://youtu.be/"), vid, F.lit("?t=3")), F.concat(F.lit("https://www.youtube.com/watch?v="), vid),
+                                        F.concat(F.lit("youtube.com/shorts/"), vid), F.concat(F.lit("https://www.instagram.com/reel/"), vid)])
+    return table(spark, folder, "part").select("p_partkey", refs.video_id(text).alias("video_id"))

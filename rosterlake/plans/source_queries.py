@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from rosterlake.plans.bindings import accounts, base_profiles, every, post_metri
 from rosterlake.plans.catalog import query
 from rosterlake.plans.library_queries import ISSUES, _issues
 from rosterlake.plans.sql import ACCOUNTS, PROFILE, SHORTLIST, over
+from rosterlake.session import scratch_folder
 from rosterlake.sources import export, files, landed
 from rosterlake.streaming import feeds
 
@@ -145,9 +145,8 @@ def snapshot_layer(spark, folder):
   SELECT creator_id, name, CAST(followers AS VARCHAR) AS followers, CAST(to_json(categories) AS VARCHAR) AS categories FROM base WHERE followers IS NOT NULL"""))
 def written_layers(spark, folder):
     """Profiles written as CSV with a byte-order mark and read back."""
-    # a scratch folder for this check only; real exports name their own
-    target = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rosterlake-export-")
-    place = f"{target}/export-{uuid4().hex}"
+    # real exports name their own folder
+    place = f"{scratch_folder(spark)}/export-{uuid4().hex}"
     shown = base_profiles(spark, folder).where(F.col("followers").isNotNull()).select("creator_id", "name", "followers", "categories")
     export.write_layers({"creators": shown}, place)
     back = spark.read.csv(f"{place}/creators", header=True, quote='"', escape='"')
@@ -235,10 +234,8 @@ def _events_stream(spark, folder):
 
 
 def _drain(spark, stream):
-    """Everything a stream has landed once it has seen all there is. The folder is shared on a cluster; a temporary one
-    serves sessions without the setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rosterlake-stream-")
-    place = f"{base}/feed-{uuid4().hex}"
+    """Everything a stream has landed once it has seen all there is."""
+    place = f"{scratch_folder(spark)}/feed-{uuid4().hex}"
     feeds.land_updates(stream, f"{place}/rows", f"{place}/progress").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/rows").select(*stream.columns)
 

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # the JVM does not compile methods above this size; Spark then takes its other path instead of running them interpreted
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
@@ -48,18 +50,22 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so a lost executor never replays a long lineage.
-
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder.
-    """
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: what ``spark.checkpoint.dir`` names. Only a local master may fall back to a
+    temporary folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="rosterlake-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="rosterlake-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so a lost executor never replays a long lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
