@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import values
 from rosterlake.operators.merge import distinct_items
 from rosterlake.operators.scale import exact_medians
+from rosterlake.session import cut_lineage
 
 LISTS = ("platforms", "categories", "tags", "languages", "brands", "flag_list")
 FIRST_KNOWN = {"er": "er_pct", "avg_views": "avg_views", "rate_reel": "rate_reel_inr", "rate_story": "rate_story_inr",
@@ -61,10 +62,16 @@ def derive(profile: DataFrame) -> DataFrame:
 
 
 def against_peers(profile: DataFrame) -> DataFrame:
-    """``er_vs_tier``: engagement over the median of the same size tier, and its class."""
-    tiers = exact_medians(profile.where(F.col("size_tier").isNotNull()), ["size_tier"], ["er"]).withColumnRenamed("er", "_median")
-    # size tiers are a fixed list of five, so this side has at most five rows
-    ratio = F.try_divide(F.col("er"), F.col("_median"))
-    return (profile.join(F.broadcast(tiers), "size_tier", "left").withColumn("er_vs_tier", ratio).drop("_median")
-            .withColumn("engagement", F.when(F.col("er_vs_tier") <= 0.75, "Low").when(F.col("er_vs_tier") <= 1.3, "Typical")
-                        .when(F.col("er_vs_tier").isNotNull(), "High")))
+    """``er_vs_tier``: engagement over the median of the same size tier, and its class.
+
+    The profile is written once before the medians are taken, so that the joins behind it do not run again for them. Size
+    tiers are a fixed list of five, so at most five medians come back as constants.
+    """
+    stored = cut_lineage(profile)
+    known = stored.where(F.col("size_tier").isNotNull() & F.col("er").isNotNull())
+    medians = {r["size_tier"]: r["er"] for r in exact_medians(known, ["size_tier"], ["er"]).collect()}
+    median = F.try_element_at(values.literal_map(medians), F.col("size_tier")) if medians else F.lit(None).cast("double")
+    ratio = F.try_divide(F.col("er"), median)
+    return stored.withColumn("er_vs_tier", ratio).withColumn(
+        "engagement", F.when(F.col("er_vs_tier") <= 0.75, "Low").when(F.col("er_vs_tier") <= 1.3, "Typical")
+        .when(F.col("er_vs_tier").isNotNull(), "High"))

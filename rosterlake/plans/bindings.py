@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.operators import profile
-from rosterlake.session import cut_lineage
 
 SEGMENT_NICHES = {"HOUSEHOLD": "Food", "MACHINERY": "Tech", "FURNITURE": "Home & Garden", "AUTOMOBILE": "Auto",
                   "BUILDING": "Lifestyle"}
@@ -93,15 +92,10 @@ def base_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as creator profiles with every derived field."""
+    """Customers as creator profiles with every derived field; the joins behind them run once and are stored."""
     return profile.derive(base_profiles(spark, folder))
 
 
-def stored_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """The profile table written once, for queries that read it several times."""
-    return cut_lineage(profiles(spark, folder))
-
-
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as clean accounts on one to four platforms."""
     c = table(spark, folder, "customer")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rosterlake.operators import explore, segment
-from rosterlake.plans.bindings import accounts, base_profiles, profiles, stored_profiles
+from rosterlake.plans.bindings import accounts, base_profiles, profiles
 from rosterlake.plans.catalog import query
 from rosterlake.plans.sql import ACCOUNTS, PROFILE, over
 
@@ -65,7 +65,7 @@ def facet_counts(spark, folder):
   SELECT niche, count(*) AS count, CAST(median(followers) AS DOUBLE) AS median_followers, median(er) AS median_er, CAST(median(rate_reel) AS DOUBLE) AS median_rate, median(cpv) AS median_cpv,
          any_value(top_cities) AS top_cities, any_value(top_tags) AS top_tags FROM s LEFT JOIN cc USING (niche) LEFT JOIN tt USING (niche) GROUP BY 1"""))
 def niche_tiles(spark, folder):
-    tiles = explore.niche_tiles(stored_profiles(spark, folder), OPEN)
+    tiles = explore.niche_tiles(profiles(spark, folder), OPEN)
     return tiles.withColumns({"top_cities": F.array_join("top_cities", ">"), "top_tags": F.array_join("top_tags", ">")})
 
 
@@ -74,7 +74,7 @@ def niche_tiles(spark, folder):
   UNION ALL SELECT 'median_rate', CAST(median(rate_reel) AS DOUBLE) FROM s UNION ALL SELECT 'median_cpv', median(cpv) FROM s
   UNION ALL SELECT 'cities', CAST(count(DISTINCT city) AS DOUBLE) FROM s UNION ALL SELECT 'languages', CAST(count(DISTINCT l) AS DOUBLE) FROM (SELECT unnest(languages) AS l FROM s)"""))
 def matched_stats(spark, folder):
-    return explore.matched_stats(stored_profiles(spark, folder), FILTERS)
+    return explore.matched_stats(profiles(spark, folder), FILTERS)
 
 
 @query("f6_niche_budget_tree", over(PROFILE, f"""
@@ -138,21 +138,21 @@ _COLS = list(zip(("f1", "f2", "f3", "f4", "f5"), segment.FEATURES))
 
 @query("g1_segment_features", over(FEATURES, "SELECT creator_id, " + ", ".join(f"round({a}, 6) AS {b}" for a, b in _COLS) + " FROM filled"))
 def segment_features(spark, folder):
-    feats = segment.raw_features(stored_profiles(spark, folder))
+    feats = segment.raw_features(profiles(spark, folder))
     return feats.select("creator_id", *[F.round(f, 6).alias(f) for f in segment.FEATURES])
 
 
 @query("g2_standardised_features", over(FEATURES, "SELECT creator_id, " + ", ".join(
     f"round(({a} - (SELECT avg({a}) FROM filled)) / (SELECT stddev_pop({a}) FROM filled), 5) AS {b}" for a, b in _COLS) + " FROM filled"))
 def standardised_features(spark, folder):
-    feats = segment.standardise(segment.raw_features(stored_profiles(spark, folder)))
+    feats = segment.standardise(segment.raw_features(profiles(spark, folder)))
     return feats.select("creator_id", *[F.round(f, 5).alias(f) for f in segment.FEATURES])
 
 
 @query("g3_g4_segments")
 def segments(spark, folder):
     """Segment of every creator; cluster starts differ between engines, so there is no SQL for it."""
-    with_segment, _ = segment.segment(stored_profiles(spark, folder), restarts=3)
+    with_segment, _ = segment.segment(profiles(spark, folder), restarts=3)
     return with_segment.select("creator_id", "cluster", "segment")
 
 
@@ -168,7 +168,7 @@ def segments(spark, folder):
 def segment_cards(spark, folder):
     """Cards of three groups cut by rule, so that SQL can repeat them."""
     name = F.when(F.col("er_vs_tier") > 1.02, "Engagement stars").when(F.col("rate_reel").isNotNull(), "Premium names").otherwise("Solid all-rounders")
-    df = stored_profiles(spark, folder).where(F.col("followers").isNotNull()).withColumn("segment", name)
+    df = profiles(spark, folder).where(F.col("followers").isNotNull()).withColumn("segment", name)
     cards = segment.segment_cards(df)
     return cards.withColumns({"top_niches": F.array_join("top_niches", ">"), "top_cities": F.array_join("top_cities", ">"),
                               "warned": F.col("description").contains("⚠")}).drop("description")

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from rosterlake.operators import match
 from rosterlake.operators.match import Brief
-from rosterlake.plans.bindings import shortlist, stored_profiles
+from rosterlake.plans.bindings import profiles, shortlist
 from rosterlake.plans.catalog import query
-from rosterlake.plans.sql import PROFILE, SHORTLIST, over
+from rosterlake.plans.sql import PROFILE, over
 from rosterlake.session import cut_lineage
 from rosterlake.vocab import words
 
@@ -101,13 +101,13 @@ def pool_sql() -> str:
 
 @query("h1_h2_exclusions", over(scored_sql(), "SELECT brief_id, creator_id, excluded FROM scored"))
 def exclusions(spark, folder):
-    return match.score(stored_profiles(spark, folder), BRIEFS).select("brief_id", "creator_id", "excluded")
+    return match.score(profiles(spark, folder), BRIEFS).select("brief_id", "creator_id", "excluded")
 
 
 @query("h3_h10_fit_scores", over(scored_sql(), """
   SELECT brief_id, creator_id, cost, est_views, cpv_deliverable, s_relevance, s_location, s_audience, s_language, s_performance, s_value, fit FROM scored"""))
 def fit_scores(spark, folder):
-    scored = match.score(stored_profiles(spark, folder), BRIEFS)
+    scored = match.score(profiles(spark, folder), BRIEFS)
     return scored.select("brief_id", "creator_id", "cost", "est_views", "cpv_deliverable", *[f"s_{k}" for k in match.COMPONENTS], "fit")
 
 
@@ -120,7 +120,7 @@ def fit_scores(spark, folder):
     CASE WHEN suspicious_er THEN '⚠ Engagement spike — verify before booking' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM p"""))
 def reasons(spark, folder):
     """Reasons without numbers; the wording of figures differs between engines."""
-    scored = match.score(stored_profiles(spark, folder), BRIEFS[1:2])
+    scored = match.score(profiles(spark, folder), BRIEFS[1:2])
     text = F.filter("reasons", lambda r: ~r.rlike("^(ER |₹|No story)"))
     return scored.select("creator_id", F.array_join(text, "; ").alias("reasons"))
 
@@ -128,16 +128,16 @@ def reasons(spark, folder):
 @query("h11_all_reasons")
 def all_reasons(spark, folder):
     """Every reason of every brief in full."""
-    return match.score(stored_profiles(spark, folder), BRIEFS).select("brief_id", "creator_id", F.array_join("reasons", "; ").alias("reasons"))
+    return match.score(profiles(spark, folder), BRIEFS).select("brief_id", "creator_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def _pools(spark, folder):
-    return match.build_pools(cut_lineage(match.score(stored_profiles(spark, folder), BRIEFS)), BRIEFS)
+    return match.build_pools(cut_lineage(match.score(profiles(spark, folder), BRIEFS)), BRIEFS)
 
 
 @query("h13_budgeted_pool", pool_sql() + "SELECT brief_id, creator_id, seq FROM chosen")
 def budgeted_pool(spark, folder):
-    scored = match.score(stored_profiles(spark, folder), BRIEFS)
+    scored = match.score(profiles(spark, folder), BRIEFS)
     return match.choose_pool(scored, BRIEFS).select("brief_id", "creator_id", "seq")
 
 
@@ -157,7 +157,7 @@ def pool_summary(spark, folder):
 @query("h14_exclusion_counts", over(scored_sql(), """
   SELECT brief_id, CASE WHEN excluded LIKE 'worked%' THEN 'worked with a competitor' ELSE excluded END AS reason, count(*) AS n FROM scored WHERE excluded IS NOT NULL GROUP BY ALL"""))
 def exclusion_counts(spark, folder):
-    return match.exclusion_counts(match.score(stored_profiles(spark, folder), BRIEFS))
+    return match.exclusion_counts(match.score(profiles(spark, folder), BRIEFS))
 
 
 def _why_sql(b: Brief) -> str:
@@ -186,5 +186,5 @@ def unpriced_and_conflicts(spark, folder):
 def suggestions(spark, folder):
     """Sixteen more creators for a campaign that has members already."""
     _, members = shortlist(spark, folder)
-    found = match.suggestions(stored_profiles(spark, folder), BRIEFS[0], members.where(F.col("campaign_id") == 1))
+    found = match.suggestions(profiles(spark, folder), BRIEFS[0], members.where(F.col("campaign_id") == 1))
     return found.select("place", "creator_id", "fit")

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rosterlake.operators import campaign, clean, enrich, merge, profile, report, resolve
-from rosterlake.plans.bindings import MONEY, accounts, customer_spend, every, letters, profiles, sheet, shortlist, table
+from rosterlake.operators import clean, enrich, profile, report, resolve
+from rosterlake.plans.bindings import accounts, every, profiles, sheet, shortlist, table
 from rosterlake.plans.catalog import query
 from rosterlake.plans.cleaning_queries import SHEET_ROWS
 from rosterlake.plans.sql import ACCOUNTS, PROFILE, SHORTLIST, over

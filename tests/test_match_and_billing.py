@@ -44,7 +44,7 @@ def test_pool_equals_the_sequential_walk(spark):
 
 
 def test_facets_of_an_open_filter_sum_to_the_total(spark):
-    p = bindings.stored_profiles(spark, SMALL)
+    p = bindings.profiles(spark, SMALL)
     counts = explore.facet_counts(p, {"gender": ["Female"]})
     by_gender = counts.where("facet = 'gender'").agg(F.sum("count")).first()[0]
     assert by_gender == p.where("gender IS NOT NULL").count()
@@ -66,7 +66,7 @@ def test_three_creators_cost_1766_46(spark):
 
 
 def test_exclusion_reports_the_last_rule(spark):
-    p = bindings.stored_profiles(spark, SMALL)
+    p = bindings.profiles(spark, SMALL)
     b = Brief("b", platforms=("threads",), gender="Female", exclude_brand_media=True)
     got = {r.excluded for r in match.score(p, [b]).select("excluded").distinct().collect()}
     assert got == {"platform not in brief", "gender preference (Female)", "brand / media account, not a creator"}
@@ -74,7 +74,7 @@ def test_exclusion_reports_the_last_rule(spark):
 
 def test_segments_have_distinct_names(spark):
     from rosterlake.operators import segment
-    p = bindings.stored_profiles(spark, SMALL)
+    p = bindings.profiles(spark, SMALL)
     df, cards = segment.segment(p, restarts=2)
     rows = cards.collect()
     assert sum(r["count"] for r in rows) == p.where("followers IS NOT NULL").count()
