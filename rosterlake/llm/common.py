@@ -31,7 +31,7 @@ def ascii_lower(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null and wordless texts have none."""
     plain = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN_WORDS, " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(plain, " "), "")  # a text without words leaves one empty piece
 
 
 def word_bytes(text: bytes) -> list[bytes]:
