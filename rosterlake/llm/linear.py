@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200,
+            weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(weights, bias) of a linear SVM; ``y`` holds booleans, both classes weigh the same. Accelerated gradient descent."""
     sign = np.where(y, 1.0, -1.0)
-    share = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
+    weight = np.ones(len(x)) if weight is None else weight
+    share = weight * np.where(y, 0.5 / max(weight[y].sum(), 1e-9), 0.5 / max(weight[~y].sum(), 1e-9))
     ones = np.ones((len(x), 1))
     z = np.hstack([x, ones]).astype(np.float64)
     bound = 1.0 / cost + 2.0 * float((share[:, None] * z * z).sum())  # of the gradient's slope
