@@ -14,6 +14,7 @@ encode to no ids. Rows are mapped one to one and other columns stay.
 
 from __future__ import annotations
 
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from rosterlake.llm.common import table, text_function
 TOKENIZER = "word_bpe_49k.json"
 #: a cut every 256 bytes on average; bounds on the entries a worker remembers
 CUT_BITS = 8
-MOST_WORDS, MOST_CHUNKS = 200_000, 20_000
+MOST_WORDS, MOST_CHUNKS = 600_000, 20_000
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -50,22 +51,24 @@ def agreeing_places(data: np.ndarray) -> np.ndarray:
     """Positions at which the encodings of both sides, put together, are the encoding of the whole; with both ends."""
     at = _BLANK[data]
     at[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
-    return np.unique(np.concatenate([[0], np.flatnonzero(at), [len(data)]]))
+    at[0] = True
+    return np.append(np.flatnonzero(at), len(data))
 
 
 class _Remembered(dict):
-    """A table of bounded size: when it is full, the older half of what was used lately stays reachable for one more round."""
+    """A table of bounded size: when half of it is full, what it held becomes the older half, from which entries in use return."""
 
     def __init__(self, most: int):
         super().__init__()
         self.most, self.older = most // 2, {}
 
     def __missing__(self, key):
-        value = self[key] = self.older[key]  # a KeyError here means unknown
+        value = self[key] = self.older[key]
         return value
 
-    def knows(self, key) -> bool:
-        return key in self or key in self.older
+    def unknown(self, keys: set) -> set:
+        older = self.older
+        return {k for k in keys if k not in self and k not in older}
 
     def trim(self) -> None:
         if len(self) > self.most:
@@ -82,8 +85,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.plain = self.tokenizer.decoder is None  # tokens are then joined with blanks
         self.words, self.chunks = _Remembered(MOST_WORDS), _Remembered(MOST_CHUNKS)
+        self.tokens = None
+        if self.tokenizer.decoder is None:  # decoding then joins tokens with blanks
+            self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size())]
 
     def encode(self, text: bytes) -> tuple[int, bytes, str]:
         """(number of ids, ids as little-endian unsigned 32-bit integers, decoded text)."""
@@ -92,39 +97,37 @@ class ChunkEncoder:
         data = np.frombuffer(text, np.uint8)
         places = agreeing_places(data)
         cuts = rolling_cuts(data)
-        before = places[np.searchsorted(places, cuts, "right") - 1]
-        after = places[np.searchsorted(places, cuts, "left")]
-        edges = np.unique(np.concatenate([[0], before, after, [len(text)]]))
-        chunks = [text[i:j] for i, j in zip(edges.tolist(), edges[1:].tolist())]
-        self._learn(text, chunks, edges, places)
-        parts = [self.chunks[c] for c in chunks]
+        # as numbers of places: where each cut's join begins and ends
+        joins = np.concatenate([np.searchsorted(places, cuts, "right") - 1, np.searchsorted(places, cuts, "left")])
+        inner = np.zeros(len(places), bool)
+        inner[joins] = inner[0] = inner[-1] = True
+        edges = np.flatnonzero(inner)
+        at = places[edges].tolist()
+        chunks = [text[i:j] for i, j in zip(at, at[1:])]
+        self._learn(text, chunks, edges.tolist(), places.tolist())
+        ids = b"".join(map(self.chunks.__getitem__, chunks))
         self.words.trim()
         self.chunks.trim()
-        ids = b"".join([p[0] for p in parts])
-        if self.plain:
-            decoded = b" ".join([p[1] for p in parts if p[1]]).decode()
-        else:
-            decoded = self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
-        return len(ids) // 4, ids, decoded
-
-    def _learn(self, text: bytes, chunks: list[bytes], edges: np.ndarray, places: np.ndarray) -> None:
-        unknown = [k for k, c in enumerate(chunks) if not self.chunks.knows(c)]
-        if not unknown:
-            return
-        first = np.searchsorted(places, edges)
-        words = {}
-        for k in unknown:
-            cut = places[first[k]:first[k + 1] + 1].tolist()
-            words[k] = [text[i:j] for i, j in zip(cut, cut[1:])]
-        knows = self.words.knows
-        new = list({w for ws in words.values() for w in ws if not knows(w)})
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                shown = self.tokenizer.decode(e.ids, skip_special_tokens=False).encode() if self.plain and e.ids else b""
-                self.words[w] = (np.array(e.ids, "<u4").tobytes(), shown)
-        for k, ws in words.items():
-            parts = [self.words[w] for w in ws]
-            self.chunks[chunks[k]] = (b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]]))
+        listed = np.frombuffer(ids, "<u4").tolist()
+        if self.tokens is not None:
+            return len(listed), ids, b" ".join(map(self.tokens.__getitem__, listed)).decode()
+        return len(listed), ids, self.tokenizer.decode(listed, skip_special_tokens=False)
+
+    def _learn(self, text: bytes, chunks: list[bytes], edges: list[int], places: list[int]) -> None:
+        new = self.chunks.unknown(set(chunks))
+        split = {}
+        for k, chunk in enumerate(chunks):
+            if chunk in new:
+                new.discard(chunk)
+                cut = places[edges[k]:edges[k + 1] + 1]
+                split[chunk] = [text[i:j] for i, j in zip(cut, cut[1:])]
+        words = list(self.words.unknown(set().union(*split.values())))
+        if words:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+            self.words.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(words, found))
+        known = self.words.__getitem__
+        for chunk, parts in split.items():
+            self.chunks[chunk] = b"".join(map(known, parts))
 
 
 @lru_cache(maxsize=2)
