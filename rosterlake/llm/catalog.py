@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import every module that registers queries, in the order of the operators."""
     from rosterlake.llm import (  # noqa: F401
-        toxicity, bpe, line_dedup, decontaminate, simhash, paragraph_sketch, language, pii)
+        licenses, chat, toxicity, bpe, line_dedup, decontaminate, simhash, paragraph_sketch, language, pii)
