@@ -68,6 +68,20 @@ def as_bytes(batch: pa.Array) -> Iterable[bytes]:
         yield item.as_py() or b""
 
 
+def free(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def with_part(df: DataFrame, out: str, whole: Column, part: str) -> DataFrame:
+    """Add ``out``, one field of a struct column that is worked out once."""
+    inner = free(df, "_whole")
+    return df.withColumn(inner, whole).withColumn(out, F.col(inner)[part]).drop(inner)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for documents no model may learn from. A document without an id is neither held out nor learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -94,6 +94,14 @@ def hit_words(hits: Column) -> Column:
     return F.aggregate(hits, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"].cast("long")
 
 
+def keep_clean(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
+    """The rows of ``df`` in which no window of ``items`` stands, columns unchanged."""
+    found = contamination(df, items, doc_id, text, **names).where(F.size("hits") > 0).select(
+        F.col("doc_id").alias("_found"), F.col("text_hash").alias("_hash")).distinct()
+    same = df[doc_id].eqNullSafe(F.col("_found")) & (F.xxhash64(F.coalesce(df[text], F.lit(""))) == F.col("_hash"))
+    return df.join(found, same, "left_anti")
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),

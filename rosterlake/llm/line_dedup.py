@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm.catalog import query
-from rosterlake.llm.common import stored, table
+from rosterlake.llm.common import free, stored, table
 
 LEADING = 3
 LEAST_DOCUMENTS = 5
@@ -96,15 +96,17 @@ def recurring_lines(docs: DataFrame, placed: DataFrame) -> DataFrame:
 
 def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """``df`` with ``text`` rid of the lines of recurring templates; ``count``, when given, gets the number of lines taken out."""
-    keys = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), F.xxhash64(F.col(text)).alias("_h")]
-    docs = df.select(*keys, F.col(text).alias("_text"))
+    i, h, g = free(df, "_id"), free(df, "_hash"), free(df, "_gone")
+    identity = F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.xxhash64(F.col(text))
+    docs = df.select(identity[0].alias("_id"), identity[1].alias("_h"), F.col(text).alias("_text"))
     placed = stored(_placed(docs).select("_id", "_h", "_sign", "_at", _leaf(F.col("_line")).alias("leaf"), F.xxhash64("_line").alias("line")))
-    gone = (placed.join(recurring_lines(docs, placed), "line", "left_semi").groupBy("_id", "_h").agg(F.collect_set("_at").alias("_gone")))
-    joined = df.select("*", *keys).join(gone, ["_id", "_h"], "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    result = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
+    gone = placed.join(recurring_lines(docs, placed), "line", "left_semi").groupBy("_id", "_h").agg(F.collect_set("_at").alias(g))
+    joined = df.select("*", identity[0].alias(i), identity[1].alias(h)).join(gone.select(
+        F.col("_id").alias(i), F.col("_h").alias(h), g), [i, h], "left")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, n: ~F.array_contains(F.col(g), n)), "\n")
+    result = joined.withColumn(text, F.when(F.col(g).isNull(), F.col(text)).otherwise(left))
     if count:
-        result = result.withColumn(count, F.coalesce(F.size("_gone"), F.lit(0)))
+        result = result.withColumn(count, F.coalesce(F.size(g), F.lit(0)))
     return result.select(*df.columns, *([count] if count and count not in df.columns else []))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm.catalog import query
-from rosterlake.llm.common import table
+from rosterlake.llm.common import free, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "national_id")
@@ -134,8 +134,9 @@ def redact(df: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
         return F.when(free, F.struct(s["end"].alias("at"), kept.alias("out"))).otherwise(acc)
 
     done = F.aggregate(pii, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return df.withColumn("_done", done).withColumn(text, F.concat(
-        F.col("_done.out"), F.substring(F.col(text), F.col("_done.at") + 1, F.length(text)))).drop("_done")
+    inner = free(df, "_done")
+    return df.withColumn(inner, done).withColumn(text, F.concat(
+        F.col(inner)["out"], F.substring(F.col(text), F.col(inner)["at"] + 1, F.length(text)))).drop(inner)
 
 
 def _listed(spans: Column) -> Column:

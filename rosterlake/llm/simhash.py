@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm.catalog import query
-from rosterlake.llm.common import once, stored, table, text_function
+from rosterlake.llm.common import free, once, stored, table, text_function, with_part
 from rosterlake.operators.resolve import connected_groups
 from rosterlake.operators.scale import hot_first_join
 
@@ -55,7 +55,7 @@ def fingerprint_bits(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """Add ``out``, the fingerprint as a signed long. Null, empty and blank texts have fingerprint 0."""
     reader = text_function(lambda t: (fingerprint_bits(t, shingle),), "fp long")
-    return df.withColumn("_fp", reader(F.col(text))).withColumn(out, F.col("_fp.fp")).drop("_fp")
+    return with_part(df, out, reader(F.col(text)), "fp")
 
 
 def embedding(fp: Column) -> list[Column]:
@@ -148,13 +148,14 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     A row without an id stays only where no row of its group has one. The columns of ``df`` come back unchanged.
     """
-    key = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), F.xxhash64(*sorted(df.columns)).alias("_h")]
-    narrow = stored(fingerprints(df.select(doc_id, text, *key), text, "_fp64").select(doc_id, "_id", "_h", F.col("_fp64").alias("fp")))
-    order = F.struct(F.col(doc_id).isNull().alias("nameless"), F.col(doc_id).alias("id"), F.col("_h").alias("h"), F.col("_id").alias("key"))
-    first = (with_components(narrow, doc_id).groupBy("group_id").agg(F.min(order).alias("w"))
-             .select(F.col("w.key").alias("_id"), F.col("w.h").alias("_h")))
+    i, h = free(df, "_id"), free(df, "_hash")
+    keyed = df.select("*", F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias(i), F.xxhash64(*sorted(df.columns)).alias(h))
+    plain = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(i).alias("i"), F.col(h).alias("h"))
+    narrow = stored(fingerprints(plain).select("doc_id", "i", "h", "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("h").alias("h"), F.col("i").alias("i"))
+    first = (with_components(narrow).groupBy("group_id").agg(F.min(order).alias("w")).select(F.col("w.i").alias(i), F.col("w.h").alias(h)))
     # the join leaves the rows of a key together, so taking one of equal rows needs no further shuffle
-    return df.select("*", *key).join(first, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*df.columns)
+    return keyed.join(first, [i, h], "left_semi").dropDuplicates([i, h]).select(*df.columns)
 
 
 @query("op7_simhash")

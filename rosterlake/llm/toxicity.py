@@ -23,22 +23,23 @@ import string
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm.catalog import query
-from rosterlake.llm.common import held_out, learnable, stored, table, text_function
+from rosterlake.llm.common import free, held_out, learnable, stored, table, text_function, with_part
 from rosterlake.llm.linear import fit_logistic, fit_svm, sigmoid
 
 MOST_TEXTS, MOST_WORDS, LANDMARKS = 6000, 1500, 512
-DECAY, SPAN, BITS = 0.5, 6, 18
+DECAY, SPAN, BITS = 0.5, 5, 18
 THRESHOLD = 0.3
 #: decision from which a word counts among the toxic ones of a text
 SURE = 0.5
 #: a word is taught as toxic when at least so many, and such a share, of the toxic texts have it, at odds so much above the clean ones
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 4, 0.004, 2.5
 #: words whose decisions a worker remembers
-MOST_REMEMBERED = 200_000
+MOST_REMEMBERED = 500_000
 
 _PUNCTUATION = string.punctuation.encode()
 _SPELT = re.compile(rb"(?<!\S)(?:[a-z]\s){3,}[a-z](?!\S)")
@@ -97,15 +98,14 @@ class WordMachine:
         values, vectors = np.linalg.eigh(kernel.astype(np.float64))
         keep = values > 1e-6 * values.max()
         white = vectors[:, keep] / np.sqrt(values[keep])
+        by_column = np.ascontiguousarray(basis.T)
         rows = []
-        for at in range(0, len(words), 512):
-            own, code, weight, norm = subsequences(words[at:at + 512])
+        for word in words:
+            _, code, weight, norm = subsequences([word])
             spot = np.minimum(np.searchsorted(columns, code), len(columns) - 1)
-            shared = columns[spot] == code
-            x = np.zeros((len(words[at:at + 512]), len(columns)), np.float32)
-            np.add.at(x, (own[shared], spot[shared]), (weight / norm[own])[shared])
-            rows.append((x @ basis.T) @ white)
-        v, self.bias = fit_svm(np.vstack(rows), y, cost=3000.0, rounds=600, weight=share)
+            rows.append(np.where(columns[spot] == code, weight / norm[0], 0.0).astype(np.float32) @ by_column[spot])
+        rows = np.vstack(rows) @ white
+        v, self.bias = fit_svm(rows, y, cost=3000.0, rounds=600, weight=share)
         self.weights = np.zeros(1 << BITS, np.float32)
         self.weights[columns] = (white @ v) @ basis
 
@@ -145,6 +145,15 @@ class Scorer:
         return {"machine": self.machine, "curve": self.curve, "base": self.base, "known": {}}
 
 
+def _decisions(machine: WordMachine):
+    """Column function from words to a machine's decisions."""
+    def decide(batch: pa.Array) -> pa.Array:
+        words = [w.encode() for w in batch.to_pylist()]
+        return pa.array(np.concatenate([machine.decide(words[at:at + 4096]) for at in range(0, len(words), 4096)] or [np.empty(0)]), pa.float64())
+    decide.__annotations__ = {"batch": pa.Array, "return": pa.Array}
+    return F.arrow_udf(decide, "double")
+
+
 def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Scorer:
     """Learn from the labelled documents that are not held out. A document labelled more than once counts as toxic if it ever is."""
     known = (labels.where(learnable(F.col(doc_id)) & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("_id"))
@@ -174,8 +183,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         return Scorer(None, None, totals[1] / (totals[0] + totals[1]))
     machine = WordMachine(bad, clean)
     # the clean words that the first machine takes for toxic teach the second one
-    decide = text_function(lambda w: (float(machine.decide([w])[0]),), "margin double")
-    hard = taken(counts.where("t = 0").select("word", decide("word")["margin"].alias("m")).orderBy(F.desc("m"), "word"), "word")
+    hard = taken(counts.where("t = 0").select("word", _decisions(machine)("word").alias("m")).orderBy(F.desc("m"), "word"), "word")
     scorer = Scorer(WordMachine(bad, list(dict.fromkeys([w.encode() for w in hard] + clean))), None)
     read = text_function(lambda t: scorer.reading(t), "strongest double, many double")
     seen = texts.select("_y", read("_text").alias("r")).select("_y", "r.*").toPandas().sort_values(["_y", "strongest", "many"])
@@ -188,12 +196,13 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def score(df: DataFrame, scorer: Scorer, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add ``out``, the score from 0 to 1 of every whole text."""
     read = text_function(lambda t: (scorer.score(t),), "score double")
-    return df.withColumn("_toxicity", read(F.col(text))).withColumn(out, F.col("_toxicity.score")).drop("_toxicity")
+    return with_part(df, out, read(F.col(text)), "score")
 
 
 def keep_clean(df: DataFrame, scorer: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` whose score stays below ``threshold``, columns unchanged."""
-    return score(df, scorer, text, "_score").where(F.col("_score") < threshold).select(*df.columns)
+    mark = free(df, "_score")
+    return score(df, scorer, text, mark).where(F.col(mark) < threshold).select(*df.columns)
 
 
 @query("op3_toxicity")
