@@ -23,7 +23,7 @@ from rosterlake.llm.catalog import query
 from rosterlake.llm.common import table
 
 PIECE = r"[^\n.!?]{1,200}[.!?]*|[.!?]+"
-PER_PART = 8
+PER_PART = 6
 CELLS, LEVELS, ROUNDS = 4, 6, 12
 BASE_CELLS = 3
 CHECK = 7
@@ -59,8 +59,9 @@ def occurrence_keys(part: Column) -> Column:
     return _let(F.array_sort(part), lambda s: F.transform(s, lambda d, i: F.xxhash64(d, i.cast("long") - F.array_position(s, d))))
 
 
-def _place(key: Column, table_no: Column, cells: Column) -> Column:
-    return F.pmod(F.xxhash64(key, table_no), cells)
+def _places(key: Column, cells: Column) -> list[Column]:
+    """Cell of a key in each sub-table, from 20 bits of the key that are the table's own."""
+    return [F.pmod(F.shiftrightunsigned(key, 20 * t), cells).cast("int").alias(f"at{t}") for t in range(3)]
 
 
 def _cell(n, k, h) -> Column:
@@ -74,11 +75,12 @@ def _check(key: Column) -> Column:
 def sketch(keys: Column, cells: Column) -> Column:
     """Cells of three sub-tables of ``cells`` cells each, one after another."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    return F.flatten(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda t: _let(
-        F.transform(keys, lambda k: F.struct(_place(k, t, cells).alias("at"), k.alias("k"), _check(k).alias("h"))),
-        lambda placed: F.transform(F.sequence(F.lit(0), cells - 1), lambda c: F.aggregate(
-            F.filter(placed, lambda p: p["at"] == c), empty,
-            lambda acc, p: _cell(acc["n"] + 1, acc["k"].bitwiseXOR(p["k"]), acc["h"].bitwiseXOR(p["h"])))))))
+
+    def tables(placed):
+        return F.concat(*[F.transform(F.sequence(F.lit(0), cells - 1), lambda c: F.aggregate(
+            F.filter(placed, lambda p: p[f"at{t}"] == c), empty,
+            lambda acc, p: _cell(acc["n"] + 1, acc["k"].bitwiseXOR(p["k"]), acc["h"].bitwiseXOR(p["h"])))) for t in range(3)])
+    return _let(F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("h"), *_places(k, cells))), tables)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -86,26 +88,26 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def _peel_round(state: Column, cells: Column) -> Column:
-    single = F.array_distinct(F.transform(
-        F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"]))), lambda c: _cell(c["n"], c["k"], c["h"])))
+    single = F.array_distinct(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"]))))
 
     def take(found):
+        more = F.size(F.filter(found, lambda p: p["n"] == 1))
+
         def settle(placed):
-            return F.transform(state["cells"], lambda cell, i: F.aggregate(
-                F.filter(placed, lambda p: F.get(p["at"], F.floor(i / cells).cast("int")) == F.pmod(i, cells)), cell,
-                lambda acc, p: _cell(acc["n"] - p["n"], acc["k"].bitwiseXOR(p["k"]), acc["h"].bitwiseXOR(p["h"]))))
-        placed = F.transform(found, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["h"].alias("h"), F.array(
-            *[_place(p["k"], F.lit(t), cells) for t in range(3)]).alias("at")))
-        return F.when(F.size(found) == 0, state).otherwise(F.struct(
-            _let(placed, settle).alias("cells"),
-            (state["gone"] + F.size(F.filter(found, lambda p: p["n"] == 1))).alias("gone"),
-            (state["come"] + F.size(F.filter(found, lambda p: p["n"] == -1))).alias("come")))
-    return _let(single, take)
+            return F.concat(*[F.transform(F.slice(state["cells"], t * cells + 1, cells), lambda cell, i: F.aggregate(
+                F.filter(placed, lambda p: p[f"at{t}"] == i), cell,
+                lambda acc, p: _cell(acc["n"] - p["n"], acc["k"].bitwiseXOR(p["k"]), acc["h"].bitwiseXOR(p["h"])))) for t in range(3)])
+        placed = F.transform(found, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["h"].alias("h"), *_places(p["k"], cells)))
+        return F.when(F.size(found) == 0, F.struct(
+            state["cells"].alias("cells"), state["gone"].alias("gone"), state["come"].alias("come"), F.lit(True).alias("over"))).otherwise(
+            F.struct(_let(placed, settle).alias("cells"), (state["gone"] + more).alias("gone"),
+                     (state["come"] + F.size(found) - more).alias("come"), F.lit(False).alias("over")))
+    return F.when(state["over"], state).otherwise(_let(single, take))
 
 
 def peel(difference: Column, cells: Column) -> Column:
     """struct<gone, come, whole>: keys only in the first and only in the second sketch; whole when nothing was left over."""
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("gone"), F.lit(0).alias("come"))
+    start = F.struct(difference.alias("cells"), F.lit(0).alias("gone"), F.lit(0).alias("come"), F.lit(False).alias("over"))
     rounds = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda state, _: _peel_round(state, cells))
     return _let(rounds, lambda s: F.struct(s["gone"].alias("gone"), s["come"].alias("come"), (~F.exists(
         s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))).alias("whole")))
