@@ -65,16 +65,19 @@ def _placed(docs: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """(line): hashes of the masked lines that follow a recurring template. ``placed``: the stored hashes of ``docs``."""
     # a document counts once however often it has the line
-    seen = placed.groupBy("leaf", "line", "_sign").agg(F.approx_count_distinct(F.struct("_id", "_h"), 0.02).alias("docs"))
-    seen = stored(seen)
+    seen = stored(placed.select("leaf", "line", "_sign", F.xxhash64("_id", "_h").alias("_doc")).distinct()
+                  .groupBy("leaf", "line", "_sign").agg(F.count(F.lit(1)).alias("docs")))
     busy = seen.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
     tried = stored(seen.join(busy.select("leaf"), "leaf", "left_semi"))
     lines = stored(tried.groupBy("leaf", "line").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("signs")))
-    wanted = lines.select(F.col("line").alias("_w"))
-    texts = _placed(docs).select(F.xxhash64("_line").alias("line"), "_line")
-    if lines.count() <= MOST_BROADCAST:
+    # one place where each line stands, so that only the documents of those places are read again
+    spots = stored(placed.join(lines.select("line"), "line", "left_semi").groupBy("line").agg(F.min(F.struct("_id", "_h", "_at")).alias("p"))
+                   .select("line", "p.*"))
+    wanted = spots.select(F.col("_id").alias("_i"), F.col("_h").alias("_g")).distinct()
+    if spots.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = texts.join(wanted, F.col("line") == F.col("_w"), "left_semi").groupBy("line").agg(F.min("_line").alias("text"))
+    read = _placed(docs.join(wanted, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")), "left_semi"))
+    texts = read.join(spots, ["_id", "_h", "_at"]).groupBy("line").agg(F.min("_line").alias("text"))
     known = stored(lines.join(texts, "line"))
     tokens = known.select("leaf", "line", "docs", F.posexplode(F.split("text", " ")).alias("at", "token"))
     fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select(
