@@ -90,8 +90,9 @@ def mod97(iban: Column) -> Column:
 
 def _confirmed(kind: str, match: Column) -> Column:
     if kind == "ip":
-        return ~F.exists(F.split(match, r"\."), lambda part: (F.length(F.ltrim(part, F.lit("0"))) > 3) | (F.substring(F.ltrim(
-            part, F.lit("0")), 1, 3).try_cast("int") > 255))
+        # a part of zeros only is empty once they are cut
+        return ~F.exists(F.transform(F.split(match, r"\."), lambda part: F.ltrim(part, F.lit("0"))), lambda part: (F.length(part) > 3) | F.coalesce(
+            F.substring(part, 1, 3).try_cast("int") > 255, F.lit(False)))
     if kind == "card":
         digits = _digits(match)
         return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
