@@ -36,7 +36,7 @@ def billing_run(campaigns: DataFrame, creators: DataFrame, orgs: DataFrame, invo
              .withColumn("tax", F.round(F.col("subtotal") * F.lit(words.TAX_RATE).cast("decimal(4,2)"), 2).cast(MONEY)))
     # place in the organisation's sequence: campaigns before it, counted without gathering an organisation
     earlier = cumulative_counts(bills.select("org_id", "id"), ["org_id"], "id").select(
-        "org_id", F.col("value").cast("bigint").alias("id"), F.col("before").alias("_before"))
+        "org_id", F.col("value").alias("id"), F.col("before").alias("_before"))
     place = F.col("_before") + 1 + F.coalesce("_issued", F.lit(0))
     return bills.join(earlier, ["org_id", "id"]).withColumn("_place", place).select(
         "org_id", F.col("id").alias("campaign_id"), F.concat(prefix, F.lpad(F.col("_place").cast("string"), 4, "0")).alias("number"),

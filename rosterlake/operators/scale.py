@@ -4,7 +4,7 @@ Three ideas are shared by every job that ranks, takes medians or joins back an a
 
 * values are counted first (map-side combine), so a value repeated a billion times is one row afterwards;
 * cumulative counts are taken inside value buckets cut at approximate quantiles, and the bucket totals, of which
-  there are at most ``BUCKETS`` per group, are accumulated separately, so no window sees a whole group;
+  there are a few for each shuffle partition, are accumulated separately, so no window sees a whole group;
 * when an aggregate is joined back to its rows, the heaviest keys travel in a broadcast of at most ``HOT_KEYS``
   rows and their rows are spread by a salt, so no reducer receives a hot key.
 """
@@ -18,23 +18,30 @@ from pyspark.sql import functions as F
 
 from rosterlake.session import cut_lineage
 
+#: least number of value buckets; more partitions cut more of them
 BUCKETS = 64
 HOT_KEYS = 1000
 SPREAD = 1021
 
 
-def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Distinct ``(groups, value)`` with ``n`` rows, ``before`` rows below the value and ``total`` in the group.
 
-    Null values are left out. Exact: the approximate quantiles only decide where buckets are cut.
+    Values keep their type, a number or a string. Null values are left out. Exact: the approximate quantiles only decide where
+    buckets are cut.
     """
     groups = list(groups)
+    buckets = buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*groups, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
-    cuts = counted.agg(F.percentile_approx("value", F.lit([i / buckets for i in range(1, buckets)]), 1000)
+               .groupBy(*groups, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    # rises with the value, not always strictly: enough to cut buckets
+    height = F.col("value").cast("double")
+    if dict(counted.dtypes)["value"] == "string":
+        height = F.conv(F.rpad(F.substring(F.hex(F.encode("value", "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("double")
+    cuts = counted.agg(F.percentile_approx(height, F.lit([i / buckets for i in range(1, buckets)]), max(1000, 20 * buckets))
                        .alias("cuts")).scalar()
-    placed = counted.withColumn("_cuts", F.coalesce(cuts, F.array().cast("array<double>"))).withColumn(
-        "bucket", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    placed = counted.withColumn("_height", height).withColumn("_cuts", F.coalesce(cuts, F.array().cast("array<double>"))).withColumn(
+        "bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_height")))).drop("_cuts", "_height")
     inside = Window.partitionBy(*groups, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)

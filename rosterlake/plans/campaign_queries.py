@@ -97,8 +97,8 @@ def unbilled(spark, folder):
 
 
 ISSUED = """, due AS (SELECT campaign_id, count(*) AS qty FROM cc WHERE NOT billed AND status IN ('confirmed','submitted','live','completed') GROUP BY 1),
-  orgs AS (SELECT n_nationkey AS org_id, CASE WHEN n_nationkey % 2 = 1 THEN 300 + n_nationkey END AS fee FROM nation WHERE n_nationkey < 5),
-  old AS (SELECT s_nationkey AS org_id, count(*) AS issued FROM supplier WHERE s_nationkey < 5 GROUP BY 1),
+  orgs AS (SELECT n_nationkey AS org_id, CASE WHEN n_nationkey % 2 = 1 THEN 300 + n_nationkey END AS fee FROM nation),
+  old AS (SELECT s_nationkey % 5 AS org_id, count(*) AS issued FROM supplier GROUP BY 1),
   b AS (SELECT c.*, qty, CAST(coalesce(fee, 499) AS DECIMAL(18,2)) AS unit_price, coalesce(issued, 0) + row_number() OVER (PARTITION BY c.org_id ORDER BY c.id) AS place
         FROM campaigns c JOIN due ON campaign_id = c.id LEFT JOIN orgs o ON o.org_id = c.org_id LEFT JOIN old ON old.org_id = c.org_id WHERE c.status IN ('active','completed'))"""
 
@@ -106,9 +106,10 @@ ISSUED = """, due AS (SELECT campaign_id, count(*) AS qty FROM cc WHERE NOT bill
 def _bills(spark, folder):
     campaigns, creators = shortlist(spark, folder)
     nation = F.col("n_nationkey").cast("bigint")
-    orgs = table(spark, folder, "nation").where(nation < 5).select(nation.alias("org_id"), F.when(every(nation, 2, 1), 300 + nation).alias("fee_per_creator"))
-    old = table(spark, folder, "supplier").where(F.col("s_nationkey") < 5).select(
-        F.col("s_nationkey").cast("bigint").alias("org_id"), F.concat(F.lit("CA-2024-"), F.lpad(F.col("s_nationkey").cast("string"), 3, "0"), F.lit("-"), "s_suppkey").alias("number"))
+    orgs = table(spark, folder, "nation").select(nation.alias("org_id"), F.when(every(nation, 2, 1), 300 + nation).alias("fee_per_creator"))
+    org = F.pmod("s_nationkey", F.lit(5)).cast("bigint")
+    old = table(spark, folder, "supplier").select(
+        org.alias("org_id"), F.concat(F.lit("CA-2024-"), F.lpad(org.cast("string"), 3, "0"), F.lit("-"), "s_suppkey").alias("number"))
     return creators, billing.billing_run(campaigns, creators, orgs, old, F.lit("2024-03-01").cast("timestamp_ntz"))
 
 

@@ -209,11 +209,11 @@ def by_platform(spark, folder):
 
 
 @query("d13_category_frequency", over(PROFILE, """
-  SELECT * FROM (SELECT c AS category, count(*) AS accounts FROM (SELECT unnest(categories) AS c FROM base) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
+  SELECT * FROM (SELECT c AS category, count(*) AS accounts FROM (SELECT unnest(categories) AS c FROM base) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15)
   UNION ALL SELECT NULL, count(*) FROM base WHERE len(categories) = 0"""))
 def category_frequency(spark, folder):
     from rosterlake.plans.bindings import base_profiles
-    return report.category_frequency(base_profiles(spark, folder), 5)
+    return report.category_frequency(base_profiles(spark, folder), 15)
 
 
 @query("d14_flag_frequency", over(ISSUES, "SELECT issue AS flag, count(*) AS rows FROM issues WHERE severity = 'warning' GROUP BY 1"))
