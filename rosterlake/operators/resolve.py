@@ -214,7 +214,7 @@ def carry_decisions(log: DataFrame, renames: DataFrame) -> DataFrame:
     return moved.join(settled, "pair_id").where(F.col("_moved") == F.col("_first")).select(*log.columns)
 
 
-def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(account_id, group_id)`` where the group id is the least account id that is linked to it.
 
     ``nodes``: account_id; ``edges``: account_a, account_b. Large-star / small-star contraction: each round hooks
@@ -228,7 +228,8 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
     links = cut_lineage(valid.select(F.greatest("account_a", "account_b").alias("u"), F.least("account_a", "account_b").alias("v"))
                         .where("u <> v").distinct())
     mark = _fingerprint(links)
-    for _ in range(max_rounds):
+    settled = False
+    while not settled:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
         large = (hot_first_join(both.where("v > u"), least, ["u"], "degree", "v", ["m"])
@@ -238,10 +239,7 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
                  .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         links = cut_lineage(small)
         before, mark = mark, _fingerprint(links)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError("groups did not settle")
+        settled = mark == before
     return known.join(links.select(F.col("u").alias("account_id"), F.col("v").alias("_m")), "account_id", "left").select(
         "account_id", F.coalesce("_m", "account_id").alias("group_id"))
 
