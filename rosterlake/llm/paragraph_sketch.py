@@ -113,15 +113,16 @@ def peel(difference: Column, cells: Column) -> Column:
         s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))).alias("whole")))
 
 
-def part_difference(a: Column, b: Column) -> Column:
-    """struct<gone, come, whole, tries> of two key arrays through sketches that double until they can be peeled."""
+def part_difference(a: Column, b: Column, first: Column) -> Column:
+    """struct<gone, come, whole, tries> of two key arrays through sketches that double, from level ``first``, until they can be
+    peeled; ``tries`` is the number of levels up to that one."""
     unknown = F.struct(F.lit(0).alias("gone"), F.lit(0).alias("come"), F.lit(False).alias("whole"), F.lit(0).alias("tries"))
 
     def attempt(state, level):
         cells = (CELLS * F.pow(F.lit(2), level)).cast("int")
         tried = _let(cells, lambda c: peel(subtract(sketch(a, c), sketch(b, c)), c))
-        return F.when(state["whole"], state).otherwise(_let(tried, lambda t: F.struct(
-            t["gone"].alias("gone"), t["come"].alias("come"), t["whole"].alias("whole"), (state["tries"] + 1).alias("tries"))))
+        return F.when(state["whole"] | (level < first), state).otherwise(_let(tried, lambda t: F.struct(
+            t["gone"].alias("gone"), t["come"].alias("come"), t["whole"].alias("whole"), (level + 1).alias("tries"))))
 
     plain = F.struct(F.size(F.array_except(a, b)).alias("gone"), F.size(F.array_except(b, a)).alias("come"), F.lit(True).alias("whole"),
                      F.lit(LEVELS + 1).alias("tries"))
@@ -130,13 +131,18 @@ def part_difference(a: Column, b: Column) -> Column:
 
 
 def difference(a: Column, b: Column) -> Column:
-    """struct<gone, come, tries>: pieces only in the first and only in the second of two digest arrays, and the most tries of a part."""
+    """struct<gone, come, tries>: pieces only in the first and only in the second of two digest arrays, and the tries of the last part.
+
+    Once a part needed more than the smallest sketch, the parts after it begin with the second size.
+    """
     def pairs(parts):
-        return F.zip_with(dealt(a, parts), dealt(b, parts), lambda x, y: _let(
-            F.struct(occurrence_keys(x).alias("x"), occurrence_keys(y).alias("y")), lambda k: part_difference(k["x"], k["y"])))
+        return F.zip_with(dealt(a, parts), dealt(b, parts), lambda x, y: F.struct(occurrence_keys(x).alias("x"), occurrence_keys(y).alias("y")))
+
+    def add(acc, part):
+        return _let(part_difference(part["x"], part["y"], F.least(F.greatest(acc["tries"] - 1, F.lit(0)), F.lit(1))), lambda d: F.struct(
+            (acc["gone"] + d["gone"]).alias("gone"), (acc["come"] + d["come"]).alias("come"), d["tries"].alias("tries")))
     total = F.struct(F.lit(0).alias("gone"), F.lit(0).alias("come"), F.lit(0).alias("tries"))
-    return F.aggregate(_let(parts_needed(F.greatest(F.size(a), F.size(b))), pairs), total, lambda acc, d: F.struct(
-        (acc["gone"] + d["gone"]).alias("gone"), (acc["come"] + d["come"]).alias("come"), F.greatest(acc["tries"], d["tries"]).alias("tries")))
+    return F.aggregate(_let(parts_needed(F.greatest(F.size(a), F.size(b))), pairs), total, add)
 
 
 def likeness(a: Column, b: Column) -> Column:
