@@ -5,9 +5,11 @@ read as ``<*>``. Within a leaf a token that fewer than ``LEAST_DOCUMENTS`` docum
 becomes ``<*>`` too; what results is the line's template. A template recurs when enough documents have it, and a line that differs
 from a recurring one in a single field belongs to it as well, from ``LEAST_TOKENS`` tokens on.
 
-Copies of whole documents are not this operator's business, and dropping their lines would hide them from near-dedup: a
-document's signature for a line is the least hash of its other lines' leading tokens, which copies share, and a template recurs only when
-``LEAST_DOCUMENTS`` signatures have it and at least a ``LEAST_SHARE`` of its documents differ in signature.
+Copies of whole documents are not this operator's business, and dropping their lines would hide them from near-dedup. So a template
+that ``LEAST_DOCUMENTS`` documents have is only a candidate; it recurs when it stands in ``LEAST_DOCUMENTS`` different classes of
+documents, however many copies one class has. A document's class is the hash of its own lines, those of no candidate. Where own
+lines make at most ``MOST_OWN`` of the text (two such texts are alike by 0.8 and up, which is near-dedup's business), its class for
+a template is the rarest other candidate in it, which near copies share.
 
 Counting works on hashes that are aggregated before they are shuffled. The texts are shuffled once, to take the lines out.
 
@@ -25,7 +27,8 @@ from rosterlake.llm.common import free, stored, table
 
 LEADING = 3
 LEAST_DOCUMENTS = 5
-LEAST_SHARE = 0.3
+#: (1 - x) / (1 + x) is the likeness of two texts with a share x of their own each: 0.8 for a ninth
+MOST_OWN = 1 / 9
 #: a template keeps at least this share of its tokens as they are
 LEAST_FIXED = 0.8
 #: lines of fewer tokens must follow a recurring template in every field
@@ -52,24 +55,38 @@ def _leaf(line: Column) -> Column:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """(id, h, at, leaf, line): hashes of every line that is not empty, with the document's signature."""
+    """(id, h, whole, size, at, line): every line that is not empty, with the hash and size of the document's lines."""
     lines = docs.select("_id", "_h", masked_lines(F.col("_text")).alias("_l"))
-    signed = lines.withColumn("_s", F.slice(F.array_sort(F.array_distinct(F.transform(
-        F.filter("_l", lambda x: x != ""), lambda x: F.xxhash64(_leading(x))))), 1, 2))
-    each = signed.select("_id", "_h", "_s", F.posexplode("_l").alias("_at", "_line")).where("_line <> ''")
-    # a line is not to be its own document's signature
-    sign = F.when(F.get("_s", F.lit(0)) == F.xxhash64(_leading(F.col("_line"))), F.coalesce(F.get("_s", F.lit(1)), F.get("_s", F.lit(0))))
-    return each.select("_id", "_h", sign.otherwise(F.get("_s", F.lit(0))).alias("_sign"), "_at", "_line")
+    hashes = F.array_distinct(F.transform(F.filter("_l", lambda x: x != ""), lambda x: F.xxhash64(x)))
+    summed = lines.withColumn("_whole", F.aggregate(hashes, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+    each = summed.select("_id", "_h", "_whole", F.length(F.array_join("_l", "")).alias("_size"), F.posexplode("_l").alias("_at", "_line"))
+    return each.where("_line <> ''")
+
+
+def _small(df: DataFrame, width: int = 1) -> DataFrame:
+    """``df``, stored, marked for broadcast when its rows of ``width`` hashes are few enough."""
+    return F.broadcast(df) if df.count() * width <= MOST_BROADCAST else df
+
+
+def _place(at: Column, token: Column) -> Column:
+    """Hash of a token at its place; those of all places, combined by exclusive or, are a template's key."""
+    return F.xxhash64(at, token)
+
+
+def _following(general: DataFrame, templates: DataFrame) -> DataFrame:
+    """The lines of ``general`` that follow one of ``templates`` (leaf, key, template) or differ from one in a single field."""
+    changed = F.transform("template", lambda x, i: F.col("key").bitwiseXOR(_place(i, x)).bitwiseXOR(_place(i, F.lit(FIELD))))
+    one_field = templates.where(F.size("template") >= LEAST_TOKENS).select("leaf", F.explode(changed).alias("key"))
+    return general.join(templates.select("leaf", "key").unionByName(one_field).distinct(), ["leaf", "key"], "left_semi")
 
 
 def recurring_lines(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """(line): hashes of the masked lines that follow a recurring template. ``placed``: the stored hashes of ``docs``."""
     # a document counts once however often it has the line
-    seen = stored(placed.select("leaf", "line", "_sign", F.xxhash64("_id", "_h").alias("_doc")).distinct()
-                  .groupBy("leaf", "line", "_sign").agg(F.count(F.lit(1)).alias("docs")))
+    seen = stored(placed.select("leaf", "line", F.xxhash64("_id", "_h").alias("_doc")).distinct()
+                  .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")))
     busy = seen.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    tried = stored(seen.join(busy.select("leaf"), "leaf", "left_semi"))
-    lines = stored(tried.groupBy("leaf", "line").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("signs")))
+    lines = stored(seen.join(busy.select("leaf"), "leaf", "left_semi"))
     # one place where each line stands, so that only the documents of those places are read again
     spots = stored(placed.join(lines.select("line"), "line", "left_semi").groupBy("line").agg(F.min(F.struct("_id", "_h", "_at")).alias("p"))
                    .select("line", "p.*"))
@@ -82,19 +99,37 @@ def recurring_lines(docs: DataFrame, placed: DataFrame) -> DataFrame:
     tokens = known.select("leaf", "line", "docs", F.posexplode(F.split("text", " ")).alias("at", "token"))
     fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select(
         "leaf", "at", "token", F.lit(True).alias("fixed"))
-    general = (tokens.join(fixed, ["leaf", "at", "token"], "left")
-               .groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(
-                   FIELD).alias("token")))).alias("t")).select("leaf", "line", F.col("t.token").alias("template")))
-    general = stored(general)
-    counted = (general.join(tried, ["leaf", "line"]).groupBy("leaf", "template", "_sign").agg(F.sum("docs").alias("docs"))
-               .groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("signs")))
+    masked = tokens.join(fixed, ["leaf", "at", "token"], "left").withColumn("token", F.when(F.col("fixed"), F.col("token")).otherwise(FIELD))
+    general = stored(masked.groupBy("leaf", "line", "docs").agg(
+        F.bit_xor(_place(F.col("at"), F.col("token"))).alias("key"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
+        .select("leaf", "line", "docs", "key", F.col("t.token").alias("template")))
     kept = F.size(F.filter("template", lambda t: t != FIELD)) / F.size("template")
-    recurring = counted.where((F.col("signs") >= LEAST_DOCUMENTS) & (F.col("signs") >= LEAST_SHARE * F.col("docs")) & (kept >= LEAST_FIXED))
-    recurring = stored(recurring.select("leaf", "template"))
-    one_field = recurring.select("leaf", F.explode(F.transform(F.sequence(F.lit(1), F.size("template")), lambda i: F.concat(
-        F.slice("template", F.lit(1), i - 1), F.array(F.lit(FIELD)), F.slice("template", i + 1, F.size("template"))))).alias("template"))
-    taken = recurring.unionByName(one_field.where(F.size("template") >= LEAST_TOKENS)).distinct()
-    return general.join(taken, ["leaf", "template"], "left_semi").select("line").distinct()
+    candidates = stored(general.groupBy("leaf", "key").agg(F.sum("docs").alias("n"), F.any_value("template").alias("template")).where(
+        (F.col("n") >= LEAST_DOCUMENTS) & (kept >= LEAST_FIXED)))
+    # lines that only follow a candidate in all but one field are not a document's own, but count for no template
+    shared = stored(_following(general, candidates).select("line", "leaf", "key").join(candidates.drop("template"), ["leaf", "key"], "left").select(
+        "line", F.when(F.col("n").isNotNull(), F.xxhash64("leaf", "key")).alias("k"), "n"))
+    recurring = stored(_classes(placed, shared).groupBy("k").agg(F.count(F.lit(1)).alias("classes")).where(
+        F.col("classes") >= LEAST_DOCUMENTS).select("k"))
+    named = candidates.withColumn("k", F.xxhash64("leaf", "key")).join(recurring, "k", "left_semi")
+    return _following(general, named).select("line").distinct()
+
+
+def _classes(placed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(k, class): the classes of documents in which each candidate template stands, once each.
+
+    ``shared``: line, k and n, the lines that follow a candidate with the template's key and documents.
+    """
+    docs = placed.join(_small(shared, 3), "line").groupBy("_id", "_h", "_whole", "_size").agg(
+        F.collect_set(F.struct("n", "k", "line", "_at", "size")).alias("s"))
+    own = F.aggregate(F.array_distinct(F.col("s.line")), F.col("_whole"), lambda s, x: s.bitwiseXOR(x))
+    rest = F.col("_size") - F.aggregate(F.col("s.size"), F.lit(0), lambda s, x: s + x)
+    templates = F.array_sort(F.array_distinct(F.transform(F.filter("s", lambda x: x["k"].isNotNull()), lambda x: F.struct(
+        x["n"].alias("n"), x["k"].alias("k")))))
+    each = docs.select(own.alias("own"), (rest <= MOST_OWN * F.col("_size")).alias("copy"), templates.alias("t")).select(
+        "own", "copy", F.get("t.k", F.lit(0)).alias("first"), F.get("t.k", F.lit(1)).alias("second"), F.explode("t.k").alias("k"))
+    other = F.coalesce(F.when(F.col("first") == F.col("k"), F.col("second")).otherwise(F.col("first")), F.lit(0))
+    return each.select("k", "copy", F.when(F.col("copy"), other).otherwise(F.col("own")).alias("class")).distinct()
 
 
 def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
@@ -102,7 +137,8 @@ def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count:
     i, h, g = free(df, "_id"), free(df, "_hash"), free(df, "_gone")
     identity = F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.xxhash64(F.col(text))
     docs = df.select(identity[0].alias("_id"), identity[1].alias("_h"), F.col(text).alias("_text"))
-    placed = stored(_placed(docs).select("_id", "_h", "_sign", "_at", _leaf(F.col("_line")).alias("leaf"), F.xxhash64("_line").alias("line")))
+    placed = stored(_placed(docs).select("_id", "_h", "_whole", "_size", "_at", _leaf(F.col("_line")).alias("leaf"), F.xxhash64("_line").alias("line"),
+                                        F.length("_line").alias("size")))
     gone = placed.join(recurring_lines(docs, placed), "line", "left_semi").groupBy("_id", "_h").agg(F.collect_set("_at").alias(g))
     joined = df.select("*", identity[0].alias(i), identity[1].alias(h)).join(gone.select(
         F.col("_id").alias(i), F.col("_h").alias(h), g), [i, h], "left")

@@ -139,6 +139,26 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
+def test_passages_of_independent_documents_go_beside_a_large_copy_group(spark):
+    random.seed(3)
+    def some(n):
+        return " ".join("".join(random.choices("abcdefghij", k=7)) for _ in range(n))
+    passage = [some(9) for _ in range(3)]
+    single = [(i, [*passage, some(9), some(9)]) for i in range(40)]
+    copied = [passage[0], *[some(9) for _ in range(6)]]
+    near = [some(9) for _ in range(20)]
+    copies = [(1000 + i, copied) for i in range(300)]
+    altered = [(2000 + i, [*near[:i % 20], some(9), *near[i % 20 + 1:]]) for i in range(100)]
+    # the same passage line in five groups of copies: five different documents have it
+    grouped, five = some(9), [[some(9) for _ in range(3)] for _ in range(5)]
+    several = [(3000 + 10 * g + i, [grouped, *five[g]]) for g in range(5) for i in range(6)]
+    rows = single + copies + altered + several
+    random.shuffle(rows)
+    out = line_dedup.drop_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], DOCS))
+    gone = {*passage, grouped}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: "\n".join(x for x in t if x not in gone) for i, t in rows}
+
+
 # queries and pipeline ------------------------------------------------------------------------------------------------
 @tables
 @pytest.mark.parametrize("name", ["op2_chat", "op6_decontaminate"])
