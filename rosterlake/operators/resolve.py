@@ -149,11 +149,30 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         F.when(c("mirrored"), mirror_reason).when(c("same_platform"), twin_reason).otherwise(across_reasons).alias("reasons"))
 
 
+def _mirrored(s: str, t: str) -> Column:
+    """True where one account is on Instagram, the other on Threads, with one handle whose core can make a block."""
+    a, b = F.col(f"platform_{s}"), F.col(f"platform_{t}")
+    core = F.col(f"handle_core_{s}")
+    return F.coalesce((((a == "instagram") & (b == "threads")) | ((a == "threads") & (b == "instagram")))
+                      & (F.col(f"handle_{s}") == F.col(f"handle_{t}")) & (core == F.col(f"handle_core_{t}")) & (F.length(core) >= 4), F.lit(False))
+
+
+def mirrored_pairs(df: DataFrame, key: str, carry: list[str]) -> DataFrame:
+    """Pairs that show one handle on Instagram and Threads, joined on the handle, so blocks of any size lose none."""
+    def side(platform, s):
+        return df.where(F.col("platform") == platform).select(*[F.col(c).alias(f"{c}_{s}") for c in (key, *carry)])
+    def ordered(a, b):
+        pairs = side(a, "a").join(side(b, "b"), F.col("handle_a") == F.col("handle_b"))
+        return pairs.where((F.col(f"{key}_a") < F.col(f"{key}_b")) & _mirrored("a", "b"))
+    return ordered("instagram", "threads").unionByName(ordered("threads", "instagram"))
+
+
 def find_candidates(accounts: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """Scored pairs of one account table."""
+    """Scored pairs of one account table: those that share a block of at most ``limit`` members, and all mirrored ones."""
     facts = with_name_words(accounts).withColumn("blocks", block_keys(F.col("name_key"), F.col("handle_core")))
     carry = [f for f in FACTS if f != "account_id"]
-    return score_pairs(candidate_pairs(facts, "account_id", "blocks", carry, limit))
+    pairs = candidate_pairs(facts, "account_id", "blocks", carry, limit).where(~_mirrored("a", "b"))
+    return score_pairs(pairs.unionByName(mirrored_pairs(facts, "account_id", carry)))
 
 
 def apply_decisions(scored: DataFrame, log: DataFrame) -> DataFrame:

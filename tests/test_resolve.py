@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -102,6 +103,13 @@ def test_crowded_blocks_are_left_out(spark):
     assert resolve.candidate_pairs(df.limit(200), "id", "blocks", []).count() == 200 * 199 // 2
 
 
+def test_mirrored_handles_are_found_in_crowded_blocks(spark):
+    rows = [acc(f"{platform}:crowd{i:03d}crowd", platform, "Asha Verma", f"crowd{i:03d}crowd", ["Food"], None, None)
+            for i in range(150) for platform in ("instagram", "threads")]
+    got = Counter(r.pair_id for r in resolve.find_candidates(spark.createDataFrame(rows, ACC)).collect() if r.kind == "ig_threads_same_handle")
+    assert got == Counter(f"instagram:crowd{i:03d}crowd|threads:crowd{i:03d}crowd" for i in range(150))
+
+
 def test_groups_match_union_find(spark):
     rnd = random.Random(9)
     nodes = [f"n{i:03d}" for i in range(300)]
