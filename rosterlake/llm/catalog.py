@@ -26,4 +26,4 @@ def load() -> None:
     """Import every module that registers queries, in the order of the operators."""
     from rosterlake.llm import (  # noqa: F401
         licenses, chat, toxicity, bpe, line_dedup, decontaminate, simhash, paragraph_sketch, language, pii,
-        filter_audit)
+        vector_codes, filter_audit, topk_search)

@@ -91,6 +91,21 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(False))
 
 
+#: a scaled component beyond this counts as this, so that squares and their sums stay within a long
+LARGEST = 1 << 27
+
+
+def finite(vector: Column) -> Column:
+    """True for vectors that are there and have finite components only."""
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce((F.size(vector) > 0) & whole, F.lit(False))
+
+
+def scaled(vector: Column, scale: int) -> Column:
+    """floor(scale * x) of every component, held to +-2^27."""
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))).cast("int"))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: used where several later steps read it."""
     spark = df.sparkSession
