@@ -8,7 +8,7 @@ need to be to cut the table into even parts, and the same trie per part finds th
 What is left of a document is its mask of failed filters; masks are counted by part of the table, and the 120 orders are read off
 those counts.
 
-Null texts count as empty. Ids are integers; a document without one neither fails the copy filter nor makes another fail it, and
+Null texts count as empty. Ids are integers; a document without one has no labels, neither fails the copy filter nor makes another fail it, and
 documents that share both text and smallest id all pass. Repeated rows count each time. Where ``labels`` repeats an id, one row saying 1 is enough.
 A part of the table is a value of ``lang``, null being the empty string; an empty table has no parts and gives no rows. Texts
 of any length are read whole; a trie holds a bounded number of bytes more than its longest text before a task sends it on. Only the named columns are
