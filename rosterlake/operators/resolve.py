@@ -7,59 +7,19 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import names
 from rosterlake.functions.similarity import pair_similarity
+from rosterlake.functions.steps import once
 from rosterlake.operators.latest import latest_per_key
 from rosterlake.operators.merge import distinct_items
-from rosterlake.operators.scale import HOT_KEYS, hot_first_join, sparse_join
+from rosterlake.operators.pairing import REVIEW_SCORE, candidate_pairs
+from rosterlake.operators.scale import hot_first_join, sparse_join
 from rosterlake.session import cut_lineage
 
 # Fixed values of the matching rules.
-BLOCK_LIMIT = 200
-REVIEW_SCORE = 0.72
 SAME_PLATFORM_NAME = 92
 SAFE_KINDS = ("ig_threads_same_handle", "cross_platform_exact_handle_and_name")
 FACTS = ("account_id", "platform", "handle", "handle_core", "name_key", "name_words", "categories", "city", "age")
 
 
-def block_keys(*texts: Column) -> Column:
-    """First and last five characters of every text with at least four, in one namespace."""
-    def ends(text):
-        return F.when(F.length(text) >= 4, F.array(F.concat(F.lit("p:"), F.left(text, F.lit(5))),
-                                                   F.concat(F.lit("s:"), F.right(text, F.lit(5)))))
-    nothing = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*[F.coalesce(ends(t), nothing) for t in texts]))
-
-
-def block_sizes(df: DataFrame, blocks: str = "blocks") -> DataFrame:
-    return df.select(F.explode(blocks).alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("members"))
-
-
-def crowded_blocks(df: DataFrame, blocks: str = "blocks", limit: int = BLOCK_LIMIT) -> DataFrame:
-    """The blocks the matching rules leave out, with their sizes, so that nothing is left out unseen."""
-    return block_sizes(df, blocks).where(F.col("members") > limit)
-
-
-def candidate_pairs(df: DataFrame, key: str, blocks: str, carry: list[str], limit: int = BLOCK_LIMIT) -> DataFrame:
-    """Pairs of rows that share a block of at most ``limit`` members, each pair once (C4).
-
-    The matching rules leave out larger blocks: they are too common to say anything. Their most crowded
-    ``HOT_KEYS`` keys, which may hold most rows, are dropped map-side by a broadcast of that fixed size; the rest go
-    in the join with the block sizes. A pair that shares several blocks is kept in the smallest one only, so no
-    distinct over the pairs is needed, and the attributes in ``carry`` travel along so that none is joined back.
-    """
-    sizes = block_sizes(df, blocks)
-    crowded = F.broadcast(sizes.where(F.col("members") > limit).orderBy(F.desc("members"), "block").limit(HOT_KEYS)
-                          .select("block"))
-    members = df.select(key, F.explode(blocks).alias("block")).join(crowded, "block", "left_anti")
-    usable = sizes.where(F.col("members").between(2, limit)).select("block")
-    kept = members.join(usable, "block").groupBy(key).agg(F.array_sort(F.collect_set("block")).alias("_open"))
-    side = df.select(key, *carry).join(kept, key).withColumn("_block", F.explode("_open"))
-    left = side.select("_block", *[F.col(c).alias(f"{c}_a") for c in (key, *carry, "_open")])
-    right = side.select("_block", *[F.col(c).alias(f"{c}_b") for c in (key, *carry, "_open")])
-    shared = F.array_min(F.array_intersect("_open_a", "_open_b"))
-    return (left.join(right, "_block").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("_block") == shared))
-            .drop("_block", "_open_a", "_open_b"))
-
-
 def with_name_words(accounts: DataFrame) -> DataFrame:
     """Add the sorted words of the transliterated name, once per account rather than once per pair."""
     reading = F.trim(F.regexp_replace("_reading", r"\s+", " "))
@@ -67,49 +27,64 @@ def with_name_words(accounts: DataFrame) -> DataFrame:
         "name_words", F.array_join(F.array_sort(F.split(reading, " ")), " ")).drop("_reading")
 
 
-def _reach(a: Column, b: Column) -> Column:
-    """Highest similarity two texts of these lengths could have."""
-    shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
-    return F.coalesce(F.try_divide(200.0 * shorter, both), F.lit(0.0))
+def _reach(a: str, b: str) -> Column:
+    """Highest similarity two texts of these lengths could have; two empty names are equal."""
+    n, m = F.length(f"{a}_a"), F.length(f"{b}_b")
+    return F.coalesce(F.try_divide(200.0 * F.least(n, m), n + m), F.lit(100.0 if a == b == "name_words" else 0.0))
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Score, kind and reasons of account pairs; pairs not worth a review are left out.
+def _edited(a: str, b: str) -> Column:
+    """Highest similarity two texts could have that are this many edits apart: leaving out and putting in is no fewer."""
+    x, y = F.col(f"{a}_a"), F.col(f"{b}_b")
+    return F.coalesce(100.0 - F.try_divide(100.0 * F.levenshtein(x, y), F.length(x) + F.length(y)), F.lit(100.0 if a == b == "name_words" else 0.0))
 
-    Cheap evidence is worked out first, and an upper bound from text lengths removes pairs that cannot reach a
-    threshold before the Arrow similarity function sees them.
-    """
+
+def _evidence() -> dict[str, Column]:
+    """What two accounts show besides the likeness of their texts, from the facts of both sides."""
     c = F.col
     known_city = F.nullif(c("city_a"), F.lit("")).isNotNull() & F.nullif(c("city_b"), F.lit("")).isNotNull()
-    overlap = F.array_intersect("categories_a", "categories_b")
-    union = F.size(F.array_union("categories_a", "categories_b"))
+    ages_differ = F.coalesce((c("age_a") > 0) & (c("age_b") > 0) & (F.abs(c("age_a") - c("age_b")) > 4), F.lit(False))
+    cities_differ = known_city & (c("city_a") != c("city_b"))
     both_lists = (F.size("categories_a") > 0) & (F.size("categories_b") > 0)
-    facts = (pairs
-             .withColumn("same_platform", c("platform_a") == c("platform_b"))
-             .withColumn("exact", (F.length("handle_core_a") >= 4) & (c("handle_core_a") == c("handle_core_b")))
-             .withColumn("same_city", known_city & (c("city_a") == c("city_b")))
-             .withColumn("cities_differ", known_city & (c("city_a") != c("city_b")))
-             .withColumn("ages_differ", F.coalesce((c("age_a") > 0) & (c("age_b") > 0)
-                                                   & (F.abs(c("age_a") - c("age_b")) > 4), F.lit(False)))
-             .withColumn("shared", F.array_sort(overlap))
-             .withColumn("overlap", F.when(both_lists, F.try_divide(F.size(overlap), union)).otherwise(0.0)))
-    facts = facts.withColumn("contrary", c("cities_differ").cast("int") + c("ages_differ").cast("int"))
+    overlap = F.size(F.array_intersect("categories_a", "categories_b"))
+    exact = F.coalesce((F.length("handle_core_a") >= 4) & (c("handle_core_a") == c("handle_core_b")), F.lit(False))
+    same_platform = c("platform_a") == c("platform_b")
+    mirrored = exact & c("platform_a").isin("instagram", "threads") & c("platform_b").isin(
+        "instagram", "threads") & ~same_platform & (c("handle_a") == c("handle_b"))
+    return {"same_platform": same_platform, "exact": exact, "mirrored": F.coalesce(mirrored, F.lit(False)),
+            "same_city": known_city & (c("city_a") == c("city_b")), "cities_differ": cities_differ, "ages_differ": ages_differ,
+            "contrary": cities_differ.cast("int") + ages_differ.cast("int"),
+            "overlap": F.when(both_lists, F.try_divide(overlap, F.size(F.array_union("categories_a", "categories_b")))).otherwise(0.0)}
+
+
+def _possible(e: dict[str, Column], reach) -> Column:
+    """False for pairs that no rule can accept if ``reach`` bounds the similarity of their texts."""
+    name_top = F.greatest(reach("name_words", "name_words"), reach("name_key", "name_key"))
+    handle_top = F.greatest(reach("handle_core", "handle_core"), reach("name_key", "handle_core"), reach("handle_core", "name_key")) / 100
+    twins = (e["contrary"] == 0) & (F.least(F.length("name_key_a"), F.length("name_key_b")) >= 6) & (name_top >= SAME_PLATFORM_NAME - 1e-9)
+    penalty = 0.2 * e["contrary"]
+    best = F.greatest(0.5 * handle_top + 0.35 * name_top / 100 + 0.15 * e["overlap"] - penalty, F.when(e["exact"], 0.9 - penalty).otherwise(0.0))
+    across = (best >= REVIEW_SCORE - 1e-9) & (e["exact"] | (handle_top >= 0.7 - 1e-9) | ((name_top >= 95 - 1e-9) & e["same_city"]))
+    return F.coalesce(e["mirrored"] | F.when(e["same_platform"], twins).otherwise((e["contrary"] < 2) & across), F.lit(False))
+
+
+def with_similarities(pairs: DataFrame) -> DataFrame:
+    """Pairs that may be accepted, with their evidence and the similarities of handles, names and names with handles.
+
+    Bounds from lengths and then from edit distances remove hopeless pairs before the Arrow similarity function sees them.
+    """
+    facts = once(pairs, **_evidence())
+    known = {n: F.col(n) for n in _evidence()}
+    hopeful = facts.where(_possible(known, _reach)).where(_possible(known, _edited))
+    return hopeful.withColumn("sim", pair_similarity("handle_core_a", "handle_core_b", "name_key_a", "name_key_b",
+                                                     "name_words_a", "name_words_b")).select("*", "sim.*").drop("sim")
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Score, kind and reasons of account pairs; pairs not worth a review are left out."""
+    c = F.col
     penalty = 0.2 * c("contrary")
-    mirrored = c("exact") & c("platform_a").isin("instagram", "threads") & c("platform_b").isin(
-        "instagram", "threads") & ~c("same_platform") & (c("handle_a") == c("handle_b"))
-    facts = facts.withColumn("mirrored", F.coalesce(mirrored, F.lit(False)))
-    name_top = F.greatest(_reach(c("name_words_a"), c("name_words_b")), _reach(c("name_key_a"), c("name_key_b")))
-    handle_top = F.greatest(_reach(c("handle_core_a"), c("handle_core_b")), _reach(c("name_key_a"), c("handle_core_b")),
-                            _reach(c("name_key_b"), c("handle_core_a"))) / 100
-    twins = (name_top >= SAME_PLATFORM_NAME) & (c("contrary") == 0) & (
-        F.least(F.length("name_key_a"), F.length("name_key_b")) >= 6)
-    best = F.greatest(0.5 * handle_top + 0.35 * name_top / 100 + 0.15 * c("overlap") - penalty,
-                      F.when(c("exact"), 0.9 - penalty).otherwise(0.0))
-    across = (best >= REVIEW_SCORE - 1e-9) & (c("exact") | (handle_top >= 0.7) | ((name_top >= 95) & c("same_city")))
-    hopeful = facts.where(c("mirrored") | F.when(c("same_platform"), twins).otherwise(across))
-
-    sim = hopeful.withColumn("sim", pair_similarity("handle_core_a", "handle_core_b", "name_key_a", "name_key_b",
-                                                    "name_words_a", "name_words_b")).select("*", "sim.*").drop("sim")
+    sim = with_similarities(pairs).withColumn("shared", F.array_sort(F.array_intersect("categories_a", "categories_b")))
     hand = F.greatest("handle_sim", "cross_sim") / 100
     raw = 0.5 * hand + 0.35 * c("name_sim") / 100 + 0.15 * c("overlap") - penalty
     sim = sim.withColumn("raw", F.when(c("exact"), F.greatest(raw, 0.9 - penalty)).otherwise(raw))
@@ -142,37 +117,30 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
             .when(c("exact") & (c("name_sim") >= 90) & (c("contrary") == 0), "cross_platform_exact_handle_and_name")
             .when(c("exact"), "cross_platform_exact_handle").otherwise("cross_platform_fuzzy"))
     score = (F.when(c("mirrored"), 1.0).when(c("same_platform"), c("name_sim") / 100 * 0.9)
-             .otherwise(F.bround("raw", 3)))
+             .otherwise(_rounded(c("raw"))))
     return sim.select(
         F.concat_ws("|", "account_id_a", "account_id_b").alias("pair_id"), c("account_id_a").alias("account_a"),
         c("account_id_b").alias("account_b"), kind.alias("kind"), score.alias("score"),
         F.when(c("mirrored"), mirror_reason).when(c("same_platform"), twin_reason).otherwise(across_reasons).alias("reasons"))
 
 
-def _mirrored(s: str, t: str) -> Column:
-    """True where one account is on Instagram, the other on Threads, with one handle whose core can make a block."""
-    a, b = F.col(f"platform_{s}"), F.col(f"platform_{t}")
-    core = F.col(f"handle_core_{s}")
-    return F.coalesce((((a == "instagram") & (b == "threads")) | ((a == "threads") & (b == "instagram")))
-                      & (F.col(f"handle_{s}") == F.col(f"handle_{t}")) & (core == F.col(f"handle_core_{t}")) & (F.length(core) >= 4), F.lit(False))
+def _rounded(x: Column) -> Column:
+    """Three decimals of a positive number by its exact binary value, halves to even: 0.7875, a little less than that, gives 0.787."""
+    head = x.cast("float").cast("double")  # the rest has so few digits that both products are exact
+    k = F.floor(x * 1000)
+    beyond = (head * 1000 - (k + 0.5)) + (x - head) * 1000
+    return (k + F.when((beyond > 0) | ((beyond == 0) & (k % 2 == 1)), 1).otherwise(0)) / 1000
 
 
-def mirrored_pairs(df: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    """Pairs that show one handle on Instagram and Threads, joined on the handle, so blocks of any size lose none."""
-    def side(platform, s):
-        return df.where(F.col("platform") == platform).select(*[F.col(c).alias(f"{c}_{s}") for c in (key, *carry)])
-    def ordered(a, b):
-        pairs = side(a, "a").join(side(b, "b"), F.col("handle_a") == F.col("handle_b"))
-        return pairs.where((F.col(f"{key}_a") < F.col(f"{key}_b")) & _mirrored("a", "b"))
-    return ordered("instagram", "threads").unionByName(ordered("threads", "instagram"))
+def similar_pairs(accounts: DataFrame) -> DataFrame:
+    """Candidate pairs of one account table with their facts, one row each."""
+    facts = with_name_words(accounts)
+    return candidate_pairs(facts.select(*FACTS), "account_id", [f for f in FACTS if f != "account_id"], lambda: _possible(_evidence(), _reach))
 
 
-def find_candidates(accounts: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """Scored pairs of one account table: those that share a block of at most ``limit`` members, and all mirrored ones."""
-    facts = with_name_words(accounts).withColumn("blocks", block_keys(F.col("name_key"), F.col("handle_core")))
-    carry = [f for f in FACTS if f != "account_id"]
-    pairs = candidate_pairs(facts, "account_id", "blocks", carry, limit).where(~_mirrored("a", "b"))
-    return score_pairs(pairs.unionByName(mirrored_pairs(facts, "account_id", carry)))
+def find_candidates(accounts: DataFrame) -> DataFrame:
+    """Scored pairs of one account table: all that share a block of any size and that the rules accept."""
+    return score_pairs(similar_pairs(accounts))
 
 
 def apply_decisions(scored: DataFrame, log: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rosterlake.operators import clean, enrich, profile, report, resolve
+from rosterlake.operators import clean, enrich, pairing, profile, report, resolve
 from rosterlake.plans.bindings import accounts, every, profiles, sheet, shortlist, table
 from rosterlake.plans.catalog import query
 from rosterlake.plans.cleaning_queries import SHEET_ROWS
@@ -68,30 +68,96 @@ sizes AS (SELECT block, count(*) AS members FROM keys GROUP BY 1)"""
 
 @query("c3_block_sizes", over(BLOCKS, "SELECT block, members FROM sizes"))
 def block_sizes(spark, folder):
-    blocked = accounts(spark, folder).select(resolve.block_keys(F.col("name_key"), F.col("handle_core")).alias("blocks"))
-    return resolve.block_sizes(blocked)
-
-
-@query("c4_candidate_pairs", over(BLOCKS, """
-  SELECT DISTINCT x.account_id AS account_a, y.account_id AS account_b FROM keys x JOIN keys y ON x.block = y.block AND x.account_id < y.account_id
-  JOIN sizes s ON s.block = x.block WHERE members <= 200"""))
+    blocked = accounts(spark, folder).select(pairing.block_keys(F.col("name_key"), F.col("handle_core")).alias("blocks"))
+    return pairing.block_sizes(blocked)
+
+
+#: every pair that shares a block with its evidence and similarities; the common subsequence is counted with one bit a character
+LIKENESS = """,
+met AS (SELECT DISTINCT x.account_id AS ia, y.account_id AS ib FROM keys x JOIN keys y ON x.block = y.block AND x.account_id < y.account_id),
+facts AS (
+  SELECT account_id, platform, handle, name_key, handle_core, categories, nullif(city, '') AS city, age,
+         array_to_string(list_sort(string_split(lower(name_clean), ' ')), ' ') AS words FROM accounts),
+shown AS (
+  SELECT a.account_id AS account_a, b.account_id AS account_b, a.platform = b.platform AS same_platform, coalesce(a.city <> b.city, false) AS cities_differ,
+         coalesce(abs(a.age - b.age) > 4, false) AS ages_differ, coalesce(a.city = b.city, false) AS same_city, a.city AS city_a, b.city AS city_b,
+         a.age AS age_a, b.age AS age_b, length(a.handle_core) >= 4 AND a.handle_core = b.handle_core AS exact, coalesce(a.handle = b.handle, false) AS same_handle,
+         list_sort(list_intersect(a.categories, b.categories)) AS shared,
+         CAST(len(list_intersect(a.categories, b.categories)) AS DOUBLE) / len(list_distinct(list_concat(a.categories, b.categories))) AS overlap,
+         a.platform AS pa, b.platform AS pb, a.handle_core AS ca, b.handle_core AS cb, a.name_key AS ka, b.name_key AS kb, a.words AS wa, b.words AS wb
+  FROM met JOIN facts a ON a.account_id = ia JOIN facts b ON b.account_id = ib),
+weighed AS (
+  SELECT *, CAST(cities_differ AS INTEGER) + CAST(ages_differ AS INTEGER) AS contrary,
+         exact AND same_handle AND NOT same_platform AND pa IN ('instagram', 'threads') AND pb IN ('instagram', 'threads') AS mirrored FROM shown),
+open AS (
+  SELECT * FROM weighed WHERE mirrored OR CASE WHEN same_platform THEN contrary = 0 AND least(length(ka), length(kb)) >= 6 ELSE contrary < 2 END),
+texts AS (
+  SELECT ca AS x, cb AS y FROM open UNION SELECT ka, kb FROM open UNION SELECT wa, wb FROM open UNION SELECT ka, cb FROM open UNION SELECT kb, ca FROM open),
+bits AS (
+  SELECT x, y, (CAST(1 AS BIGINT) << length(x)) - 1 AS whole, list_transform(string_split(y, ''), lambda c: CAST(list_sum(list_transform(
+    range(length(x)), lambda i: CASE WHEN substr(x, i + 1, 1) = c THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT)) AS marks FROM texts WHERE x <> '' AND y <> ''),
+likeness AS (
+  SELECT x, y, CAST(200 AS DOUBLE) * (length(x) - bit_count(list_reduce(list_prepend(whole, marks), lambda r, m: ((r + (r & m)) | (r - (r & m))) & whole)))
+         / (length(x) + length(y)) AS sim FROM bits),
+similar_pairs AS (
+  SELECT o.*, coalesce(h.sim, 0) AS handle_sim, greatest(n.sim, coalesce(k.sim, 0)) AS name_sim, greatest(coalesce(p.sim, 0), coalesce(q.sim, 0)) AS cross_sim
+  FROM open o LEFT JOIN likeness h ON h.x = ca AND h.y = cb LEFT JOIN likeness n ON n.x = wa AND n.y = wb LEFT JOIN likeness k ON k.x = ka AND k.y = kb
+  LEFT JOIN likeness p ON p.x = ka AND p.y = cb LEFT JOIN likeness q ON q.x = kb AND q.y = ca)"""
+
+KEPT = """,
+summed AS (
+  SELECT *, greatest(handle_sim, cross_sim) / 100 AS hand,
+         0.5 * (greatest(handle_sim, cross_sim) / 100) + 0.35 * name_sim / 100 + 0.15 * overlap - 0.2 * contrary AS plain FROM similar_pairs),
+raised AS (SELECT *, CASE WHEN exact THEN greatest(plain, 0.9 - 0.2 * contrary) ELSE plain END AS raw FROM summed),
+kept AS (
+  SELECT * FROM raised WHERE mirrored OR CASE WHEN same_platform THEN name_sim >= 92
+    ELSE raw >= 0.72 AND (exact OR hand >= 0.7 OR name_sim >= 95 AND same_city) END)"""
+
+SCORED = """
+SELECT account_a || '|' || account_b AS pair_id, account_a, account_b,
+  CASE WHEN mirrored THEN 'ig_threads_same_handle' WHEN same_platform THEN 'same_platform_similar'
+       WHEN exact AND name_sim >= 90 AND contrary = 0 THEN 'cross_platform_exact_handle_and_name' WHEN exact THEN 'cross_platform_exact_handle' ELSE 'cross_platform_fuzzy' END AS kind,
+  CASE WHEN mirrored THEN CAST(1 AS DOUBLE) WHEN same_platform THEN name_sim / 100 * 0.9 ELSE CAST(printf('%.3f', raw) AS DOUBLE) END AS score,
+  CASE WHEN mirrored THEN 'identical handle on Instagram and Threads (Threads uses the Instagram username)'
+       WHEN same_platform THEN 'same platform, names ' || printf('%.0f', name_sim) || '% similar - two accounts of one creator, a fan page, or a brand network?'
+       ELSE array_to_string(list_filter([
+         CASE WHEN exact THEN 'identical handle core ''' || ca || '''' END, CASE WHEN same_city THEN 'same city (' || city_a || ')' END,
+         CASE WHEN cities_differ THEN 'but different cities (' || city_a || ' vs ' || city_b || ')' WHEN ages_differ THEN 'but ages differ (' || age_a || ' vs ' || age_b || ')'
+              WHEN handle_sim >= 80 THEN 'handles ' || printf('%.0f', handle_sim) || '% similar' END,
+         CASE WHEN cross_sim >= 85 AND NOT exact THEN 'name matches the other account''s handle (' || printf('%.0f', cross_sim) || '%)' END,
+         CASE WHEN name_sim >= 80 THEN 'names ' || printf('%.0f', name_sim) || '% similar' END,
+         CASE WHEN len(shared) > 0 THEN 'shared categories: ' || array_to_string(shared, ', ') END], lambda r: r IS NOT NULL), '; ') END AS reasons FROM kept"""
+
+#: the same accounts with one common end of all long names and handles, so that most of them share a single block
+CROWDED = BLOCKS.replace("acc AS (", "own AS (").replace("accounts AS (", """acc AS (
+  SELECT * REPLACE (regexp_replace(name_key, 'nat.x$', 'zonex') AS name_key, regexp_replace(handle_core, 'nat.x$', 'zonex') AS handle_core) FROM own),
+accounts AS (""")
+
+
+@query("c4_candidate_pairs", over(BLOCKS + LIKENESS + KEPT, "SELECT account_a, account_b FROM kept"))
 def candidate_pairs(spark, folder):
-    blocked = accounts(spark, folder).select("account_id", resolve.block_keys(F.col("name_key"), F.col("handle_core")).alias("blocks"))
-    return resolve.candidate_pairs(blocked, "account_id", "blocks", []).select(
-        F.col("account_id_a").alias("account_a"), F.col("account_id_b").alias("account_b"))
+    """Pairs that share a block of any size and that the rules accept."""
+    return resolve.find_candidates(accounts(spark, folder)).select("account_a", "account_b")
 
 
-@query("c5_scored_pairs")
+@query("c5_scored_pairs", over(BLOCKS + LIKENESS + KEPT, SCORED))
 def scored_pairs(spark, folder):
     """Scores, kinds and reasons of all candidate pairs."""
     return resolve.find_candidates(accounts(spark, folder)).withColumn("reasons", F.array_join("reasons", "; "))
 
 
+@query("c5_crowded_pairs", over(CROWDED + LIKENESS + KEPT, SCORED))
+def crowded_pairs(spark, folder):
+    """Scores of accounts most of which share one block."""
+    acc = accounts(spark, folder).withColumns({c: F.regexp_replace(c, "nat.x$", "zonex") for c in ("name_key", "handle_core")})
+    return resolve.find_candidates(acc).withColumn("reasons", F.array_join("reasons", "; "))
+
+
 @query("c5_safe_links", over(ACCOUNTS, """
   SELECT i.account_id AS account_a, t.account_id AS account_b, CAST(1.0 AS DOUBLE) AS score FROM accounts i JOIN accounts t
   ON i.handle = t.handle AND i.platform = 'instagram' AND t.platform = 'threads'"""))
 def safe_links(spark, folder):
-    """Pairs linked because both networks show the same handle; every one of them shares a small block."""
+    """Pairs linked because both networks show the same handle."""
     scored = resolve.find_candidates(accounts(spark, folder))
     return scored.where(F.col("kind") == "ig_threads_same_handle").select("account_a", "account_b", "score")
 

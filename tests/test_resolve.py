@@ -1,10 +1,12 @@
+import functools
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.functions.similarity import common_subsequence, ratio
-from rosterlake.operators import resolve
+from rosterlake.operators import pairing, resolve
 
 ACC = ("account_id string, platform string, name_clean string, name_key string, handle string, handle_core string, categories array<string>, "
        "city string, age int, followers long, entity_type string, flags array<string>")
@@ -16,6 +18,9 @@ def acc(i, platform, name, handle, cats=(), city=None, age=None, followers=0):
     return (i, platform, name, key, handle, core, list(cats), city, age, followers, "person", [])
 
 
+ratio = functools.cache(ratio)
+
+
 def test_subsequence_against_dynamic_programming():
     rnd = random.Random(1)
     for _ in range(300):
@@ -47,12 +52,14 @@ def brute_score(a, b):
     def words(s):
         return " ".join(sorted(s.lower().split()))
     exact = len(a["handle_core"]) >= 4 and a["handle_core"] == b["handle_core"]
-    hand = sim(a["handle_core"], b["handle_core"])
-    name = max(ratio(words(a["name_clean"]), words(b["name_clean"])), sim(a["name_key"], b["name_key"]))
-    cross = max(sim(a["name_key"], b["handle_core"]), sim(b["name_key"], a["handle_core"]))
     x, y = set(a["categories"]), set(b["categories"])
     over = len(x & y) / len(x | y) if x and y else 0.0
     contra = int(bool(a["city"] and b["city"] and a["city"] != b["city"])) + int(bool(a["age"] and b["age"] and abs(a["age"] - b["age"]) > 4))
+    if contra and a["platform"] == b["platform"] or contra == 2 and not exact:
+        return None  # no text can outweigh that
+    hand = sim(a["handle_core"], b["handle_core"])
+    name = max(ratio(words(a["name_clean"]), words(b["name_clean"])), sim(a["name_key"], b["name_key"]))
+    cross = max(sim(a["name_key"], b["handle_core"]), sim(b["name_key"], a["handle_core"]))
     same_city = bool(a["city"]) and a["city"] == b["city"]
     if a["platform"] == b["platform"]:
         ok = name >= 92 and min(len(a["name_key"]), len(b["name_key"])) >= 6 and not contra
@@ -82,25 +89,80 @@ def test_scores_against_brute_force(spark):
                         rnd.sample(["Food", "Tech", "Music"], rnd.randint(0, 2)), rnd.choice([None, "Pune", "Goa"]), rnd.choice([None, 20, 23, 30])))
     df = spark.createDataFrame(rows, ACC)
     got = {r.pair_id: (round(r.score, 9), r.kind) for r in resolve.find_candidates(df).collect()}
-    names = [c.split()[0] for c in ACC.split(", ")]
-    dicts = [dict(zip(names, r)) for r in rows]
-    def blocks(d):
-        return {p + t for v in (d["name_key"], d["handle_core"]) if len(v) >= 4 for p, t in (("p:", v[:5]), ("s:", v[-5:]))}
-    want = {}
-    for i, a in enumerate(sorted(dicts, key=lambda d: d["account_id"])):
-        for b in sorted(dicts, key=lambda d: d["account_id"])[i + 1:]:
-            if blocks(a) & blocks(b):
-                scored = brute_score(a, b)
-                if scored:
-                    want[f"{a['account_id']}|{b['account_id']}"] = scored
+    want = all_scores(rows)
     assert got == want and len(want) > 50
 
 
-def test_crowded_blocks_are_left_out(spark):
-    rows = [(f"a{i:03d}", ["p:crowd", "p:quiet"] if i < 3 else ["p:crowd"]) for i in range(201)]
-    df = spark.createDataFrame(rows, "id string, blocks array<string>")
-    assert sorted(map(tuple, resolve.candidate_pairs(df, "id", "blocks", []).collect())) == [("a000", "a001"), ("a000", "a002"), ("a001", "a002")]
-    assert resolve.candidate_pairs(df.limit(200), "id", "blocks", []).count() == 200 * 199 // 2
+def blocks(d):
+    return {p + t for v in (d["name_key"], d["handle_core"]) if len(v) >= 4 for p, t in (("p:", v[:5]), ("s:", v[-5:]))}
+
+
+def all_scores(rows):
+    """Every accepted pair that shares a block, by comparing all pairs."""
+    names = [c.split()[0] for c in ACC.split(", ")]
+    dicts = sorted((dict(zip(names, r)) for r in rows), key=lambda d: d["account_id"])
+    sets, want = [blocks(d) for d in dicts], {}
+    for i, a in enumerate(dicts):
+        for j in range(i + 1, len(dicts)):
+            if sets[i] & sets[j]:
+                scored = brute_score(a, dicts[j])
+                if scored:
+                    want[f"{a['account_id']}|{dicts[j]['account_id']}"] = scored
+    return want
+
+
+def crowd(n, seed):
+    """Accounts whose handles all begin alike, some of them with relatives at every distance."""
+    rnd = random.Random(seed)
+    rows, cores = [], []
+    for i in range(n):
+        if cores and rnd.random() < 0.45:
+            core = list(rnd.choice(cores))
+            for _ in range(rnd.randint(0, 4)):
+                at = rnd.randrange(5, len(core) + 1)
+                core[at:at + rnd.randint(0, 1)] = rnd.choice(["", rnd.choice("abcdefghij")])
+            core = "".join(core)
+        else:
+            core = "crowd" + "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(0, 11)))
+        cores.append(core)
+        platform = rnd.choice(["instagram", "instagram", "threads", "youtube", "tiktok"])
+        name = rnd.choice([core, core[5:] or "x", core[5:] + " " + core[:5], core[:9] + " tv", "Common Name", "q"]).title()
+        rows.append(acc(f"{platform}:{i:04d}", platform, name, None if platform == "youtube" else core, rnd.sample(["Food", "Tech", "Music"], rnd.randint(0, 2)),
+                        rnd.choice([None, "Pune", "Goa", ""]), rnd.choice([None, 20, 23, 30])))
+    return rows
+
+
+def test_crowded_blocks_lose_no_pair(spark):
+    """2,000 accounts that share one prefix: the pairs of an index of rare grams and weak evidence are those of all pairs."""
+    rows = crowd(2000, 11)
+    got = {r.pair_id: (round(r.score, 9), r.kind) for r in resolve.find_candidates(spark.createDataFrame(rows, ACC)).collect()}
+    want = all_scores(rows)
+    assert got == want and len(want) > 3000
+
+
+@pytest.mark.parametrize("plain", [1, 10, 10_000])
+def test_block_size_changes_no_result(spark, plain):
+    rows = crowd(150, 12) + [acc(f"threads:e{i}", "threads", "", f"crowd{'abc' * (i % 3)}", ["Food"], None, None) for i in range(8)]
+    facts = resolve.with_name_words(spark.createDataFrame(rows, ACC)).select(*resolve.FACTS)
+    pairs = pairing.candidate_pairs(facts, "account_id", [f for f in resolve.FACTS if f != "account_id"], plain=plain)
+    found = Counter(r.pair_id for r in resolve.score_pairs(pairs).collect())
+    assert found == Counter(all_scores(rows).keys())
+
+
+def test_blocks_without_pairs(spark):
+    rows = [acc("instagram:a", "instagram", "", None), acc("threads:b", "threads", "Xy", "xy"), acc("tiktok:c", "tiktok", "Lonely Name", "lonelyname")]
+    assert resolve.find_candidates(spark.createDataFrame(rows, ACC)).count() == 0
+    assert resolve.find_candidates(spark.createDataFrame([], ACC)).count() == 0
+
+
+def test_prefix_length_meets_every_alike_text(column):
+    """The number of shared grams that a similarity implies, against the definition, for all lengths up to 60."""
+    import math
+    lengths = column(["x" * n for n in range(1, 61)], lambda v: pairing.prefix_length(F.length(v)))
+    for n in range(1, 61):
+        worst = min([3 * math.ceil(pairing.ALIKE * (n + m) / 2 - 1e-9) - n - m - 1 for m in range(1, 120)
+                     if 2 * min(n, m) / (n + m) >= pairing.ALIKE - 1e-12 and n > 1] or [1])
+        assert lengths[n - 1] >= max(n - worst, 1)  # a prefix of that many of n - 1 grams leaves worst - 1 out
 
 
 def test_mirrored_handles_are_found_in_crowded_blocks(spark):
