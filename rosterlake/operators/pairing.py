@@ -11,7 +11,7 @@ compared whole. In a larger block two members meet only on evidence without whic
   and city; an account without a city meets every city.
 
 Keys only decide where a pair is looked at: it is checked by length first, kept at its least common key, and the order in which
-grams count as rare changes no result. ``PLAIN`` and ``COMMON_GRAMS`` change the plan alone.
+grams count as rare changes no result. ``PLAIN`` and ``COMMON_LETTERS`` change the plan alone.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ TEXT_WEIGHT = 0.85
 ALIKE = REVIEW_SCORE / TEXT_WEIGHT
 #: blocks up to this size cost less as pairs than as keys
 PLAIN = 64
-#: grams whose frequency is broadcast; the others count as rarer than all of these
-COMMON_GRAMS = 4096
+#: letters whose frequency orders the grams
+COMMON_LETTERS = 64
 
 
 def block_keys(*texts: Column) -> Column:
@@ -50,8 +50,9 @@ def block_sizes(df: DataFrame, blocks: str = "blocks") -> DataFrame:
 def grams(text: Column) -> Column:
     """Two-letter grams of a text, a repeated one numbered by its occurrence; a text of one letter or none is its own gram."""
     raw = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    numbered = F.transform(raw, lambda g, i: F.concat(g, F.size(F.filter(F.slice(raw, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
-    return numbered
+    def numbered(all_of):
+        return F.transform(all_of, lambda g, i: F.concat(g, F.size(F.filter(F.slice(all_of, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    return F.get(F.transform(F.array(raw), numbered), F.lit(0))  # cut up once, not for every gram
 
 
 def prefix_length(n: Column, alike: float = ALIKE) -> Column:
@@ -66,18 +67,37 @@ def prefix_length(n: Column, alike: float = ALIKE) -> Column:
     return F.greatest(n - shared, F.lit(1)).cast("int")
 
 
-def _rare_grams(members: DataFrame, key: str) -> DataFrame:
-    """(key, heads): hashes of the rarest grams of every text, handles and name keys in one namespace, name words in another."""
+def rare_letters_first(texts: DataFrame, column: str) -> str:
+    """The ``COMMON_LETTERS`` most frequent letters of a column, rarest of them first; one short list reaches the driver."""
+    letters = texts.select(F.explode(F.split(column, "")).alias("letter")).where(F.length("letter") == 1)
+    found = letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "letter").limit(COMMON_LETTERS).collect()
+    return "".join(r["letter"] for r in reversed(found))
+
+
+def _ranked_texts(letters: str) -> Column:
+    """Every text of a row with its namespace (handles and name keys share one, name words have another), the number of grams it has to
+    show, and its grams from rare to frequent by their letters."""
+    ranks = "".join(chr(0x4E00 + i) for i in range(len(letters)))  # in order of rarity; any other letter keeps a place of its own
+
     def text(space, column):
         return F.struct(F.lit(space).alias("space"), F.coalesce(column, F.lit("")).alias("text"))
-    texts = members.select(key, F.inline(F.array_distinct(F.array(text("h", "handle_core"), text("h", "name_key"), text("n", "name_words")))))
-    texts = texts.where((F.col("space") == "n") | (F.col("text") != ""))  # two empty names are equal, two empty handles are not
-    pieces = texts.select(key, "space", "text", F.explode(grams(F.col("text"))).alias("gram"))
-    common = pieces.groupBy("space", "gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "space", "gram").limit(COMMON_GRAMS)
-    ranked = pieces.join(F.broadcast(common), ["space", "gram"], "left").repartition(key)
-    first = ranked.groupBy(key, "space", "text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
-    heads = F.transform(F.slice("grams", F.lit(1), prefix_length(F.length("text"))), lambda g: F.xxhash64(F.col("space"), g["gram"]))
-    return first.select(key, heads.alias("heads")).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+    texts = F.filter(F.array_distinct(F.array(text("h", "handle_core"), text("h", "name_key"), text("n", "name_words"))),
+                     lambda t: (t["space"] == "n") | (t["text"] != ""))  # two empty names are equal, two empty handles are not
+
+    def ranked(t):
+        order = F.array_sort(F.transform(grams(t["text"]), lambda g: F.struct(F.translate(g, letters, ranks).alias("rank"), g.alias("gram"))))
+        return F.struct(t["space"].alias("space"), prefix_length(F.length(t["text"])).alias("take"), F.transform(order, lambda g: g["gram"]).alias("grams"))
+    return F.transform(texts, ranked)
+
+
+def _alike_keys(block: Column, texts: Column) -> Column:
+    """Keys of a row in one block: the rarest grams of each text, those of the ending that makes the block counting as the most frequent."""
+    own = grams(F.substring(block, F.lit(3), F.lit(5)))
+
+    def shown(text, ending):
+        order = F.concat(F.array_except(text["grams"], ending), F.array_intersect(text["grams"], ending))
+        return F.transform(F.slice(order, F.lit(1), text["take"]), lambda g: F.xxhash64(block, text["space"], g))
+    return F.flatten(F.flatten(F.transform(F.array(own), lambda ending: F.transform(texts, lambda t: shown(t, ending)))))
 
 
 def with_pair_keys(df: DataFrame, key: str, plain: int = PLAIN) -> DataFrame:
@@ -93,12 +113,12 @@ def with_pair_keys(df: DataFrame, key: str, plain: int = PLAIN) -> DataFrame:
         F.collect_list(F.when(F.col("members") <= plain, F.col("block"))).alias("open"),
         F.collect_list(F.when(F.col("members") > plain, F.col("block"))).alias("crowd")))
     joined = df.join(placed, key)
-    crowded = joined.where(F.size("crowd") > 0)
-    full = joined.join(_rare_grams(crowded, key), key, "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<bigint>")))
+    letters = rare_letters_first(df, "name_key")
+    full = joined.withColumn("texts", F.when(F.size("crowd") > 0, _ranked_texts(letters)))
     known = F.coalesce(F.col("city") != "", F.lit(False))
     nothing = F.array().cast("array<bigint>")
     categories = F.coalesce("categories", F.array().cast("array<string>"))
-    alike = F.flatten(F.transform("crowd", lambda b: F.transform("heads", lambda h: F.xxhash64(b, h))))
+    alike = F.coalesce(F.flatten(F.transform("crowd", lambda b: _alike_keys(b, F.col("texts")))), nothing)
     local = F.flatten(F.transform("crowd", lambda b: F.transform(categories, lambda c: F.xxhash64(b, F.lit("category"), c, "city"))))
     wide = F.flatten(F.transform("crowd", lambda b: F.transform(categories, lambda c: F.xxhash64(b, F.lit("category"), c))))
     keys = F.concat(F.transform("open", lambda b: F.xxhash64(b)), alike, F.when(known, local).otherwise(nothing))

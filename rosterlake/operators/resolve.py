@@ -134,8 +134,8 @@ def _rounded(x: Column) -> Column:
 
 def similar_pairs(accounts: DataFrame) -> DataFrame:
     """Candidate pairs of one account table with their facts, one row each."""
-    facts = with_name_words(accounts)
-    return candidate_pairs(facts.select(*FACTS), "account_id", [f for f in FACTS if f != "account_id"], lambda: _possible(_evidence(), _reach))
+    facts = cut_lineage(with_name_words(accounts).select(*FACTS))  # names are read once
+    return candidate_pairs(facts, "account_id", [f for f in FACTS if f != "account_id"], lambda: _possible(_evidence(), _reach))
 
 
 def find_candidates(accounts: DataFrame) -> DataFrame:
