@@ -81,6 +81,52 @@ def register_batches(spark, folder):
     return batches.select("batch_id", "file_name", "row_count", F.size("columns").alias("n_columns"))
 
 
+@query("a1_large_files", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(coalesce(text, '')) AS text_md5, true AS same FROM documents")
+def large_files(spark, folder):
+    """Whole documents written as sheets with quoted line breaks and quotes, read by byte ranges and by whole files."""
+    place = f"{scratch_folder(spark)}/sheets-{uuid4().hex}"
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.csv(place, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    _, ranged = files.large_csv(spark, place, 1)
+    whole = files.parse_rows(files.read_drop(spark, place)).where(F.col("row_number") > 0)
+    mine = ranged.select(F.col("raw")["doc_id"].alias("doc_id"), F.md5(F.col("raw")["text"]).alias("text_md5"))
+    other = whole.select(F.col("raw")["doc_id"].alias("doc_id"), F.md5(F.col("raw")["text"]).alias("other_md5"))
+    return mine.join(other, "doc_id", "left").select("doc_id", "text_md5", F.coalesce(F.col("text_md5") == F.col("other_md5"), F.lit(False)).alias("same"))
+
+
+@query("a5_ingested_batches", """
+  WITH f AS (SELECT text, min(source || '_' || lang || '_' || doc_id || '.csv') AS file_name FROM documents GROUP BY 1)
+  SELECT row_number() OVER (ORDER BY file_name, sha256(text)) AS batch_id, file_name, CAST(len(list_filter(string_split(text, chr(10))[2:], lambda x: x <> '')) AS BIGINT) AS row_count,
+         CAST(len(list_filter(string_split(text, chr(10))[2:], lambda x: x <> '')) AS BIGINT) AS staged FROM f""")
+def ingested_batches(spark, folder):
+    """Whole documents imported as files: registered once per content, numbered by name, their rows staged."""
+    batches, rows = files.ingest(files.fingerprinted(_document_files(spark, folder)), F.lit("2024-01-01").cast("timestamp"))
+    staged = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("staged"))
+    return batches.join(staged, "batch_id", "left").select("batch_id", "file_name", "row_count", F.coalesce("staged", F.lit(0)).alias("staged"))
+
+
+@query("a7_kept_originals", """
+  SELECT sha256(text) AS file_sha256, min(source || '_' || lang || '_' || doc_id || '.csv') AS file_name, sha256(text) AS content_sha256 FROM documents GROUP BY text""")
+def kept_originals(spark, folder):
+    """Untouched copies of whole documents, one per content, read back."""
+    place = f"{scratch_folder(spark)}/originals-{uuid4().hex}"
+    files.keep_originals(files.fingerprinted(_document_files(spark, folder)), place)
+    return spark.read.parquet(place).select("file_sha256", "file_name", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("s1_staged_drops", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def staged_drops(spark, folder):
+    """Customers dropped as sheets and picked up by the file stream in two runs; the second finds the same contents again and some new ones."""
+    place = f"{scratch_folder(spark)}/drops-{uuid4().hex}"
+    own = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    for run, rows in enumerate((own.where(F.col("c_custkey") % 2 == 0), own)):
+        halves = rows.withColumn("half", F.col("c_custkey") % 2).repartition("half").sortWithinPartitions("half", "c_custkey")
+        halves.write.partitionBy("half").csv(f"{place}/in/run={run}", header=True)
+        feeds.stage_drops(feeds.watch_drops(spark, f"{place}/in"), f"{place}/lake", f"{place}/progress").awaitTermination()
+    staged = spark.read.parquet(f"{place}/lake/staging_rows")
+    return staged.select(*[F.col("raw")[c].alias(c) for c in own.columns])
+
+
 @query("a6_dense_row_numbers", "SELECT page_id, row_number() OVER (ORDER BY url, page_id) AS row_number FROM pages")
 def dense_row_numbers(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url")

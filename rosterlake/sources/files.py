@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from rosterlake.functions.refs import platform_from_file_name
 from rosterlake.session import cut_lineage
+from rosterlake.sources import bigcsv
 
 ROWS = T.StructType([
     T.StructField("file_sha256", T.StringType()), T.StructField("columns", T.ArrayType(T.StringType())),
@@ -109,16 +110,8 @@ def row_id(batch_id: Column, row_number: Column) -> Column:
 
 
 def large_csv(spark: SparkSession, path: str, batch_id: int) -> tuple[list[str], DataFrame]:
-    """Staging rows of big files with one shared header: Spark splits and parses them itself (A1)."""
-    table = spark.read.csv(path, header=True, quote='"', escape='"')
-    raw = F.map_from_arrays(F.array(*[F.lit(c) for c in table.columns]), F.array(*[F.col(f"`{c}`") for c in table.columns]))
-    # splits are read in any order; file, split and position inside the split restore the order of the file
-    placed = table.select(raw.alias("raw"), F.col("_metadata.file_path").alias("_file"),
-                          F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
-    numbered = dense_index(placed, [F.col("_file"), F.col("_split"), F.col("_at")], "row_number")
-    batch = F.lit(batch_id).cast("bigint")
-    return table.columns, numbered.select(row_id(batch, F.col("row_number")).alias("row_id"), batch.alias("batch_id"),
-                                          "row_number", "raw")
+    """``(columns, staging rows)`` of big files, cut into byte ranges and parsed in parallel; the rows are those of ``parse_rows`` (A1)."""
+    return bigcsv.large_csv(spark, path, batch_id, row_id)
 
 
 def without_batch(batch_id: int, *tables: DataFrame) -> tuple[DataFrame, ...]:

@@ -1,10 +1,12 @@
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.operators import clean, merge, report
 from rosterlake.plans import library
-from rosterlake.sources import export, files
+from rosterlake.sources import bigcsv, export, files
 from rosterlake.streaming import feeds
 
 SHEET = """Creator Name,Profile Link,Platform,Followers,Category,City,Engagement %
@@ -85,6 +87,42 @@ def test_large_sheets_are_numbered_in_file_order(spark, tmp_path):
     assert [r.row_number for r in got] == list(range(1, 501)) and len({r.row_id for r in got}) == 500
 
 
+NASTY = ["plain,1,2", 'a,"two\nlines",3', "", '"quote "" in it","x,y",', 'five" pipe,mid"dle,"end"', ",,", "short", "one,two,three,four", '"\n\n\n",after,blank', "\r",
+         'crlf,"with\r\nbreak",z\r', '"closed"and more,b,c', "é,ü,ß", '"","",""', '"a ""\nb"" c",2,3']
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1252"])
+@pytest.mark.parametrize("size", [64, 1000, 10**9])
+def test_big_and_small_files_read_alike(spark, tmp_path, encoding, size):
+    """Quoted line breaks, stray quotes, empty cells, blank lines and two encodings, cut at every place that ranges may be cut."""
+    rnd = random.Random(size)
+    text = 'Name,"Long\nheader",Last\n' + "\n".join(rnd.choice(NASTY) for _ in range(300)) + rnd.choice(["", "\n"])
+    path = tmp_path / "big.csv"
+    path.write_bytes(text.encode(encoding))
+    small = files.parse_rows(spark.createDataFrame([(bytearray(text.encode(encoding)),)], "content binary")).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        columns, rows = files.large_csv(spark, str(path), 4)
+        got = sorted((r["row_number"], r["raw"]) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert columns == next(r["columns"] for r in small if r["row_number"] == 0)
+    assert got == sorted((r["row_number"], r["raw"]) for r in small if r["row_number"] > 0)
+
+
+def test_state_at_a_line_end():
+    import csv
+    rnd = random.Random(3)
+    for _ in range(3000):
+        line = "".join(rnd.choices('ab",', k=rnd.randint(0, 9)))
+        rows = list(csv.reader([line + "\n", "next\n"]))
+        assert (bigcsv.line_end(line, bigcsv.OUTSIDE) == bigcsv.INSIDE) == (len(rows) == 1 and bool(line))
+        rows = list(csv.reader(['"\n', line + "\n", "next\n"]))
+        assert (bigcsv.line_end(line, bigcsv.INSIDE) == bigcsv.INSIDE) == (len(rows) == 1)
+
+
 def test_stream_stages_each_content_once(spark, tmp_path):
     folder = drop(tmp_path)
     lake = str(tmp_path / "lake")
