@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from rosterlake.operators import billing, campaign, latest
-from rosterlake.plans.bindings import every, invoices, post_metrics, shortlist, table
+from rosterlake.operators import billing, campaign, clean, latest
+from rosterlake.plans.bindings import every, invoices, post_metrics, sheet, shortlist, table
 from rosterlake.plans.catalog import query
+from rosterlake.plans.cleaning_queries import SHEET_ROWS
 from rosterlake.plans.sql import INVOICES, SHORTLIST, over
+from rosterlake.session import cut_lineage
 from rosterlake.vocab import words
 
 
@@ -181,3 +183,32 @@ def mapping_accuracy(spark, folder):
     return campaign.mapping_accuracy(
         rows.select(k.alias("row_number"), expected.alias("expected_account_id")),
         rows.select(k.alias("row_number"), F.when(every(k, 10), F.lit("other")).otherwise(expected).alias("account_id")))
+
+
+#: rows of the sheets of which every fifth is expected to be another account, next to what a cleaning run makes of them
+TRUTH = SHEET_ROWS + """,
+got AS (SELECT row_id, CASE WHEN reject IS NULL THEN platform || ':' || key END AS account_id, c_custkey FROM keyed),
+judged AS (SELECT row_id, CASE WHEN c_custkey % 5 = 0 THEN 'instagram:cust' || c_custkey ELSE account_id END AS expected_account_id, account_id FROM got)"""
+
+
+def _judged(spark, folder):
+    batches, staging = sheet(spark, folder)
+    rows = cut_lineage(clean.clean_rows(staging, batches))
+    got = rows.select(F.col("row_id").alias("row_number"), F.when(F.col("reject").isNull(), F.col("account_id")).alias("account_id"))
+    k = F.floor(F.pmod("row_number", F.lit(1 << 40)) / 2)
+    truth = got.select("row_number", F.when(every(k, 5), F.concat(F.lit("instagram:cust"), k.cast("string"))).otherwise(F.col("account_id")).alias("expected_account_id"))
+    return truth, got
+
+
+@query("i11_run_accuracy", over(TRUTH, """
+  SELECT count(*) FILTER (WHERE expected_account_id IS NOT DISTINCT FROM account_id) AS correct, count(*) AS rows FROM judged"""))
+def run_accuracy(spark, folder):
+    """Accounts and rejections of a cleaning run of all sheets against expected ones."""
+    return campaign.mapping_accuracy(*_judged(spark, folder))
+
+
+@query("i11_mapping_misses", over(TRUTH, """
+  SELECT row_id AS row_number, expected_account_id, account_id FROM judged WHERE expected_account_id IS DISTINCT FROM account_id"""))
+def mapping_misses(spark, folder):
+    """The rows of that run that are not as expected."""
+    return campaign.mapping_misses(*_judged(spark, folder))

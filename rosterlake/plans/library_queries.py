@@ -347,9 +347,9 @@ def to_resolve(spark, folder):
 
 @query("f12_to_refresh", over(CHANNEL_ACCOUNTS, """
   SELECT account_id, channel_id FROM a WHERE channel_id IS NOT NULL AND (stats_source <> 'youtube_api' OR stats_as_of < CAST('2001-08-01' AS TIMESTAMP) - INTERVAL 30 DAY)
-  ORDER BY stats_source = 'youtube_api', stats_as_of NULLS FIRST, followers DESC, account_id LIMIT 200"""))
+  ORDER BY stats_source = 'youtube_api', stats_as_of NULLS FIRST, followers DESC, account_id"""))
 def to_refresh(spark, folder):
-    return enrich.to_refresh(_channel_accounts(spark, folder), F.lit("2001-08-01").cast("timestamp_ntz"), 30, 200)
+    return enrich.to_refresh(_channel_accounts(spark, folder), F.lit("2001-08-01").cast("timestamp_ntz"), 30)
 
 
 @query("f13_estimated_units", over(CHANNEL_ACCOUNTS, """

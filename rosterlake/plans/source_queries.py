@@ -140,13 +140,17 @@ def remove_batch(spark, folder):
 
 
 @query("a9a_staging_layer", over(ISSUES, """
-  SELECT o_orderkey AS row_id, 'sheet_' || lower(n_name) || '.csv' AS file_name, (SELECT issue FROM issues WHERE row_id = o_orderkey AND severity = 'rejected') AS issues
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey"""))
+  SELECT row_id, 'sheet_' || lower(n_name) || '.csv' AS file_name, '{"id":"' || account_id || '"}' AS raw,
+         CASE WHEN row_id % 3 = 0 THEN array_to_string(list_sort([issue, 'duplicate_row']), '; ') WHEN row_id % 3 = 1 THEN issue END AS issues
+  FROM issues JOIN nation ON n_nationkey + 1 = batch_id"""))
 def staging_layer(spark, folder):
+    """Every source row with none, one or two issues of any severity."""
     issues = _issues(spark, folder)
     batches, _ = sheet(spark, folder)
     staging = issues.select("row_id", "batch_id", F.lit(1).alias("row_number"), F.create_map(F.lit("id"), F.col("account_id")).alias("raw"))
-    return export.staging_layer(staging, batches, issues.where(F.col("severity") == "rejected")).select("row_id", "file_name", "issues")
+    said = F.when(every(F.col("row_id"), 3), F.array(F.col("issue"), F.lit("duplicate_row"))).when(every(F.col("row_id"), 3, 1), F.array("issue"))
+    found = issues.select("row_id", F.explode(said).alias("issue"))
+    return export.staging_layer(staging, batches, found).select("row_id", "file_name", "raw", "issues")
 
 
 @query("a9b_account_layer", over(ACCOUNTS, "SELECT account_id, followers, CASE WHEN row_id % 2 = 0 THEN 'cr_' || row_id END AS creator_id FROM accounts"))
@@ -199,6 +203,30 @@ def written_layers(spark, folder):
     return back.select(F.col(back.columns[0]).alias("creator_id"), "name", "followers", "categories")
 
 
+def _layers(spark, folder):
+    """The layers of an export, each over the whole tables."""
+    return {"staging": staging_layer(spark, folder), "accounts": account_layer(spark, folder), "creators": creator_layer(spark, folder),
+            "rejected": rejected_layer(spark, folder), "review": review_layer(spark, folder), "snapshots": snapshot_layer(spark, folder), "channels": channels(spark, folder)}
+
+
+@query("a9_all_layers", over(ACCOUNTS, """
+  SELECT 'staging' AS layer, count(*) AS rows, count(*) AS read_back FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'accounts', count(*), count(*) FROM accounts UNION ALL SELECT 'creators', count(DISTINCT row_id), count(DISTINCT row_id) FROM accounts
+  UNION ALL SELECT 'rejected', count(*), count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'
+  UNION ALL SELECT 'review', count(*), count(*) FROM accounts i JOIN accounts t ON i.handle = t.handle AND i.platform = 'instagram' AND t.platform = 'threads'
+  UNION ALL SELECT 'snapshots', count(*), count(*) FROM events UNION ALL SELECT 'channels', count(*), count(*) FROM customer"""))
+def all_layers(spark, folder):
+    """All layers written in one export, with the rows counted while writing and those read back."""
+    place = f"{scratch_folder(spark)}/export-{uuid4().hex}"
+    written = export.write_layers(_layers(spark, folder), place)
+    back = None
+    for name in written:
+        rows = spark.read.csv(f"{place}/{name}", header=True, quote='"', escape='"', multiLine=True).agg(F.count(F.lit(1)).alias("read_back")).select(
+            F.lit(name).alias("layer"), F.lit(written[name]).cast("bigint").alias("rows"), "read_back")
+        back = rows if back is None else back.unionByName(rows)
+    return back
+
+
 @query("a15_preview", """
   SELECT c_custkey * 2 + again AS row_number, CAST(12 AS INTEGER) AS mapped, c_custkey % 3 AS kind
   FROM customer JOIN (VALUES (0), (1)) t(again) ON again = 0 OR c_custkey % 8 = 0 ORDER BY (c_nationkey + again) % 25, row_number LIMIT 8""")
