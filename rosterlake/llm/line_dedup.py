@@ -19,11 +19,15 @@ hash; rows repeated in full get the same result each and count as one document.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import xor
+
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm.catalog import query
-from rosterlake.llm.common import free, stored, table
+from rosterlake.llm.common import free, stored, table, text_function
 
 LEADING = 3
 LEAST_DOCUMENTS = 5
@@ -34,33 +38,48 @@ LEAST_FIXED = 0.8
 #: lines of fewer tokens must follow a recurring template in every field
 LEAST_TOKENS = 8
 FIELD = "<*>"
+#: a token with one of these is a field
+FIELD_BYTES = b"0123456789@"
+SEED = 42
 #: line hashes of 8 bytes that one broadcast may hold
 MOST_BROADCAST = 2_000_000
 
 
-def masked_lines(text: Column) -> Column:
-    """array<string>: the lines of a text with single blanks and with fields for tokens that hold digits or addresses."""
-    blanks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\x0B\f\r]+", " ")
-    fields = F.regexp_replace(blanks, r"[^ \n]*[0-9@][^ \n]*", FIELD)
-    return F.transform(F.split(fields, "\n"), lambda line: F.trim(line))
+def masked_line(line: Column) -> Column:
+    """A line with single blanks and with fields for tokens that hold digits or addresses."""
+    blanks = F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")
+    return F.trim(F.regexp_replace(blanks, r"[^ ]*[0-9@][^ ]*", FIELD))
 
 
-def _leading(line: Column) -> Column:
-    return F.substring_index(line, " ", LEADING)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _leaf(line: Column) -> Column:
-    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.xxhash64(tokens, _leading(line))
+def line_hashes(text: bytes) -> tuple:
+    """The lines of a text that are not empty, masked: exclusive or of their distinct hashes, their letters, and of each its place, leaf,
+    hash and letters."""
+    places, leaves, lines, sizes = [], [], [], []
+    for at, line in enumerate(text.split(b"\n")):
+        tokens = line.split()
+        if not tokens:
+            continue
+        if len(line.translate(None, FIELD_BYTES)) < len(line):
+            tokens = [FIELD.encode() if len(t.translate(None, FIELD_BYTES)) < len(t) else t for t in tokens]
+        whole = b" ".join(tokens)
+        places.append(at)
+        leaves.append(_signed(xxhash.xxh64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:LEADING])), SEED)))
+        lines.append(_signed(xxhash.xxh64_intdigest(whole, SEED)))
+        sizes.append(len(whole.decode("utf-8", "replace")))
+    return reduce(xor, set(lines), 0), sum(sizes), places, leaves, lines, sizes
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """(id, h, whole, size, at, line): every line that is not empty, with the hash and size of the document's lines."""
-    lines = docs.select("_id", "_h", masked_lines(F.col("_text")).alias("_l"))
-    hashes = F.array_distinct(F.transform(F.filter("_l", lambda x: x != ""), lambda x: F.xxhash64(x)))
-    summed = lines.withColumn("_whole", F.aggregate(hashes, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
-    each = summed.select("_id", "_h", "_whole", F.length(F.array_join("_l", "")).alias("_size"), F.posexplode("_l").alias("_at", "_line"))
-    return each.where("_line <> ''")
+    """(id, h, whole, size, at, leaf, line, size): every line that is not empty, with the hash and size of the document's lines."""
+    reader = text_function(line_hashes, "_whole long, _size long, _at array<int>, leaf array<long>, line array<long>, size array<int>")
+    read = docs.select("_id", "_h", reader(F.col("_text")).alias("_l"))
+    zipped = F.arrays_zip("_l._at", "_l.leaf", "_l.line", "_l.size")
+    return read.select("_id", "_h", "_l._whole", "_l._size", F.explode(zipped).alias("_e")).select(
+        "_id", "_h", "_whole", "_size", F.col("_e._at").alias("_at"), F.col("_e.leaf").alias("leaf"), F.col("_e.line").alias("line"), F.col("_e.size").alias("size"))
 
 
 def _small(df: DataFrame, width: int = 1) -> DataFrame:
@@ -88,13 +107,15 @@ def recurring_lines(docs: DataFrame, placed: DataFrame) -> DataFrame:
     busy = seen.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
     lines = stored(seen.join(busy.select("leaf"), "leaf", "left_semi"))
     # one place where each line stands, so that only the documents of those places are read again
-    spots = stored(placed.join(lines.select("line"), "line", "left_semi").groupBy("line").agg(F.min(F.struct("_id", "_h", "_at")).alias("p"))
-                   .select("line", "p.*"))
-    wanted = spots.select(F.col("_id").alias("_i"), F.col("_h").alias("_g")).distinct()
-    if spots.count() <= MOST_BROADCAST:
+    spots = placed.join(lines.select("line"), "line", "left_semi").groupBy("line").agg(F.min(F.struct("_id", "_h", "_at")).alias("p"))
+    wanted = stored(spots.groupBy(F.col("p._id").alias("_i"), F.col("p._h").alias("_g")).agg(
+        F.collect_list(F.struct("line", F.col("p._at").alias("at"))).alias("_w")))
+    if (wanted.agg(F.sum(F.size("_w"))).first()[0] or 0) <= MOST_BROADCAST // 2:
         wanted = F.broadcast(wanted)
-    read = _placed(docs.join(wanted, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")), "left_semi"))
-    texts = read.join(spots, ["_id", "_h", "_at"]).groupBy("line").agg(F.min("_line").alias("text"))
+    read = docs.join(wanted, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")))
+    found = F.transform(F.array(F.split("_text", "\n")), lambda own: F.transform("_w", lambda w: F.struct(
+        w["line"].alias("line"), masked_line(F.get(own, w["at"])).alias("text"))))
+    texts = read.select(F.inline(F.flatten(found))).groupBy("line").agg(F.min("text").alias("text"))
     known = stored(lines.join(texts, "line"))
     tokens = known.select("leaf", "line", "docs", F.posexplode(F.split("text", " ")).alias("at", "token"))
     fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select(
@@ -137,8 +158,7 @@ def drop_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count:
     i, h, g = free(df, "_id"), free(df, "_hash"), free(df, "_gone")
     identity = F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.xxhash64(F.col(text))
     docs = df.select(identity[0].alias("_id"), identity[1].alias("_h"), F.col(text).alias("_text"))
-    placed = stored(_placed(docs).select("_id", "_h", "_whole", "_size", "_at", _leaf(F.col("_line")).alias("leaf"), F.xxhash64("_line").alias("line"),
-                                        F.length("_line").alias("size")))
+    placed = stored(_placed(docs))
     gone = placed.join(recurring_lines(docs, placed), "line", "left_semi").groupBy("_id", "_h").agg(F.collect_set("_at").alias(g))
     joined = df.select("*", identity[0].alias(i), identity[1].alias(h)).join(gone.select(
         F.col("_id").alias(i), F.col("_h").alias(h), g), [i, h], "left")
