@@ -6,12 +6,14 @@ between the languages of one are fitted on the driver, on at most ``PER_LANGUAGE
 hash of their id among the documents that may be learnt from; languages are few by nature, so the sample is bounded.
 
 A null text and one without a letter is ``und`` with score 0; so is every text when there is nothing to learn from. With
-one known language every text with letters gets it. Rows map one to one; repeated rows and null ids stay.
+one known language every text with letters gets it. A letter is a character of the Unicode categories L, in learning and in
+prediction, so fractions, circled digits and Roman numeral signs are none. Very long texts are read whole, a piece of ``_PIECE``
+characters at a time. Rows map one to one; repeated rows and null ids stay, other columns are kept, one named ``out`` is replaced.
+An id that stands in several rows teaches once: by its least language, then the text of least hash.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +36,6 @@ FAMILIES = {
     "zh": "sinitic", "ar": "semitic", "he": "semitic"}
 
 _ASCII_OTHER = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
 
 
@@ -87,7 +88,7 @@ class Model:
 
     def decide(self, text: bytes) -> tuple[str, float]:
         shown = text.decode("utf-8", "replace")
-        if self.families is None or not _LETTER.search(shown):
+        if self.families is None or not any(map(str.isalpha, shown)):
             return UNKNOWN, 0.0
         v = features(shown)
         family, sure = self.families.decide(v)
@@ -97,13 +98,14 @@ class Model:
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from rows with a language and a letter whose id is not held out."""
-    usable = (df.where(learnable(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-              .select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")))
+    known = df.where(learnable(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
+    one = known.groupBy("_id").agg(F.min(F.struct("_lang", "_hash")).alias("_row")).select("_id", "_row.*")
     order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id")
-    chosen = usable.dropDuplicates(["_id"]).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language).select("_id")
+    chosen = one.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language).drop("_r")
     packed = text_function(lambda t: (features(t.decode("utf-8", "replace")).astype("<f2").tobytes(),), "v binary")
-    rows = (df.join(F.broadcast(chosen), df[doc_id] == chosen["_id"], "left_semi").where(F.col(lang).isNotNull())
-            .select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), packed(F.col(text))["v"].alias("v")).orderBy("_id", "v").collect())
+    rows = (known.join(F.broadcast(chosen), ["_id", "_lang", "_hash"], "left_semi").dropDuplicates(["_id"])
+            .select("_id", "_lang", packed(F.col("_text"))["v"].alias("v")).orderBy("_id").collect())
     x = np.array([np.frombuffer(r["v"], "<f2") for r in rows], np.float32).reshape(len(rows), BUCKETS)
     return Model(x, np.array([r["_lang"] for r in rows], dtype=object).astype(str) if rows else np.array([], str))
 
