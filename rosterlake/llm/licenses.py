@@ -2,16 +2,19 @@
 
 The automaton holds every run of words of the licence templates. A text's words are streamed through it; at each word it knows the
 longest run ending there that some template has. Runs that cannot grow further and have ``LEAST_MATCH`` words or more are
-matches; for each template those in template order with gaps of ``MOST_GAP`` words at most are chained, and a chain that
-covers ``LEAST_COVER`` of the template is a span with its label. Only stretches where ``LEAST_MATCH`` consecutive words are licence words
+matches. For each template the best chain of matches in template order, with gaps of ``MOST_GAP`` words at most on both sides, is
+worked out for every match as its last one; of the chains that cover ``LEAST_COVER`` of the template those that cover most are spans
+with its label, none of them overlapping another of that template. Only stretches where ``LEAST_MATCH`` consecutive words are licence words
 can hold a match, so the rest of a text is skipped at the speed of a table lookup.
 
 Base phrases are short names of licences, found wherever their words stand together; their labels always count. Null and empty
-texts have no words, score 0 and empty labels. Rows map one to one; repeated rows and null ids stay.
+texts have no words, score 0 and empty labels. Very long texts are scanned whole, in time that grows with their words and matches. Rows map
+one to one; repeated rows and null ids stay, other columns are kept, one named ``out`` is replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +25,7 @@ from rosterlake.llm.catalog import query
 from rosterlake.llm.common import table, text_function, word_bytes
 
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: opening and notice texts of licences, as their authors ask for them to be quoted
+#: fixed values: opening and notice texts of licences as their authors ask for them to be quoted, then paragraphs of licence bodies
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
             "files (the \"Software\"), to deal in the Software without restriction"),
@@ -43,6 +46,34 @@ TEMPLATES = (
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("mit", "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+            "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("mit", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+            "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+            "the documentation and/or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+            "this software without specific prior written permission"),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+            "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+            "WARRANTIES OF MERCHANTABILITY AND FITNESS"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+             "damages arising from the use of this software"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
+               "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+               "governing permissions and limitations under the License"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+            "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+                  "compiled binary, for any purpose, commercial or non-commercial, and by any means"),
 )
 LEAST_MATCH, MOST_GAP, LEAST_COVER = 4, 4, 0.8
 RESULT = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
@@ -120,9 +151,11 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         found = []
         for phrase, label in self.base:
-            at = line.find(phrase)
+            at, counted, number = line.find(phrase), 0, 0
             while at >= 0:
-                found.append((line.count(b" ", 0, at), label))
+                number += line.count(b" ", counted, at)
+                counted = at
+                found.append((number, label))
                 at = line.find(phrase, at + 1)
         return found
 
@@ -145,21 +178,34 @@ class Scanner:
     def spans(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, first word, end, share of the template) of every chain that covers enough of its template."""
         by_template: dict[int, list] = {}
-        for t, start, place, size in sorted(set(self.matches(words)), key=lambda m: (m[0], m[1], m[2])):
+        for t, start, place, size in sorted(set(self.matches(words))):
             by_template.setdefault(t, []).append((start, place, size))
         found = []
         for t, matches in by_template.items():
-            chain = None  # first word, end in the text, end in the template, words covered
-            for start, place, size in [*matches, (1 << 60, 0, 0)]:
-                if chain and 0 <= start - chain[1] <= MOST_GAP and 0 <= place - chain[2] <= MOST_GAP:
-                    chain = (chain[0], start + size, place + size, chain[3] + size)
-                    continue
-                if chain and chain[3] >= LEAST_COVER * len(self.words[t]):
-                    found.append((self.labels[t], chain[0], chain[1], chain[3] / len(self.words[t])))
-                if chain is None or start >= chain[1] or size > chain[3]:
-                    chain = (start, start + size, place + size, size) if size else None
+            covered = self._chains(matches)
+            taken: list[tuple[int, int]] = []  # disjoint, in order
+            for share, first, end in sorted(((c, f, e) for c, f, e in covered if c >= LEAST_COVER * len(self.words[t])), key=lambda c: (-c[0], c[1:])):
+                at = bisect(taken, (first, end))
+                if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (first, end))
+                    found.append((self.labels[t], first, end, share / len(self.words[t])))
         return sorted(found, key=lambda s: (s[1], s[2], s[0]))
 
+    @staticmethod
+    def _chains(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """(words covered, first word, end) of the best chain that ends with each match; ``matches`` come by start."""
+        ending: dict[int, dict[int, tuple[int, int]]] = {}  # end in the text -> end in the template -> words covered, first word
+        chains = []
+        for start, place, size in matches:
+            earlier = [ending[e][p] for e in range(start - MOST_GAP, start + 1) if e in ending
+                       for p in range(place - MOST_GAP, place + 1) if p in ending[e]]
+            best = max(earlier, key=lambda c: (c[0], c[1]), default=(0, start))
+            covered, first = best[0] + size, best[1]
+            here = ending.setdefault(start + size, {})
+            here[place + size] = max(here.get(place + size, (0, 0)), (covered, first))
+            chains.append((covered, first, start + size))
+        return chains
+
     def scan(self, text: bytes) -> tuple:
         words = word_bytes(text)
         # a phrase can only stand where its longest word is part of the text
