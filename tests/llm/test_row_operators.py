@@ -46,6 +46,24 @@ def test_pii_matches_plain_patterns(spark):
         assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in row["pii"] if s["rank"] < 4] == want
 
 
+def test_pii_scores_read_the_forty_characters_before(spark):
+    random.seed(8)
+    bits = ["a@b.cd", "+1 (988) 555-2485", "4041894974608795", "ssn ", "card", " visa é", "order ", "123-45-6789", ", ", "call ", "1.2.3.4 ", "version", "x" * 30]
+    texts = ["".join(random.choices(bits, k=25)) for _ in range(80)]
+    for row in pii.find(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect():
+        for s in row["pii"]:
+            before = row["text"][max(0, s["start"] - pii.CONTEXT):s["start"]].lower()
+            moved = pii.START[s["kind"]] + pii.STEP * bool(re.search(pii.RAISING[s["kind"]], before)) - pii.STEP * bool(re.search(pii.LOWERING, before))
+            assert abs(s["score"] - min(max(moved, 0), 1)) < 1e-9 and row["text"][s["start"]:s["end"]] == s["match"]
+
+
+def test_pii_texts_that_are_all_matches(spark):
+    texts = ["12, " * 60000, "a@b.cd " * 15000, "1.2.3.4 " * 15000, "4041894974608795, " * 6000, "é+1 (988) 555-2485; " * 6000]
+    rows = {r["doc_id"]: r["pii"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert [len(rows[i]) for i in range(5)] == [0, 15000, 15000, 6000, 6000]
+    assert [rows[i][-1]["end"] for i in range(1, 5)] == [len(texts[i].rstrip(", ;")) for i in range(1, 5)]
+
+
 def test_pii_method_spans_and_redaction(spark):
     df = spark.createDataFrame([(1, "my bank account DE89 3704 0044 0532 0130 00, ssn 123-45-6789"), (2, "order 123-45-6789 DE88370400440532013000")], DOCS)
     rows = {r["doc_id"]: r for r in pii.find(df).collect()}
@@ -100,6 +118,41 @@ def test_license_template_with_inserted_words():
     assert (label, start, end) == ("bsd", 2, 24) and cover == 1.0
 
 
+def test_license_places_in_long_texts_and_body_paragraphs(spark):
+    text = "mit license " * 100_000
+    found = licenses.Scanner().base_places(licenses.word_bytes(text.encode()))
+    assert found == [(2 * i, "mit") for i in range(100_000)]
+    bodies = [t for _, t in licenses.TEMPLATES]
+    rows = licenses.scan(spark.createDataFrame([(i, f"Some words before it. {t} and after.", "clash") for i, t in enumerate(bodies)],
+                                               DOCS + ", labels string")).collect()
+    for row in rows:
+        label, words = licenses.TEMPLATES[row["doc_id"]][0], WORD.findall(lowered(bodies[row["doc_id"]]))
+        assert label in row["licenses"]["labels"].split(",") and row["licenses"]["score"] == 1.0 and row["labels"] == "clash"
+        assert (label, 4, 4 + len(words)) in {(s["label"], s["start"], s["end"]) for s in row["licenses"]["spans"]}
+
+
+def test_license_chains_are_the_best_ones():
+    random.seed(6)
+    for _ in range(300):
+        matches = sorted({(random.randrange(30), random.randrange(12), random.randint(4, 7)) for _ in range(random.randint(1, 9))})
+
+        def best(i):
+            start, place, size = matches[i]
+            return size + max((best(j) for j, (s, p, n) in enumerate(matches) if j != i and 0 <= start - s - n <= licenses.MOST_GAP
+                               and 0 <= place - p - n <= licenses.MOST_GAP), default=0)
+        assert [c for c, _, _ in licenses.Scanner._chains(matches)] == [best(i) for i in range(len(matches))]
+
+
+def test_license_chain_survives_a_stray_match():
+    words = licenses.word_bytes(licenses.TEMPLATES[0][1].encode())
+    at = len(words) // 2
+    text = words[:at] + [b"zz"] + words[2:7] + [b"zz"] + words[at:]
+    spans = [s for s in licenses.Scanner().spans(words[:at] + [b"zz"] + words[at:]) if s[0] == "mit"]
+    assert spans == [("mit", 0, len(words) + 1, 1.0)]
+    # a stray repeat wider than the gap ends the chain; neither half covers enough
+    assert [s for s in licenses.Scanner().spans(text) if s[0] == "mit"] == []
+
+
 def test_suffix_automaton_statistics():
     random.seed(3)
     runs = [random.choices([b"a", b"b", b"c"], k=8) for _ in range(4)]
@@ -166,3 +219,15 @@ def test_toxicity_learns_words_and_tolerates_insertions(spark):
     assert all(0 <= r["toxicity"] <= 1 for r in empty)
 
 
+
+
+def test_language_letters_and_repeated_ids(spark):
+    rows = [(i, t, lang) for i in range(40) for t, lang in [("the cat and the dog are here", "en"), ("der Hund und die Katze sind da", "de")][i % 2:i % 2 + 1]]
+    again = [(1, "the cat and the dog are here", "en"), (3, "der Hund und die Katze sind da", "de"), (5, "½", "fr")]
+    schema = DOCS + ", lang string"
+    model = language.fit(spark.createDataFrame(rows + again, schema))
+    other = language.fit(spark.createDataFrame((again + rows)[::-1], schema).repartition(7))
+    assert "fr" not in model.within and set(model.families.classes) == {"germanic"}
+    texts = [b"the dog", b"die Katze", "½ ② Ⅷ ²".encode(), b"12_3", b""]
+    assert [model.decide(t) for t in texts] == [other.decide(t) for t in texts]
+    assert [model.decide(t)[0] for t in texts] == ["en", "de", "und", "und", "und"]
