@@ -5,7 +5,7 @@ equal pieces came before it, so repeats count. A sketch keeps in each cell the n
 a key sits in one cell of each of three sub-tables. Subtracting two sketches cancels the common pieces, and peeling takes
 a cell with a single key off the other cells until none is left: what comes out are the pieces that differ. Keys are dealt by
 digest over parts of about ``PER_PART`` keys, each with its own small sketch, so the work grows with the text. A part that cannot be
-peeled is tried again with twice the cells; should ``LEVELS`` doublings fail, its keys are compared one by one.
+peeled is tried again with half as many cells more; should all ``LEVELS`` sizes fail, its keys are compared one by one.
 
 Everything is column expressions on a row. Only the pairing of each document with the next needs a shuffle, one of the texts:
 documents are dealt by ranges of ids, and each range also gets a copy of the first document of the range after it.
@@ -24,7 +24,7 @@ from rosterlake.llm.common import table
 
 PIECE = r"[^\n.!?]{1,200}[.!?]*|[.!?]+"
 PER_PART = 6
-CELLS, LEVELS, ROUNDS = 4, 6, 12
+CELLS, GROWTH, LEVELS, ROUNDS = 4, 1.5, 10, 12
 BASE_CELLS = 3
 CHECK = 7
 
@@ -114,12 +114,12 @@ def peel(difference: Column, cells: Column) -> Column:
 
 
 def part_difference(a: Column, b: Column, first: Column) -> Column:
-    """struct<gone, come, whole, tries> of two key arrays through sketches that double, from level ``first``, until they can be
+    """struct<gone, come, whole, tries> of two key arrays through sketches that grow, from level ``first``, until they can be
     peeled; ``tries`` is the number of levels up to that one."""
     unknown = F.struct(F.lit(0).alias("gone"), F.lit(0).alias("come"), F.lit(False).alias("whole"), F.lit(0).alias("tries"))
 
     def attempt(state, level):
-        cells = (CELLS * F.pow(F.lit(2), level)).cast("int")
+        cells = (CELLS * F.pow(F.lit(GROWTH), level)).cast("int")
         tried = _let(cells, lambda c: peel(subtract(sketch(a, c), sketch(b, c)), c))
         return F.when(state["whole"] | (level < first), state).otherwise(_let(tried, lambda t: F.struct(
             t["gone"].alias("gone"), t["come"].alias("come"), t["whole"].alias("whole"), (level + 1).alias("tries"))))
@@ -153,7 +153,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint(keys: Column) -> Column:
     """The base sketch of a text as a string: number, key and check of every cell in hexadecimal digits."""
-    return F.array_join(F.transform(sketch(occurrence_keys(keys), F.lit(BASE_CELLS)), lambda c: F.concat(
+    # equal digests share a part, so their occurrences are counted within it
+    numbered = F.flatten(F.transform(_let(parts_needed(F.size(keys)), lambda parts: dealt(keys, parts)), occurrence_keys))
+    return F.array_join(F.transform(sketch(numbered, F.lit(BASE_CELLS)), lambda c: F.concat(
         F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"]), 16, "0"))), "-")
 
 
