@@ -6,18 +6,17 @@ compared whole. In a larger block two members meet only on evidence without whic
 * **Alike texts.** A score is at most 0.5 h + 0.35 n + 0.15 o - 0.2 c, with h and n the similarities of handles and names, o the overlap
   of the categories and c the facts that speak against the pair. Unless o > 0 and c = 0, the greater of h and n must
   reach ``ALIKE`` = 0.72 / 0.85; two names on one platform must even reach 0.92. Texts that similar share a number of two-letter
-  grams that follows from their lengths, so they share one among the rarest few of each (prefix filter), and that gram is their key.
-* **Weak evidence.** Pairs with a common category and nothing against them need less similarity. They meet on category
-  and city; an account without a city meets every city.
+  grams that follows from both lengths, so they share one, or where that number allows two, among the rarest few of each (prefix
+  filter). Rare is what few members of the block show, so what all of them share is nobody's key. Both lengths are part of the key.
+* **Weak evidence.** Pairs of two platforms with a common category and nothing against them need less similarity. They meet on category,
+  city and a band of ages; of city and age only what both accounts give counts.
 
-Keys only decide where a pair is looked at: it is checked by length first, kept at its least common key, and the order in which
-grams count as rare changes no result. ``PLAIN`` and ``COMMON_LETTERS`` change the plan alone.
+Keys only decide where a pair is looked at; a pair met at several keys comes out once, and the order in which grams count as rare
+changes no result. ``PLAIN`` and ``PAIRED`` change the plan alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +29,10 @@ TEXT_WEIGHT = 0.85
 ALIKE = REVIEW_SCORE / TEXT_WEIGHT
 #: blocks up to this size cost less as pairs than as keys
 PLAIN = 64
-#: letters whose frequency orders the grams
-COMMON_LETTERS = 64
+#: longest prefix whose grams are taken two by two
+PAIRED = 12
+#: accounts whose ages are further apart than this have that against them
+AGE_GAP = 4
 
 
 def block_keys(*texts: Column) -> Column:
@@ -67,84 +68,119 @@ def prefix_length(n: Column, alike: float = ALIKE) -> Column:
     return F.greatest(n - shared, F.lit(1)).cast("int")
 
 
-def rare_letters_first(texts: DataFrame, column: str) -> str:
-    """The ``COMMON_LETTERS`` most frequent letters of a column, rarest of them first; one short list reaches the driver."""
-    letters = texts.select(F.explode(F.split(column, "")).alias("letter")).where(F.length("letter") == 1)
-    found = letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "letter").limit(COMMON_LETTERS).collect()
-    return "".join(r["letter"] for r in reversed(found))
-
-
-def _ranked_texts(letters: str) -> Column:
-    """Every text of a row with its namespace (handles and name keys share one, name words have another), the number of grams it has to
-    show, and its grams from rare to frequent by their letters."""
-    ranks = "".join(chr(0x4E00 + i) for i in range(len(letters)))  # in order of rarity; any other letter keeps a place of its own
-
+def _texts(df: DataFrame, key: str) -> DataFrame:
+    """(key, space, text): the texts of every account; handles and name keys share one namespace, name words have another."""
     def text(space, column):
         return F.struct(F.lit(space).alias("space"), F.coalesce(column, F.lit("")).alias("text"))
-    texts = F.filter(F.array_distinct(F.array(text("h", "handle_core"), text("h", "name_key"), text("n", "name_words"))),
+    texts = F.filter(F.array(text("h", "handle_core"), text("h", "name_key"), text("n", "name_words")),
                      lambda t: (t["space"] == "n") | (t["text"] != ""))  # two empty names are equal, two empty handles are not
+    return df.select(key, F.inline(texts)).distinct()
 
-    def ranked(t):
-        order = F.array_sort(F.transform(grams(t["text"]), lambda g: F.struct(F.translate(g, letters, ranks).alias("rank"), g.alias("gram"))))
-        return F.struct(t["space"].alias("space"), prefix_length(F.length(t["text"])).alias("take"), F.transform(order, lambda g: g["gram"]).alias("grams"))
-    return F.transform(texts, ranked)
 
+def _alike_keys(n: Column, order: Column, lengths: Column) -> Column:
+    """Keys of a text of ``n`` letters for partners of each length: its rarest grams, two by two where that many are shared."""
+    few = F.slice(order, F.lit(1), prefix_length(n) + 1)
+    nothing = F.array().cast("array<bigint>")
 
-def _alike_keys(block: Column, texts: Column) -> Column:
-    """Keys of a row in one block: the rarest grams of each text, those of the ending that makes the block counting as the most frequent."""
-    own = grams(F.substring(block, F.lit(3), F.lit(5)))
+    def keys(m):
+        alike = F.ceil(ALIKE * (n + m) / 2 - 1e-9)  # letters in common order
+        shared = F.greatest(3 * alike - n - m - 1, F.lit(1))
+        first = F.greatest(n - shared, F.lit(1)).cast("int")
+        low, high = F.least(n, m), F.greatest(n, m)
+        two = (shared >= 2) & (high - shared < PAIRED)
+
+        def shown(some):
+            one_by_one = F.transform(some, lambda g: F.xxhash64("block", "space", low, high, g["gram"]))
+            two_by_two = F.flatten(F.transform(some, lambda g, i: F.transform(F.slice(some, i + 2, F.lit(PAIRED)), lambda h: F.xxhash64(
+                "block", "space", low, high, g["gram"], h["gram"]))))
+            return F.when(two, two_by_two).otherwise(one_by_one)
+        # a gram that no other text of the block has finds nobody
+        rare = F.filter(F.slice(few, F.lit(1), F.when(two, first + 1).otherwise(first)), lambda g: g["n"] > 1)
+        return F.when(alike <= low, F.get(F.transform(F.array(rare), shown), F.lit(0))).otherwise(nothing)
+    return F.flatten(F.transform(lengths, keys))
+
+
+def _text_keys(crowded: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(key, alike): keys of every account in the large blocks it is in; grams are ordered by how many texts of the block show them."""
+    shown = cut_lineage(crowded.join(texts, key))
+    marked = shown.select(key, "block", "space", "text", F.explode(grams(F.col("text"))).alias("gram"))
+    known = marked.groupBy("block", "space", "gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = hot_first_join(marked, known, ["block", "space", "gram"], "n", key, ["n"]).groupBy(key, "block", "space", "text").agg(
+        F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("order"))
+    lengths = shown.groupBy("block", "space").agg(F.collect_set(F.length("text")).alias("lengths"), F.count(F.lit(1)).alias("n"))
+    placed = hot_first_join(ranked, lengths, ["block", "space"], "n", key, ["lengths"])
+    return placed.select(key, _alike_keys(F.length("text"), F.col("order"), F.col("lengths")).alias("alike")).groupBy(key).agg(
+        F.array_distinct(F.flatten(F.collect_list("alike"))).alias("alike"))
+
+
+def _weak_keys(known: Column, asking: bool) -> Column:
+    """Keys on which accounts of large blocks meet by category, city and age.
+
+    ``known`` has bit 1 for an age, bit 2 for a city. Of two accounts the one with the smaller number asks and the other offers, on what
+    both know; of two equal ones each does both. A band of ages is asked for by its own number and offered with its neighbours.
+    """
+    nothing = F.array().cast("array<bigint>")
+    band = F.floor(F.col("age") / (AGE_GAP + 1)).cast("long")
 
-    def shown(text, ending):
-        order = F.concat(F.array_except(text["grams"], ending), F.array_intersect(text["grams"], ending))
-        return F.transform(F.slice(order, F.lit(1), text["take"]), lambda g: F.xxhash64(block, text["space"], g))
-    return F.flatten(F.flatten(F.transform(F.array(own), lambda ending: F.transform(texts, lambda t: shown(t, ending)))))
+    def met(other):
+        city = F.when((known >= 2) & F.lit(other >= 2), F.col("city")).otherwise("")
+        bands = F.when((known % 2 == 1) & F.lit(other % 2 == 1), F.array(band) if asking else F.array(band - 1, band, band + 1)).otherwise(
+            F.array(F.lit(None).cast("long")))
+        low, high = (known, F.lit(other)) if asking else (F.lit(other), known)
+        keys = F.flatten(F.flatten(F.transform("crowd", lambda b: F.transform("categories", lambda c: F.transform(bands, lambda age: F.xxhash64(
+            b, F.lit("category"), c, low, high, city, age))))))
+        return F.when(low <= high, F.coalesce(keys, nothing)).otherwise(nothing)
+    return F.array_distinct(F.concat(*[met(other) for other in range(4)]))
 
 
 def with_pair_keys(df: DataFrame, key: str, plain: int = PLAIN) -> DataFrame:
-    """Add ``keys``, on which two rows meet, and ``wide``, on which rows without a city meet all others.
+    """Add ``keys``, on which two rows meet, and ``asks`` and ``offers``, on which rows of two platforms meet with weaker evidence;
+    ``known`` orders the two sides of the latter.
 
-    Needs name_key, handle_core, name_words, categories and city; both columns are hashes, so a chance collision costs a look
-    at a pair and nothing else. A row's lists are bounded by its texts.
+    Needs platform, handle, name_key, handle_core, name_words, categories, city and age; the keys are hashes, so a chance collision costs a look
+    at a pair and nothing else. A row's lists are bounded by its texts and the lengths of those it may resemble.
     """
     blocked = df.withColumn("_blocks", block_keys(F.col("name_key"), F.col("handle_core")))
     spread = blocked.select(key, F.explode("_blocks").alias("block"))
     sized = hot_first_join(spread, block_sizes(blocked, "_blocks"), ["block"], "members", key, ["members"])
     placed = cut_lineage(sized.where(F.col("members") > 1).groupBy(key).agg(
-        F.collect_list(F.when(F.col("members") <= plain, F.col("block"))).alias("open"),
-        F.collect_list(F.when(F.col("members") > plain, F.col("block"))).alias("crowd")))
-    joined = df.join(placed, key)
-    letters = rare_letters_first(df, "name_key")
-    full = joined.withColumn("texts", F.when(F.size("crowd") > 0, _ranked_texts(letters)))
-    known = F.coalesce(F.col("city") != "", F.lit(False))
-    nothing = F.array().cast("array<bigint>")
-    categories = F.coalesce("categories", F.array().cast("array<string>"))
-    alike = F.coalesce(F.flatten(F.transform("crowd", lambda b: _alike_keys(b, F.col("texts")))), nothing)
-    local = F.flatten(F.transform("crowd", lambda b: F.transform(categories, lambda c: F.xxhash64(b, F.lit("category"), c, "city"))))
-    wide = F.flatten(F.transform("crowd", lambda b: F.transform(categories, lambda c: F.xxhash64(b, F.lit("category"), c))))
-    keys = F.concat(F.transform("open", lambda b: F.xxhash64(b)), alike, F.when(known, local).otherwise(nothing))
-    return full.select(*df.columns, F.array_distinct(keys).alias("keys"), F.array_distinct(wide).alias("wide"), (~known).alias("anywhere"))
+        F.collect_set(F.when(F.col("members") <= plain, F.col("block"))).alias("open"),
+        F.collect_set(F.when(F.col("members") > plain, F.col("block"))).alias("crowd")))
+    alike = _text_keys(placed.select(key, F.explode("crowd").alias("block")), _texts(df, key), key)
+    full = df.join(placed, key).join(alike, key, "left")
+    known = F.coalesce(F.col("age") > 0, F.lit(False)).cast("int") + 2 * F.coalesce(F.col("city") != "", F.lit(False)).cast("int")
+    keys = F.concat(F.transform("open", lambda b: F.xxhash64(b)), F.coalesce("alike", F.array().cast("array<bigint>")))
+    return full.select(*df.columns, F.array_distinct(keys).alias("keys"), _weak_keys(known, True).alias("asks"),
+                       _weak_keys(known, False).alias("offers"), known.alias("known"))
 
 
-def candidate_pairs(df: DataFrame, key: str, carry: list[str], possible: Callable[[], Column] | None = None, plain: int = PLAIN) -> DataFrame:
+def candidate_pairs(df: DataFrame, key: str, carry: list[str], plain: int = PLAIN) -> DataFrame:
     """Pairs that share a block and may be accepted, each once, with the columns in ``carry`` of both sides as ``*_a`` and ``*_b`` (C4).
 
-    ``possible`` is a condition on those columns that is checked before a pair is looked at any further. Which pairs beyond the
-    acceptable ones come along depends on the sizes of the blocks.
+    Rows meet by their ids alone; the columns are added once a pair is known. Which pairs beyond the acceptable ones come along depends
+    on the sizes of the blocks.
     """
     side = cut_lineage(with_pair_keys(df, key, plain))
     columns = [key, *carry]
 
-    def half(name, on, rows=side):
-        return rows.select(F.explode(on).alias("_k"), *[F.col(c).alias(f"{c}_{name}") for c in (*columns, "keys", "wide", "anywhere")])
+    def half(name, on):
+        return side.select(F.explode(on).alias("_k"), *[F.col(c).alias(f"{c}_{name}") for c in (key, "platform", "handle", "city", "age", "known")])
     a, b = F.col(f"{key}_a"), F.col(f"{key}_b")
-    fits = F.lit(True) if possible is None else possible()
-    least = F.col("_k") == F.array_min(F.array_intersect("keys_a", "keys_b"))
-    near = half("a", "keys").join(half("b", "keys"), "_k").where((a < b) & fits & least)
-    # rows without a city against all others; two of them meet once
-    lost = side.where(F.col("anywhere") & (F.size("wide") > 0))
-    once = (a < b) | ~F.col("anywhere_b")
-    apart = ~F.arrays_overlap("keys_a", "keys_b") & (F.col("_k") == F.array_min(F.array_intersect("wide_a", "wide_b")))
-    far = half("a", "wide", lost).join(half("b", "wide"), "_k").where((a != b) & once & fits & apart)
-    ordered = [F.when(a < b, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_a") for c in columns]
-    ordered += [F.when(a < b, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_b") for c in columns]
-    return near.select(*[f"{c}_{s}" for s in "ab" for c in columns]).unionByName(far.select(*ordered))
+
+    def given(c, absent):
+        return F.nullif(F.col(f"{c}_a"), F.lit(absent)), F.nullif(F.col(f"{c}_b"), F.lit(absent))
+    (city_a, city_b), (age_a, age_b) = given("city", ""), given("age", 0)
+    ages_differ = (age_a > 0) & (age_b > 0) & (F.abs(age_a - age_b) > AGE_GAP)
+    contrary = F.coalesce(city_a != city_b, F.lit(False)).cast("int") + F.coalesce(ages_differ, F.lit(False)).cast("int")
+    # one fact against a pair is too many on one platform and two are on any, but for one handle on two networks
+    open_to = (contrary == 0) | ((contrary == 1) & ~F.coalesce(F.col("platform_a") == F.col("platform_b"), F.lit(False)))
+    fits = open_to | F.coalesce(F.col("handle_a") == F.col("handle_b"), F.lit(False))
+    near = half("a", "keys").join(half("b", "keys"), "_k").where((a < b) & fits)
+    once = (F.col("known_a") < F.col("known_b")) | (a < b)
+    far = half("a", "asks").join(half("b", "offers"), "_k").where(
+        (a != b) & once & fits & ~F.coalesce(F.col("platform_a") == F.col("platform_b"), F.lit(False)))
+    ids = near.unionByName(far).select(F.least(a, b).alias(f"{key}_a"), F.greatest(a, b).alias(f"{key}_b")).distinct()
+
+    def facts(name):
+        return df.select(*[F.col(c).alias(f"{c}_{name}") for c in columns])
+    return ids.join(facts("a"), f"{key}_a").join(facts("b"), f"{key}_b").select(*[f"{c}_{s}" for s in "ab" for c in columns])

@@ -57,10 +57,15 @@ def _evidence() -> dict[str, Column]:
             "overlap": F.when(both_lists, F.try_divide(overlap, F.size(F.array_union("categories_a", "categories_b")))).otherwise(0.0)}
 
 
-def _possible(e: dict[str, Column], reach) -> Column:
-    """False for pairs that no rule can accept if ``reach`` bounds the similarity of their texts."""
-    name_top = F.greatest(reach("name_words", "name_words"), reach("name_key", "name_key"))
-    handle_top = F.greatest(reach("handle_core", "handle_core"), reach("name_key", "handle_core"), reach("handle_core", "name_key")) / 100
+def _tops(reach) -> tuple[Column, Column]:
+    """Highest similarity of the names and, by handles, of the accounts, if ``reach`` bounds that of two texts."""
+    return (F.greatest(reach("name_words", "name_words"), reach("name_key", "name_key")),
+            F.greatest(reach("handle_core", "handle_core"), reach("name_key", "handle_core"), reach("handle_core", "name_key")) / 100)
+
+
+def _possible(e: dict[str, Column], tops: tuple[Column, Column]) -> Column:
+    """False for pairs that no rule can accept if ``tops`` bound the similarities of their texts."""
+    name_top, handle_top = tops
     twins = (e["contrary"] == 0) & (F.least(F.length("name_key_a"), F.length("name_key_b")) >= 6) & (name_top >= SAME_PLATFORM_NAME - 1e-9)
     penalty = 0.2 * e["contrary"]
     best = F.greatest(0.5 * handle_top + 0.35 * name_top / 100 + 0.15 * e["overlap"] - penalty, F.when(e["exact"], 0.9 - penalty).otherwise(0.0))
@@ -68,15 +73,20 @@ def _possible(e: dict[str, Column], reach) -> Column:
     return F.coalesce(e["mirrored"] | F.when(e["same_platform"], twins).otherwise((e["contrary"] < 2) & across), F.lit(False))
 
 
+def hopeful_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs that may be accepted by bounds from lengths and then from edit distances, with their evidence."""
+    facts = once(pairs, **_evidence())
+    known = {n: F.col(n) for n in _evidence()}
+    near = once(facts.where(_possible(known, _tops(_reach))), **dict(zip(("_name_top", "_handle_top"), _tops(_edited))))
+    return near.where(_possible(known, (F.col("_name_top"), F.col("_handle_top")))).drop("_name_top", "_handle_top")
+
+
 def with_similarities(pairs: DataFrame) -> DataFrame:
     """Pairs that may be accepted, with their evidence and the similarities of handles, names and names with handles.
 
-    Bounds from lengths and then from edit distances remove hopeless pairs before the Arrow similarity function sees them.
+    Bounds remove hopeless pairs before the Arrow similarity function sees them.
     """
-    facts = once(pairs, **_evidence())
-    known = {n: F.col(n) for n in _evidence()}
-    hopeful = facts.where(_possible(known, _reach)).where(_possible(known, _edited))
-    return hopeful.withColumn("sim", pair_similarity("handle_core_a", "handle_core_b", "name_key_a", "name_key_b",
+    return hopeful_pairs(pairs).withColumn("sim", pair_similarity("handle_core_a", "handle_core_b", "name_key_a", "name_key_b",
                                                      "name_words_a", "name_words_b")).select("*", "sim.*").drop("sim")
 
 
@@ -135,7 +145,7 @@ def _rounded(x: Column) -> Column:
 def similar_pairs(accounts: DataFrame) -> DataFrame:
     """Candidate pairs of one account table with their facts, one row each."""
     facts = cut_lineage(with_name_words(accounts).select(*FACTS))  # names are read once
-    return candidate_pairs(facts, "account_id", [f for f in FACTS if f != "account_id"], lambda: _possible(_evidence(), _reach))
+    return candidate_pairs(facts, "account_id", [f for f in FACTS if f != "account_id"])
 
 
 def find_candidates(accounts: DataFrame) -> DataFrame:
