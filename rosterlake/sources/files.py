@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import hashlib
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,11 @@ ROWS = T.StructType([
     T.StructField("file_sha256", T.StringType()), T.StructField("columns", T.ArrayType(T.StringType())),
     T.StructField("row_number", T.LongType()), T.StructField("raw", T.MapType(T.StringType(), T.StringType()))])
 
+ARROW_ROWS = pa.schema([("file_sha256", pa.string()), ("columns", pa.list_(pa.string())), ("row_number", pa.int64()),
+                        ("raw", pa.map_(pa.string(), pa.string()))])
+#: bytes or letters worked on at once
+PIECE = 4 << 20
+
 
 def read_drop(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Whole small files as bytes with their content hash; one row per distinct content."""
@@ -50,28 +56,64 @@ def decode(data: bytes) -> str:
     return data.decode("utf-8", errors="replace")
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of each file, 5,000 at a time; row number 0 carries the header of the file."""
+def _reads(data: bytes, encoding: str) -> bool:
+    """Whether a file is text of an encoding, looked at piece by piece."""
+    decoder = codecs.getincrementaldecoder(encoding)()
+    try:
+        for at in range(0, len(data), PIECE):
+            decoder.decode(data[at:at + PIECE])
+        decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def opened(data: bytes) -> io.TextIOBase:
+    """The text that ``decode`` gives, line by line, so that a big file is never held as a text as well."""
+    if len(data) <= PIECE:
+        return io.StringIO(decode(data))
+    marked = data[:2] in (b"\xff\xfe", b"\xfe\xff")
+    for encoding in ("utf-8-sig", "utf-16" if marked else "cp1252", "cp1252"):
+        if _reads(data, encoding):
+            return io.TextIOWrapper(io.BytesIO(data), encoding, newline="\n")
+    return io.TextIOWrapper(io.BytesIO(data), "utf-8", errors="replace", newline="\n")
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of all files, about 5,000 or ``PIECE`` letters at a time; row number 0 carries the header of the file."""
     csv.field_size_limit(2**31 - 1)
-    for frame in batches:
-        for content in frame["content"]:
-            data = bytes(content)
+    block, held = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(cells, t) for cells, t in zip(zip(*block), ARROW_ROWS.types)], schema=ARROW_ROWS)
+    for files in batches:
+        for content in files.column(0):
+            data = content.as_py()
+            if data is None:
+                raise TypeError("a file without content")
             sha = hashlib.sha256(data).hexdigest()
-            reader = csv.DictReader(io.StringIO(decode(data)))
+            reader = csv.DictReader(opened(data))
             header = list(reader.fieldnames or [])
-            block = [(sha, header, 0, {})]
+            block.append((sha, header, 0, []))
+            held += 64 + sum(map(len, header))
             for n, row in enumerate(reader, 1):
                 # cells beyond the header have no name and are dropped
-                block.append((sha, None, n, {k: v for k, v in row.items() if k is not None}))
-                if len(block) >= 5000:
-                    yield pd.DataFrame(block, columns=ROWS.names)
-                    block = []
-            yield pd.DataFrame(block, columns=ROWS.names)
+                cells = [(k, v) for k, v in row.items() if k is not None]
+                block.append((sha, None, n, cells))
+                held += 64 + sum(len(k) + len(v or "") for k, v in cells)
+                if len(block) >= 5000 or held >= PIECE:
+                    yield batch()
+                    block, held = [], 0
+            if len(block) >= 5000 or held >= PIECE:
+                yield batch()
+                block, held = [], 0
+    if block:
+        yield batch()
 
 
 def parse_rows(files: DataFrame) -> DataFrame:
     """``(file_sha256, columns, row_number, raw)``. Files are uploads of at most some tens of megabytes, one per task."""
-    return files.select("content").mapInPandas(_parse, ROWS)
+    return files.select("content").mapInArrow(_parse, ROWS)
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:

@@ -37,3 +37,22 @@ def test_late_views_still_count(spark, tmp_path):
     landed = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
     found = {r["day"].day: r["v"] for r in landed.groupBy("day").agg(F.max("views").alias("v")).collect()}
     assert found == {day: 10 * n for n, day in enumerate(days)}
+
+
+def test_rows_of_small_files_leave_together():
+    """1,000 files of two rows come out in a few batches, not one each."""
+    import pyarrow as pa
+
+    from rosterlake.sources import files
+    contents = pa.array([f"a,b\n{i},x\n{i},\n".encode() for i in range(1000)], pa.binary())
+    out = list(files._parse(iter([pa.RecordBatch.from_arrays([contents], names=["content"])])))
+    assert len(out) == 1 and sum(b.num_rows for b in out) == 3000
+    assert out[0].column(3)[1].as_py() == [("a", "0"), ("b", "x")] and out[0].column(1)[0].as_py() == ["a", "b"]
+
+
+def test_big_files_are_read_like_small_ones(monkeypatch):
+    from rosterlake.sources import files
+    cases = ["a,b\r\né,\"x\ny\"\n".encode(), "a,b\né,1\n".encode("cp1252"), "a,b\né✨,1\n".encode("utf-16"), b"\xef\xbb\xbfa\n1\n", b"a\x81\xff\n\xc3", b"\xff\xfea"]
+    want = [files.decode(c) for c in cases]
+    monkeypatch.setattr(files, "PIECE", 3)
+    assert [files.opened(c).read() for c in cases] == want
