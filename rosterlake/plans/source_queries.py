@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rosterlake.functions.refs import platform_from_file_name
@@ -56,10 +57,13 @@ def decode(spark, folder):
     latin = F.encode(F.when(~F.col("text").rlike(r"[^\x00-\x7F\xA0-\xFF]"), F.col("text")), "ISO-8859-1")
     data = F.when(every(F.col("doc_id"), 3), F.encode("text", "UTF-16")).when(every(F.col("doc_id"), 3, 1) & latin.isNotNull(), latin).otherwise(F.encode("text", "UTF-8"))
 
-    def read(frames):
-        for frame in frames:
-            yield frame.assign(text=[files.decode(bytes(c)) for c in frame["content"]])[["doc_id", "text"]]
-    read_back = docs.select("doc_id", data.alias("content")).mapInPandas(read, "doc_id bigint, text string")
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # texts of a few files at once
+                part = batch.slice(at, 256)
+                texts = pa.array([files.decode(c.as_py()) for c in part.column(1)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], names=["doc_id", "text"])
+    read_back = docs.select(F.col("doc_id").cast("bigint"), data.alias("content")).mapInArrow(read, "doc_id bigint, text string")
     return read_back.select("doc_id", F.md5("text").alias("text_md5"))
 
 
