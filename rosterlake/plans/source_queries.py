@@ -19,6 +19,10 @@ from rosterlake.sources import export, files, landed
 from rosterlake.streaming import feeds
 
 
+#: rows of a sheet that is read whole
+SMALL_SHEET = 2000
+
+
 def _document_files(spark, folder):
     """Every document as the bytes of a file."""
     return table(spark, folder, "documents").select(
@@ -90,9 +94,12 @@ def large_files(spark, folder):
     """Whole documents written as sheets with quoted line breaks and quotes, read by byte ranges and by whole files."""
     place = f"{scratch_folder(spark)}/sheets-{uuid4().hex}"
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs.write.csv(place, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    _, ranged = files.large_csv(spark, place, 1)
-    whole = files.parse_rows(files.read_drop(spark, place)).where(F.col("row_number") > 0)
+    # the big files, and the same rows in files of the size that is read whole
+    for form, most in (("big", 0), ("small", SMALL_SHEET)):
+        docs.write.option("maxRecordsPerFile", most).csv(
+            f"{place}/{form}", header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    _, ranged = files.large_csv(spark, f"{place}/big", 1)
+    whole = files.parse_rows(files.read_drop(spark, f"{place}/small")).where(F.col("row_number") > 0)
     mine = ranged.select(F.col("raw")["doc_id"].alias("doc_id"), F.md5(F.col("raw")["text"]).alias("text_md5"))
     other = whole.select(F.col("raw")["doc_id"].alias("doc_id"), F.md5(F.col("raw")["text"]).alias("other_md5"))
     return mine.join(other, "doc_id", "left").select("doc_id", "text_md5", F.coalesce(F.col("text_md5") == F.col("other_md5"), F.lit(False)).alias("same"))
