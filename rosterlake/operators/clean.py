@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import names, refs, topics, values
 from rosterlake.functions.steps import once, step
-from rosterlake.operators.scale import hot_first_join
+from rosterlake.operators.scale import hot_first_join, spread_evenly
 from rosterlake.vocab import words
 
 IDENTITY = ("handle", "channel_id", "legacy_username", "custom_url")
@@ -42,6 +42,7 @@ def clean_rows(staging: DataFrame, batches: DataFrame) -> DataFrame:
     ``staging``: row_id, batch_id, row_number, raw; ``batches``: batch_id, platform_hint, columns, ingested_at.
     The result keeps rejected rows too, with ``reject`` set.
     """
+    staging = spread_evenly(staging)  # the rules below cost far more than a shuffle of what they read
     take = ["platform_hint", "ingested_at", "mapping"]
     mapped = map_headers(batches).select("batch_id", *take, *[c for c in ("row_count",) if c in batches.columns])
     cells = {f"in_{field}": values.strip(F.coalesce(F.try_element_at("raw", F.try_element_at("mapping", F.lit(field))), F.lit("")))

@@ -58,6 +58,16 @@ def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str, buckets:
             .select(*groups, "value", "n", (F.col("_inside") + F.col("_offset")).alias("before"), "total"))
 
 
+def spread_evenly(df: DataFrame) -> DataFrame:
+    """The same rows dealt in equal shares, whatever their keys and however few files or row groups they were read from.
+
+    For rows that cost much more than their bytes tell. The number of shares is explicit, as small partitions would be put
+    together again: four a core, or a quarter of the shuffle partitions where these were raised.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def unpivot_measures(df: DataFrame, groups: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Long form ``(groups, measure, value)`` of several numeric columns, in one pass."""
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])

@@ -110,3 +110,15 @@ def test_sheet_without_identity_column_is_rejected(spark):
     assert cleaned.first().reject == "no_name_handle_or_url_column"
     assert [(r.severity, r.issue) for r in clean.row_issues(cleaned).collect()] == [("rejected", "no_name_handle_or_url_column")]
     assert clean.accepted(cleaned).count() == 0
+
+
+def test_rows_of_one_partition_are_cleaned_in_many_tasks(spark):
+    """Rows read from one row group, all of one sheet and some of them equal, are not cleaned by one task."""
+    from datetime import datetime
+    batches = spark.createDataFrame([(1, None, ["Name", "URL"], datetime(2024, 1, 1), 400)],
+                                    "batch_id long, platform_hint string, columns array<string>, ingested_at timestamp, row_count long")
+    rows = [(None if i % 9 == 0 else i // 2, 1, i // 2, {"Name": f"Ann {i // 2}", "URL": f"instagram.com/ann{i // 2}/"}) for i in range(400)]
+    staging = spark.createDataFrame(rows, "row_id long, batch_id long, row_number long, raw map<string,string>").coalesce(1)
+    got = clean.clean_rows(staging, batches).select("row_id", "account_id", F.spark_partition_id().alias("part")).toPandas()
+    assert got.groupby("part").size().max() <= 100
+    assert sorted(got.account_id) == sorted(f"instagram:ann{i // 2}" for i in range(400)) and got.row_id.isna().sum() == 45
