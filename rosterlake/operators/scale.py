@@ -24,16 +24,17 @@ HOT_KEYS = 1000
 SPREAD = 1021
 
 
-def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
+def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None,
+                      weight: str | None = None) -> DataFrame:
     """Distinct ``(groups, value)`` with ``n`` rows, ``before`` rows below the value and ``total`` in the group.
 
-    Values keep their type, a number or a string. Null values are left out. Exact: the approximate quantiles only decide where
-    buckets are cut.
+    Values keep their type, a number or a string. Null values are left out. A row counts ``weight`` times, once without it. Exact:
+    the approximate quantiles only decide where buckets are cut.
     """
     groups = list(groups)
     buckets = buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*groups, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+               .groupBy(*groups, F.col(value).alias("value")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")))
     # rises with the value, not always strictly: enough to cut buckets
     height = F.col("value").cast("double")
     if dict(counted.dtypes)["value"] == "string":
@@ -123,24 +124,29 @@ def percent_ranks(df: DataFrame, key: str, specs: dict[str, tuple[Column, bool]]
     """Add tie-averaged percent ranks (E4): ``specs`` maps output name to (value, higher is better).
 
     The rank is ``(average position among non-null values) / (their count)``, counted from the best-ranked-last end,
-    and null values get ``absent``.
+    and null values get ``absent``. Ranks are looked up for distinct combinations of values, which are narrow rows; the
+    rows themselves, however wide, are shuffled once, whatever the number of ranks.
     """
     names = list(specs)
-    wide = df
-    for i, name in enumerate(names):
-        wide = wide.withColumn(f"_v{i}", specs[name][0].cast("double"))
+    parts = [f"_v{i}" for i in range(len(names))]
+    wide = df.withColumns({v: specs[name][0].cast("double") for v, name in zip(parts, names)})
+    # written once: the counts and every rank read them
+    combos = cut_lineage(wide.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows")))
     # written once: each rank reads one slice of it twice, and a filter pushed into it would rebuild it every time
     counts = cut_lineage(cumulative_counts(
-        wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_m"), F.col(f"_v{i}").alias("_value"))
-                                       for i in range(len(names))]))), ["_m"], "_value"))
+        combos.select("_rows", F.inline(F.array(*[F.struct(F.lit(i).alias("_m"), F.col(v).alias("_value"))
+                                                  for i, v in enumerate(parts)]))), ["_m"], "_value", weight="_rows"))
+    ranked = combos.withColumn("_mixed", F.xxhash64(*parts))
     average = F.col("before") + (F.col("n") + 1) / 2
     for i, name in enumerate(names):
         place = average if specs[name][1] else F.col("total") - F.col("before") - (F.col("n") - 1) / 2
-        table = counts.where(F.col("_m") == i).select(F.col("value").alias(f"_v{i}"), "n",
+        table = counts.where(F.col("_m") == i).select(F.col("value").alias(parts[i]), "n",
                                                       (place / F.col("total")).alias(name))
-        wide = hot_first_join(wide, table, [f"_v{i}"], "n", key, [name])
-        wide = wide.withColumn(name, F.coalesce(F.col(name), F.lit(absent)))
-    return wide.drop(*[f"_v{i}" for i in range(len(names))])
+        ranked = hot_first_join(ranked, table, [parts[i]], "n", "_mixed", [name])
+    # a struct is never null itself and equal where all its parts are, nulls included
+    together = F.struct(*parts)
+    wide = hot_first_join(wide.withColumn("_values", together), ranked.withColumn("_values", together), ["_values"], "_rows", key, names)
+    return wide.withColumns({name: F.coalesce(F.col(name), F.lit(absent)) for name in names}).drop("_values", *parts)
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -25,6 +26,26 @@ def test_percent_ranks_average_ties_and_fill_nulls(spark):
     assert (got["down"].values - pdf["value"].rank(pct=True, ascending=False).fillna(0.3).values).max() < 1e-12
 
 
+def test_percent_ranks_shuffle_wide_rows_once(spark, capsys):
+    """Four ranks, repeated and null ids, null values, both zeros; joins that are not broadcast move the wide column once."""
+    rows = [(None if i % 7 == 0 else i // 2, f"wide {i}", None if i % 5 == 0 else float(i % 13), [0.0, -0.0, 2.5, None][i % 4]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, payload string, a double, b double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = scale.percent_ranks(df, "id", {f"{c}_{way}": (F.col(c), way == "up") for c in "ab" for way in ("up", "down")})
+        got.explain("formatted")
+        pdf = got.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\n]*)\]", capsys.readouterr().out)
+    assert sum("payload#" in columns for columns in moved) == 1
+    assert list(pdf.columns) == ["id", "payload", "a", "b", "a_up", "a_down", "b_up", "b_down"] and sorted(pdf.payload) == sorted(r[1] for r in rows)
+    for c in "ab":
+        for way in ("up", "down"):
+            want = pdf[c].astype("float64").rank(pct=True, ascending=way == "up").fillna(0.3)
+            assert (pdf[f"{c}_{way}"] - want).abs().max() < 1e-12
+
+
 def test_medians_are_exact(spark):
     pdf, df = frame(spark)
     got = scale.exact_medians(df, ["key"], ["value"]).toPandas().set_index("key")["value"]
