@@ -4,8 +4,9 @@ A text is cut into pieces, its sentences within lines, at most 200 characters ea
 equal pieces came before it, so repeats count. A sketch keeps in each cell the number, the XOR of keys and the XOR of key checks;
 a key sits in one cell of each of three sub-tables. Subtracting two sketches cancels the common pieces, and peeling takes
 a cell with a single key off the other cells until none is left: what comes out are the pieces that differ. Keys are dealt by
-digest over parts of about ``PER_PART`` keys, each with its own small sketch, so the work grows with the text. A part that cannot be
-peeled is tried again with half as many cells more; should all ``LEVELS`` sizes fail, its keys are compared one by one.
+their own bits, repeats of one piece too, over parts of about ``PER_PART`` keys, each with its own small sketch, so the work grows
+with the text. A part that cannot be peeled is tried again with half as many cells more; should all ``LEVELS`` sizes fail, its keys
+are compared one by one.
 
 Everything is column expressions on a row. Only the pairing of each document with the next needs a shuffle, one of the texts:
 documents are dealt by ranges of ids, and each range also gets a copy of the first document of the range after it.
@@ -30,8 +31,8 @@ CHECK = 7
 
 
 def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)`` with ``value`` worked out once. A fold over nothing: unlike ``transform`` it does not copy what it returns."""
+    return F.aggregate(F.array(), value, lambda acc, _: acc, body)
 
 
 def digests(text: Column) -> Column:
@@ -44,19 +45,27 @@ def parts_needed(n: Column) -> Column:
 
 
 def dealt(keys: Column, parts: Column) -> Column:
-    """array<array<long>>: digests dealt over at least ``parts`` parts, in two steps so that the work stays near n * sqrt(parts)."""
+    """array<array<long>>: hashes dealt over at least ``parts`` parts, in two steps so that the work stays near n * sqrt(parts).
+
+    Bits 44 and up, then 24 and up: the lowest bits that places are worked out from (0, 20 and 40 up) stay free.
+    """
     def deal(outer):
         inner = F.ceil(parts / outer).cast("int")
         return F.flatten(F.transform(F.sequence(F.lit(0), outer - 1), lambda a: _let(
-            F.filter(keys, lambda k: F.pmod(k, outer) == a),
+            F.filter(keys, lambda k: F.shiftrightunsigned(k, 44) % outer == a),
             lambda some: F.transform(F.sequence(F.lit(0), inner - 1), lambda b: F.filter(
-                some, lambda k: F.pmod(F.shiftrightunsigned(k, 24), inner) == b)))))
+                some, lambda k: F.shiftrightunsigned(k, 24) % inner == b)))))
     return _let(F.ceil(F.sqrt(parts)).cast("int"), deal)
 
 
 def occurrence_keys(part: Column) -> Column:
     """Keys of one part: each digest hashed with the number of equal ones before it."""
-    return _let(F.array_sort(part), lambda s: F.transform(s, lambda d, i: F.xxhash64(d, i.cast("long") - F.array_position(s, d))))
+    return _let(F.sort_array(part), lambda s: F.transform(s, lambda d, i: F.xxhash64(d, i.cast("long") - F.array_position(s, d))))
+
+
+def numbered(found: Column) -> Column:
+    """array<long>: keys of the digests of a whole text. Equal digests share a part, so their occurrences are counted within it."""
+    return F.flatten(F.transform(_let(parts_needed(F.size(found)), lambda parts: dealt(found, parts)), occurrence_keys))
 
 
 def _places(key: Column, cells: Column) -> list[Column]:
@@ -77,9 +86,9 @@ def sketch(keys: Column, cells: Column) -> Column:
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
     def tables(placed):
-        return F.concat(*[F.transform(F.sequence(F.lit(0), cells - 1), lambda c: F.aggregate(
+        return F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), cells - 1), lambda c: F.aggregate(
             F.filter(placed, lambda p: p[f"at{t}"] == c), empty,
-            lambda acc, p: _cell(acc["n"] + 1, acc["k"].bitwiseXOR(p["k"]), acc["h"].bitwiseXOR(p["h"])))) for t in range(3)])
+            lambda acc, p: _cell(acc["n"] + 1, acc["k"].bitwiseXOR(p["k"]), acc["h"].bitwiseXOR(p["h"])))) for t in range(3)]))
     return _let(F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("h"), *_places(k, cells))), tables)
 
 
@@ -94,9 +103,9 @@ def _peel_round(state: Column, cells: Column) -> Column:
         more = F.size(F.filter(found, lambda p: p["n"] == 1))
 
         def settle(placed):
-            return F.concat(*[F.transform(F.slice(state["cells"], t * cells + 1, cells), lambda cell, i: F.aggregate(
+            return F.flatten(F.array(*[F.transform(F.slice(state["cells"], t * cells + 1, cells), lambda cell, i: F.aggregate(
                 F.filter(placed, lambda p: p[f"at{t}"] == i), cell,
-                lambda acc, p: _cell(acc["n"] - p["n"], acc["k"].bitwiseXOR(p["k"]), acc["h"].bitwiseXOR(p["h"])))) for t in range(3)])
+                lambda acc, p: _cell(acc["n"] - p["n"], acc["k"].bitwiseXOR(p["k"]), acc["h"].bitwiseXOR(p["h"])))) for t in range(3)]))
         placed = F.transform(found, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["h"].alias("h"), *_places(p["k"], cells)))
         return F.when(F.size(found) == 0, F.struct(
             state["cells"].alias("cells"), state["gone"].alias("gone"), state["come"].alias("come"), F.lit(True).alias("over"))).otherwise(
@@ -131,12 +140,12 @@ def part_difference(a: Column, b: Column, first: Column) -> Column:
 
 
 def difference(a: Column, b: Column) -> Column:
-    """struct<gone, come, tries>: pieces only in the first and only in the second of two digest arrays, and the tries of the last part.
+    """struct<gone, come, tries>: keys only in the first and only in the second of two key arrays, and the tries of the last part.
 
     Once a part needed more than the smallest sketch, the parts after it begin with the second size.
     """
     def pairs(parts):
-        return F.zip_with(dealt(a, parts), dealt(b, parts), lambda x, y: F.struct(occurrence_keys(x).alias("x"), occurrence_keys(y).alias("y")))
+        return F.arrays_zip(dealt(a, parts).alias("x"), dealt(b, parts).alias("y"))
 
     def add(acc, part):
         return _let(part_difference(part["x"], part["y"], F.least(F.greatest(acc["tries"] - 1, F.lit(0)), F.lit(1))), lambda d: F.struct(
@@ -146,16 +155,14 @@ def difference(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Common pieces by all pieces of two digest arrays, 0 to 1; 1 where both are empty."""
+    """Common pieces by all pieces of two key arrays, 0 to 1; 1 where both are empty."""
     return _let(difference(a, b), lambda d: F.when(F.size(a) + d["come"] == 0, 1.0).otherwise(
         (F.size(a) - d["gone"]).cast("double") / (F.size(a) + d["come"])))
 
 
 def fingerprint(keys: Column) -> Column:
     """The base sketch of a text as a string: number, key and check of every cell in hexadecimal digits."""
-    # equal digests share a part, so their occurrences are counted within it
-    numbered = F.flatten(F.transform(_let(parts_needed(F.size(keys)), lambda parts: dealt(keys, parts)), occurrence_keys))
-    return F.array_join(F.transform(sketch(numbered, F.lit(BASE_CELLS)), lambda c: F.concat(
+    return F.array_join(F.transform(sketch(keys, F.lit(BASE_CELLS)), lambda c: F.concat(
         F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"]), 16, "0"))), "-")
 
 
@@ -197,8 +204,8 @@ def op8_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     pairs = with_next(table(spark, sf_dir, "documents")).withColumn("n_chars", n.cast("long")).withColumn(
         "edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    known = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"),
-                         digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("x"))
+    known = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), numbered(digests(F.col("text"))).alias("a"),
+                         numbered(digests(F.col("edited"))).alias("e"), numbered(digests(F.col("next_text"))).alias("x"))
     return known.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
                         fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"),
                         likeness(F.col("a"), F.col("x")).alias("near_next"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from oracle_check import compare, duck
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rosterlake.llm import catalog, decontaminate, line_dedup, paragraph_sketch, simhash
@@ -124,6 +125,23 @@ def test_sketch_likeness_equals_multisets(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == Counter(want)
 
 
+def test_sketch_parts_stay_small_where_one_sentence_repeats(spark):
+    rows = [("Same again. " * 2000, "Same again. " * 700 + "Other. " * 900, 1300, 900), ("Same again. " * 500, "", 500, 0)]
+    df = spark.createDataFrame(rows, "a string, b string, gone int, come int")
+    keys = df.select("gone", "come", *[paragraph_sketch.numbered(paragraph_sketch.digests(df[c])).alias(c) for c in "ab"])
+    got = keys.select("gone", "come", paragraph_sketch.difference(keys["a"], keys["b"]).alias("d"), F.array_max(F.transform(
+        paragraph_sketch.dealt(keys["a"], paragraph_sketch.parts_needed(F.size("a"))), F.size)).alias("largest")).collect()
+    assert len(got) == 2
+    for r in got:
+        assert (r["d"]["gone"], r["d"]["come"]) == (r["gone"], r["come"]) and r["largest"] < 10 * paragraph_sketch.PER_PART
+
+
+def test_sketch_fingerprints_are_what_they_were(spark):
+    df = spark.createDataFrame([("a. b. a.\nc! " * 2,)], "text string")
+    got = df.select(paragraph_sketch.fingerprint(paragraph_sketch.numbered(paragraph_sketch.digests(df["text"])))).first()[0]
+    assert got.split("-")[0] == "4.18835B8B77641971228BCC2735F329B7" and got.split("-")[8] == "1.C00B03D5FBCC12DF58D1FB56A6A6772C"
+
+
 # lines ---------------------------------------------------------------------------------------------------------------
 def test_recurring_lines_go_and_copies_stay(spark):
     letters = "abcdefgh"
