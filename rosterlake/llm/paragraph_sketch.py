@@ -8,8 +8,9 @@ their own bits, repeats of one piece too, over parts of about ``PER_PART`` keys,
 with the text. A part that cannot be peeled is tried again with half as many cells more; should all ``LEVELS`` sizes fail, its keys
 are compared one by one.
 
-Everything is column expressions on a row. Only the pairing of each document with the next needs a shuffle, one of the texts:
-documents are dealt by ranges of ids, and each range also gets a copy of the first document of the range after it.
+Everything is column expressions on a row. Only the pairing of each document with the next needs a shuffle, one of the texts and
+their keys, which are worked out once for each document: documents are dealt by ranges of ids, and each range also gets a copy of
+the first document of the range after it.
 
 Null texts count as empty, which have no pieces; two empty texts are fully alike. Documents are ordered by descending id, then
 content hash; those without an id come last. Rows repeated in full stay separate documents that follow each other.
@@ -28,6 +29,8 @@ PER_PART = 6
 CELLS, GROWTH, LEVELS, ROUNDS = 4, 1.5, 10, 12
 BASE_CELLS = 3
 CHECK = 7
+#: number of a digest's first occurrence, whose place counts from 0 and its position from 1
+FIRST = -1
 
 
 def _let(value: Column, body) -> Column:
@@ -64,8 +67,13 @@ def occurrence_keys(part: Column) -> Column:
 
 
 def numbered(found: Column) -> Column:
-    """array<long>: keys of the digests of a whole text. Equal digests share a part, so their occurrences are counted within it."""
-    return F.flatten(F.transform(_let(parts_needed(F.size(found)), lambda parts: dealt(found, parts)), occurrence_keys))
+    """array<long>: keys of the digests of a whole text. Equal digests share a part, so their occurrences are counted within it;
+    where all digests differ there is nothing to count, and each gets the key of a first occurrence."""
+    def keys(found):
+        counted = F.flatten(F.transform(_let(parts_needed(F.size(found)), lambda parts: dealt(found, parts)), occurrence_keys))
+        return F.when(F.size(F.array_distinct(found)) == F.size(found), F.transform(
+            found, lambda d: F.xxhash64(d, F.lit(FIRST).cast("long")))).otherwise(counted)
+    return _let(found, keys)
 
 
 def _places(key: Column, cells: Column) -> list[Column]:
@@ -166,10 +174,11 @@ def fingerprint(keys: Column) -> Column:
         F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"]), 16, "0"))), "-")
 
 
-def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **of_text: Column) -> DataFrame:
     """(doc_id, text, next_text): every document with the text of the next one by descending id; after the last comes the first.
 
-    ``doc_id`` is an integer column.
+    ``doc_id`` is an integer column. ``of_text``: columns of ``text`` that both documents of a pair need, worked out once for each
+    document before the shuffle; ``name`` and ``next_name`` come out.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -193,19 +202,20 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     copies = (docs.join(F.broadcast(goal), docs["doc_id"].eqNullSafe(goal["_id"]) & (docs["_h"] == goal["_of"]))
               .select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("_h"), F.col("_to").alias("_range"),
                       F.lit(1).alias("_copy")))
-    all_rows = docs.withColumn("_copy", F.lit(0)).unionByName(copies)
+    all_rows = docs.withColumn("_copy", F.lit(0)).unionByName(copies).withColumns(of_text)
     order = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("doc_id"), F.desc("_h"))
-    return (all_rows.withColumn("next_text", F.lead("text").over(order)).where("_copy = 0").select("doc_id", "text", "next_text"))
+    following = {f"next_{name}": F.lead(name).over(order) for name in ("text", *of_text)}
+    return all_rows.withColumns(following).where("_copy = 0").select("doc_id", "text", *of_text, *following)
 
 
 @query("op8_paragraph_sketch")
 def op8_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    pairs = with_next(table(spark, sf_dir, "documents")).withColumn("n_chars", n.cast("long")).withColumn(
+    pairs = with_next(table(spark, sf_dir, "documents"), keys=numbered(digests(F.col("text")))).withColumn("n_chars", n.cast("long")).withColumn(
         "edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    known = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), numbered(digests(F.col("text"))).alias("a"),
-                         numbered(digests(F.col("edited"))).alias("e"), numbered(digests(F.col("next_text"))).alias("x"))
+    known = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("keys").alias("a"),
+                         numbered(digests(F.col("edited"))).alias("e"), F.col("next_keys").alias("x"))
     return known.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
                         fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"),
                         likeness(F.col("a"), F.col("x")).alias("near_next"))

@@ -142,6 +142,22 @@ def test_sketch_fingerprints_are_what_they_were(spark):
     assert got.split("-")[0] == "4.18835B8B77641971228BCC2735F329B7" and got.split("-")[8] == "1.C00B03D5FBCC12DF58D1FB56A6A6772C"
 
 
+def test_sketch_keys_are_worked_out_once_for_each_text(spark, monkeypatch):
+    texts = [(1, "a. b. c."), (2, "a. a. b.\na. "), (3, None), (4, "".join(f"s{i}. " for i in range(40))), (4, "")]
+    df = spark.createDataFrame(texts, DOCS)
+    got = paragraph_sketch.with_next(df, keys=paragraph_sketch.numbered(paragraph_sketch.digests(F.col("text")))).collect()
+    known = {r["text"]: sorted(r["keys"]) for r in got}
+    assert len(got) == 5 and all(sorted(r["next_keys"]) == known[r["next_text"]] for r in got)
+    # equal pieces are numbered from their first one on, in texts with repeats and without
+    pieces = {t: Counter(re.findall(paragraph_sketch.PIECE, t)) for t in known}
+    want = spark.createDataFrame([(t, p, k - 1) for t, c in pieces.items() for p in c for k in range(c[p])], "t string, p string, k long")
+    want = want.groupBy("t").agg(F.sort_array(F.collect_list(F.xxhash64(F.xxhash64("p"), "k"))).alias("keys")).collect()
+    assert {r["t"]: r["keys"] for r in want} | {"": []} == known
+    monkeypatch.setattr(paragraph_sketch, "table", lambda *_: df)
+    plan = paragraph_sketch.op8_paragraph_sketch(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Window")[0].count("regexp_extract_all") == 1  # after the shuffle only the edited text is cut
+
+
 # lines ---------------------------------------------------------------------------------------------------------------
 def test_recurring_lines_go_and_copies_stay(spark):
     letters = "abcdefgh"
