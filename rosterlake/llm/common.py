@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from rosterlake.session import scratch_folder
 
+#: texts whose results a worker holds as Python objects at once
+TEXTS_AT_ONCE = 256
+
 #: what separates words once A-Z are lower-cased; any other character, accented or not, belongs to a word
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -43,7 +46,7 @@ def text_function(per_text: Callable[[bytes], tuple], returns: str, begin: Calla
     """A column function that maps a text to a struct, fed with Arrow batches of texts as UTF-8 bytes.
 
     Null texts arrive as empty ones. ``begin``, when given, makes a task's own state, which ``per_text`` gets as a second
-    argument.
+    argument. Results leave ``TEXTS_AT_ONCE`` at a time, and a worker, which outlives its task, gives unused Arrow memory back.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
@@ -53,9 +56,12 @@ def text_function(per_text: Callable[[bytes], tuple], returns: str, begin: Calla
     def evaluate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         state = begin() if begin else None
         for batch in batches:
-            rows = [per_text(t, state) if begin else per_text(t) for t in as_bytes(batch)]
-            columns = list(zip(*rows)) if rows else [[] for _ in kind]
-            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+            for at in range(0, max(len(batch), 1), TEXTS_AT_ONCE):
+                rows = [per_text(t, state) if begin else per_text(t) for t in as_bytes(batch.slice(at, TEXTS_AT_ONCE))]
+                columns = list(zip(*rows)) if rows else [[] for _ in kind]
+                yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+        batch = rows = columns = None
+        pa.default_memory_pool().release_unused()
 
     evaluate.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(evaluate, StructType.fromDDL(returns))

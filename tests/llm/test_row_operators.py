@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rosterlake.llm import bpe, chat, language, licenses, pii, toxicity
+from rosterlake.llm.common import TEXTS_AT_ONCE, text_function
 
 DOCS = "doc_id long, text string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -18,6 +19,25 @@ def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or ""))
 
 
+# text functions ------------------------------------------------------------------------------------------------------
+def test_workers_hold_few_results_at_once(spark):
+    class Result(list):
+        alive = 0
+
+        def __init__(self, text):
+            Result.alive += 1
+            super().__init__((text.decode(), Result.alive))
+
+        def __del__(self):
+            Result.alive -= 1
+
+    n = 8 * TEXTS_AT_ONCE + 3
+    df = spark.range(n, numPartitions=1).selectExpr("id", "IF(id = 5, NULL, concat('t', id)) AS text")
+    got = df.select("id", text_function(lambda t: Result(t), "text string, alive int")("text").alias("r")).collect()
+    assert [(r["id"], r["r"]["text"]) for r in got] == [(k, "" if k == 5 else f"t{k}") for k in range(n)]
+    assert max(r["r"]["alive"] for r in got) <= 2 * TEXTS_AT_ONCE
+
+
 # personal data -------------------------------------------------------------------------------------------------------
 PATTERNS = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")), ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
             ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")), ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))]
