@@ -11,7 +11,7 @@ from rosterlake.functions.steps import once
 from rosterlake.operators.latest import latest_per_key
 from rosterlake.operators.merge import distinct_items
 from rosterlake.operators.pairing import REVIEW_SCORE, candidate_pairs
-from rosterlake.operators.scale import hot_first_join, sparse_join
+from rosterlake.operators.scale import hot_first_join, sparse_join, spread_evenly
 from rosterlake.session import cut_lineage
 
 # Fixed values of the matching rules.
@@ -144,7 +144,7 @@ def _rounded(x: Column) -> Column:
 
 def similar_pairs(accounts: DataFrame) -> DataFrame:
     """Candidate pairs of one account table with their facts, one row each."""
-    facts = cut_lineage(with_name_words(accounts).select(*FACTS))  # names are read once
+    facts = cut_lineage(with_name_words(spread_evenly(accounts)).select(*FACTS))  # names are read once
     return candidate_pairs(facts, "account_id", [f for f in FACTS if f != "account_id"])
 
 
