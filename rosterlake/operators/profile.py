@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import values
 from rosterlake.operators.merge import distinct_items
-from rosterlake.operators.scale import exact_medians
+from rosterlake.operators.scale import exact_medians, shuffled
 from rosterlake.session import cut_lineage
 
 LISTS = ("platforms", "categories", "tags", "languages", "brands", "flag_list")
@@ -33,7 +33,7 @@ def without(profile: DataFrame, taken: DataFrame) -> DataFrame:
 def build_profiles(accounts: DataFrame, links: DataFrame, creators: DataFrame, sources: DataFrame) -> DataFrame:
     """Creator profiles: the biggest account leads, ties by first appearance in the imports."""
     appeared = sources.groupBy("account_id").agg(F.min("row_id").alias("_first_row"))
-    members = (accounts.join(links, "account_id").join(appeared, "account_id", "left")
+    members = (accounts.join(shuffled(links), "account_id").join(shuffled(appeared), "account_id", "left")
                .withColumn("_order", F.struct(
                    F.col("followers").isNull().alias("unknown"), (-F.coalesce("followers", F.lit(0))).alias("size"),
                    F.coalesce("_first_row", F.lit(0)).alias("first_row"), F.col("account_id").alias("id")))
@@ -47,7 +47,7 @@ def build_profiles(accounts: DataFrame, links: DataFrame, creators: DataFrame, s
         *[first_known(c).alias(name) for name, c in FIRST_KNOWN.items()])
     lists = distinct_items(members, "creator_id", LISTS, F.col("_order"))
     named = creators.select("creator_id", F.col("display_name").alias("name"), "entity_type", "total_followers", "n_accounts")
-    return derive(facts.join(lists, "creator_id", "left").join(named, "creator_id"))
+    return derive(facts.join(shuffled(lists), "creator_id", "left").join(shuffled(named), "creator_id"))
 
 
 def derive(profile: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def spread_evenly(df: DataFrame) -> DataFrame:
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: both sides are shuffled and sorted, whatever size is expected of it.
+
+    Expected sizes start from compressed files and know nothing of rows that are made of one row, so tables of millions of accounts pass for
+    a few MB and would be collected on the driver to be broadcast.
+    """
+    return df.hint("merge")
+
+
 def unpivot_measures(df: DataFrame, groups: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Long form ``(groups, measure, value)`` of several numeric columns, in one pass."""
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])

@@ -4,7 +4,8 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rosterlake.operators import campaign, latest, merge, scale
+from rosterlake.operators import campaign, latest, merge, profile, scale
+from rosterlake.plans import library_queries, source_queries
 from rosterlake.sources.files import dense_index
 
 
@@ -104,3 +105,27 @@ def test_timeline_carries_the_last_value_forward(spark):
     rows = [(1, 10, "2024-01-01", 5), (1, 11, "2024-01-02", 3), (1, 10, "2024-01-03", None), (1, 11, "2024-01-04", 9)]
     df = spark.createDataFrame(rows, "campaign_id long, cc_id long, day string, views long").withColumn("recorded_at", F.col("day").cast("timestamp"))
     assert [r.views for r in campaign.view_timeline(df).orderBy("day").collect()] == [5, 8, 3, 9]
+
+
+def star(spark, folder, n=60):
+    """Customers and their orders of three nations, small enough that any table of them would be broadcast."""
+    tables = {"customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+                           [(i, f"Customer#{i}", i % 3, 10.0 * i, "HOUSEHOLD") for i in range(n)]),
+              "orders": ("o_orderkey long, o_custkey long, o_orderstatus string", [(i, i % n, "FOP"[i % 3]) for i in range(4 * n)]),
+              "nation": ("n_nationkey int, n_name string", [(i, f"NATION {i}") for i in range(3)]),
+              "events": ("event_id long, ts timestamp_ntz, user_id long", [])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_broadcast_no_account(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(profile, "against_peers", lambda built: seen.append(built) or built.withColumns({c: F.lit(None) for c in ("er_vs_tier", "engagement")}))
+    built = library_queries.build_profiles(spark, star(spark, tmp_path))
+    assert "Join" in plan(seen[0]) and "Broadcast" not in plan(seen[0])
+    assert built.count() == 20
