@@ -128,7 +128,8 @@ WARNINGS = ("er_missing", "topics_missing", "name_case_fixed", "followers_missin
 def _issues(spark, folder):
     """Orders as source rows with one issue each."""
     from rosterlake.plans.bindings import pick
-    o = table(spark, folder, "orders").join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    customers = scale.shuffled(table(spark, folder, "customer").select("c_custkey", "c_nationkey"))
+    o = table(spark, folder, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("o_orderkey")
     bad = F.col("o_orderstatus") == "P"
     issue = (F.when(bad & every(k, 2), "platform_unknown").when(bad, "no_account_identifier").when(every(k, 5), "yt_handle_needs_resolution")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions.refs import platform_from_file_name
 from rosterlake.operators import campaign, clean, enrich
 from rosterlake.operators.latest import latest_per_key
+from rosterlake.operators.scale import shuffled
 from rosterlake.plans.bindings import accounts, base_profiles, every, post_metrics, sheet, table
 from rosterlake.plans.catalog import query
 from rosterlake.plans.library_queries import ISSUES, _issues
@@ -192,7 +193,7 @@ def review_layer(spark, folder):
     acc = accounts(spark, folder)
     a = acc.where(F.col("platform") == "instagram").select(F.col("account_id").alias("account_a"), "handle")
     b = acc.where(F.col("platform") == "threads").select(F.col("account_id").alias("account_b"), "handle")
-    pairs = a.join(b, "handle").select("account_a", "account_b", F.lit("auto_linked").alias("status"), F.lit("mirror").alias("kind"), F.lit(1.0).alias("score"),
+    pairs = a.join(shuffled(b), "handle").select("account_a", "account_b", F.lit("auto_linked").alias("status"), F.lit("mirror").alias("kind"), F.lit(1.0).alias("score"),
                                        F.array(F.lit("same handle")).alias("reasons"), F.lit("rule").alias("decided_by"), F.lit(None).cast("timestamp").alias("decided_at"))
     return export.review_layer(pairs, acc).select("account_a", "account_b", "name_a", "name_b", "reasons")
 

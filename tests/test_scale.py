@@ -129,3 +129,12 @@ def test_profiles_broadcast_no_account(spark, tmp_path, monkeypatch):
     built = library_queries.build_profiles(spark, star(spark, tmp_path))
     assert "Join" in plan(seen[0]) and "Broadcast" not in plan(seen[0])
     assert built.count() == 20
+
+
+def test_layers_broadcast_no_account_and_no_customer(spark, tmp_path):
+    for name, layer in source_queries._layers(spark, star(spark, tmp_path)).items():
+        if name in ("accounts", "creators", "rejected", "review"):
+            assert "Join" in plan(layer) and "Broadcast" not in plan(layer), name
+        elif name == "staging":
+            assert plan(layer).count("BroadcastExchange") == 1  # the sheets, one a nation
+            assert layer.count() == 240
